@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from lodeworks.llm import bpe
+from lodeworks.llm import bpe, secrets, warc, wavelet
 
 QUERIES = {
     "op1_bpe": bpe.op1,
+    "op2_warc": warc.op2,
+    "op3_secrets": secrets.op3,
+    "op7_wavelet": wavelet.op7,
 }
 
 #: DuckDB SQL where SQL can express the whole result.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_warc": warc.OP2_SQL}
