@@ -101,7 +101,8 @@ def typed(pages: DataFrame) -> DataFrame:
     first = light.where(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     # a row without a partner keeps its place; equal payloads are a hot key that the adaptive skew join can split
-    return facts.join(first, "digest", "left").select("page_id", "url", "html", "digest", F.when(revisit, F.col("first")).alias("refers_to"), F.coalesce(revisit, F.lit(False)).alias("revisit"))
+    # (the merge hint keeps one plan at every size)
+    return facts.join(first.hint("merge"), "digest", "left").select("page_id", "url", "html", "digest", F.when(revisit, F.col("first")).alias("refers_to"), F.coalesce(revisit, F.lit(False)).alias("revisit"))
 
 
 _CAPTURES = "array<struct<key:string,page_id:bigint,offset:bigint,length:bigint>>"
