@@ -9,12 +9,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from lodeworks.session import ship_package
+
 #: What the contracts call a word: a run without the six ASCII white-space characters.
 SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,6 +39,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
     The result has no lineage: a lost executor costs only tasks that read these files.
     """
+    ship_package(df.sparkSession)
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
