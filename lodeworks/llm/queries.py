@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from lodeworks.llm import bpe, secrets, warc, wavelet
+from lodeworks.llm import bpe, minhash, mixture, quality, secrets, toxicity, warc, wavelet
 
 QUERIES = {
     "op1_bpe": bpe.op1,
     "op2_warc": warc.op2,
     "op3_secrets": secrets.op3,
+    "op4_toxicity": toxicity.op4,
+    "op5_quality": quality.op5,
+    "op6_mixture": mixture.op6,
     "op7_wavelet": wavelet.op7,
+    "op8_minhash": minhash.op8,
 }
 
 #: DuckDB SQL where SQL can express the whole result.
