@@ -230,8 +230,7 @@ def _encode_rows(vocab_name: str, lexicon_name: str, text_at: int, with_ids: boo
             packed = encoder.encode(texts)
             arrays = [*rows.columns]
             names = [*rows.schema.names]
-            if not with_ids:
-                del arrays[text_at], names[text_at]
+            del arrays[text_at], names[text_at]
             arrays += [
                 pa.array([len(p) // 4 for p in packed], pa.int64()),
                 pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
@@ -239,8 +238,9 @@ def _encode_rows(vocab_name: str, lexicon_name: str, text_at: int, with_ids: boo
             ]
             names += ["n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                arrays.append(pa.array(packed, pa.binary()))
-                names.append("packed_ids")
+                ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32))))
+                names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     return run
@@ -254,20 +254,10 @@ def digests(docs: DataFrame, vocab_path: str, most: int = 131_072) -> DataFrame:
 
 
 def encode(docs: DataFrame, vocab_path: str, most: int = 131_072) -> DataFrame:
-    """``doc_id``, ``text`` and the token ids as ``array<int>``, with the digests of ``digests``."""
+    """The digests with the token ids as ``ids array<int>``."""
     docs = docs.select("doc_id", "text")
     vocab, lexicon = ship(docs, vocab_path, most)
-    fields = "doc_id long, text string, n_tokens long, ids_sha256 string, decoded_sha256 string, packed_ids binary"
-    packed = docs.mapInArrow(_encode_rows(vocab, lexicon, 1, True), fields)
-    return packed.mapInArrow(_unpack, fields.replace("packed_ids binary", "ids array<int>"))
-
-
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in batches:
-        packed = rows.column(5).to_pylist()
-        ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([*rows.columns[:5], ids], [*rows.schema.names[:5], "ids"])
+    return docs.mapInArrow(_encode_rows(vocab, lexicon, 1, True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:

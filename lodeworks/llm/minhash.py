@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeworks.llm import common
@@ -110,8 +110,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, row in zip(full, signatures([sets[i] for i in full]), strict=True):
                 sig[i] = row.tobytes()
         yield pa.RecordBatch.from_arrays(
-            [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sig, pa.binary())],
-            ["doc_id", "n", "k1", "k2", "sig"],
+            [rows.column(0), rows.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sig, pa.binary())],
+            ["doc_id", "h", "n", "k1", "k2", "sig"],
         )
 
 
@@ -323,14 +323,14 @@ def _links(sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, filter_bits: int = 25) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, kept, keeper``.
+    """One row per document: ``doc_id, n_shingles, component_id, kept, keeper, h`` (a hash of the text).
 
     ``kept`` marks rows whose ``doc_id`` names their component; ``keeper`` exactly one row of each component.
     ``filter_bits`` sets the size of a bitmap (4 MB) that spares most texts the second reading; it never drops one.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    rows = common.settle(docs.mapInArrow(_features, "doc_id long, n long, k1 long, k2 long, sig binary").withColumn("row", F.monotonically_increasing_id()), "near-features")
+    rows = common.settle(docs.withColumn("h", F.xxhash64("text")).mapInArrow(_features, "doc_id long, h long, n long, k1 long, k2 long, sig binary").withColumn("row", F.monotonically_increasing_id()), "near-features")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     nodes = common.settle(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("node"), first.alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig")), "near-nodes")
     bands = nodes.select("node", "sig").mapInArrow(_bands, "key long, node long")
@@ -348,7 +348,7 @@ def near_duplicates(docs: DataFrame, filter_bits: int = 25) -> DataFrame:
     labelled = nodes.select("k1", "k2", "node", "first").join(roots, "node", "left").select("k1", "k2", "first", F.coalesce("root", "node").alias("root"))
     named = labelled.groupBy("root").agg(F.min("first").alias("lead"))
     by_set = labelled.join(named, "root").select("k1", "k2", F.col("lead.doc_id").alias("lead"), F.col("lead.row").alias("lead_row"))
-    joined = rows.select("doc_id", "n", "k1", "k2", "row").join(by_set, ["k1", "k2"], "left")
+    joined = rows.select("doc_id", "h", "n", "k1", "k2", "row").join(by_set, ["k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.col("lead")).otherwise(F.col("doc_id"))
     return joined.select(
         "doc_id",
@@ -356,9 +356,22 @@ def near_duplicates(docs: DataFrame, filter_bits: int = 25) -> DataFrame:
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
         F.coalesce(F.col("row") == F.col("lead_row"), F.lit(True)).alias("keeper"),
+        "h",
     )
 
 
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` from each group of near-duplicates, and every row that is in no group."""
+    if "h" in docs.columns or "copy_" in docs.columns:
+        raise ValueError("columns h and copy_ are those of the join; rename them first")
+    keep = near_duplicates(docs).where("keeper").select(F.col("doc_id").alias("keep_id"), F.col("h").alias("keep_h")).distinct()
+    hashed = docs.withColumn("h", F.xxhash64("text"))
+    kept = hashed.join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h")), "left_semi")
+    # rows equal in id and text count as one, also without words
+    once = kept.withColumn("copy_", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy(F.lit(0)))).where("copy_ = 1")
+    return once.select(*docs.columns)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
         sig = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint8).reshape(-1, HASHES, 4)[:, :, 0]
@@ -366,4 +379,4 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.table(spark, sf_dir, "documents")).drop("keeper")
+    return near_duplicates(common.table(spark, sf_dir, "documents")).drop("keeper", "h")

@@ -10,7 +10,7 @@ No source is ever ordered as a whole: ranks are counted in 4096 bins, the bin in
 4096 again, and only the documents of that last bin are put in order.
 
 Defined cases: a null text has size 0 and takes 0; a null source is a source of its own, last in order; documents of
-equal rank follow ``doc_id`` and a hash of the text, and identical rows are interchangeable; an empty table gives no
+equal rank follow ``doc_id`` (null first) and a hash of the text, and rows equal in all of these are taken together; an empty table gives no
 rows; reruns agree because nothing but the rows' values enters the ranks; other columns are not read.
 """
 
@@ -73,55 +73,100 @@ def _factor(classes: list[tuple[float, int]], target: float, most: float) -> flo
     return float("inf")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3, weight: Column | None = None, seed: int = 0) -> DataFrame:
-    """Returns ``doc_id, source, size, source_size, target, weight, expected, copies, taken``.
-
-    ``weight`` is a document's weight within its source, from a small set of values (default: texts under 32 words
-    count half, longer ones 1). It is a function of ``size`` and the columns of ``docs``.
-    """
-    size = word_count(F.col("text"))
-    kept = docs.withColumn("size", size)
-    chosen = weight if weight is not None else F.when(F.col("size") < 32, F.lit(0.5)).otherwise(F.lit(1.0))
-    # one pass over the texts; later steps see a few numbers a document
-    sized = common.settle(kept.select("doc_id", "source", "size", chosen.cast("double").alias("weight"), F.xxhash64("text", F.lit(seed)).alias("tie")), "mix-sizes")
-    plan = targets(sized, weights, most)
-    classes: dict[str | None, list[tuple[float, int]]] = {}
-    for r in sized.groupBy("source", "weight").agg(F.sum("size").alias("n")).collect():
-        classes.setdefault(r["source"], []).append((r["weight"], r["n"]))
-    factors = docs.sparkSession.createDataFrame([(r["source"], r["source_size"], r["target"], _factor(classes[r["source"]], r["target"], most)) for r in plan.collect()], "source string, source_size long, target double, factor double")
-    # one row per source: the number of sources bounds what is broadcast
-    by = F.broadcast(factors.withColumnRenamed("source", "s"))
+def _ranked(rows: DataFrame, plan: DataFrame, most: float, seed: int) -> DataFrame:
+    """``rows`` (with ``size, weight, tie``) and their expected copies and ranks, by one row per source of ``plan``."""
+    # the number of sources bounds what is broadcast
+    joined = rows.join(F.broadcast(plan.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     expected = F.when(F.col("weight") > 0, F.least(F.lit(float(most)), F.col("factor") * F.col("weight"))).otherwise(0.0)
     u = (F.xxhash64(F.lit(seed), "doc_id", "source", "tie").bitwiseAND(F.lit((1 << 52) - 1)).cast("double") + 0.5) / float(1 << 52)
-    ranked = (
-        sized.join(by, F.col("source").eqNullSafe(F.col("s")), "left")
-        .withColumn("expected", expected)
+    return (
+        joined.withColumn("expected", expected)
         .withColumn("certain", F.floor("expected").cast("long"))
         .withColumn("p", F.col("expected") - F.col("certain"))
         .withColumn("q", (u / (1 - u)) * (1 - F.col("p")) / F.col("p"))
         .withColumn("order", F.when(F.col("p") > 0, F.col("q") / (1 + F.col("q"))))  # the same order within 0 to 1
-        .withColumn("coarse", F.least(F.floor(F.col("order") * _BINS), F.lit(_BINS - 1)).cast("int"))
-        .withColumn("fine", F.least(F.floor((F.col("order") * _BINS - F.col("coarse")) * _BINS), F.lit(_BINS - 1)).cast("int"))
+        .drop("q")
     )
+
+
+def _sized(docs: DataFrame, weight: Column | None, seed: int) -> DataFrame:
+    chosen = weight if weight is not None else F.when(F.col("size") < 32, F.lit(0.5)).otherwise(F.lit(1.0))
+    return docs.withColumn("size", word_count(F.col("text"))).withColumns({"weight": chosen.cast("double"), "tie": F.xxhash64("text", F.lit(seed))})
+
+
+def plan_mix(sized: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3, seed: int = 0) -> DataFrame:
+    """One row per source: ``source_size, target, factor`` and the last rank taken, ``cut_order, cut_doc, cut_tie``.
+
+    With it, whether and how often a document is taken follows from its own row. A null ``cut_order`` takes none beyond
+    the certain copies, one of 2 takes all.
+    """
+    spark = sized.sparkSession
+    goals = targets(sized, weights, most).collect()
+    classes: dict[str | None, list[tuple[float, int]]] = {}
+    for r in sized.groupBy("source", "weight").agg(F.sum("size").alias("n")).collect():
+        classes.setdefault(r["source"], []).append((r["weight"], r["n"]))
+    named = [(r["source"], r["source_size"], r["target"], _factor(classes[r["source"]], r["target"], most)) for r in goals]
+    plan = spark.createDataFrame(named, "source string, source_size long, target double, factor double")
+    coarse_bin = F.least(F.floor(F.col("order") * _BINS), F.lit(_BINS - 1)).cast("int")
+    fine_bin = F.least(F.floor((F.col("order") * _BINS - F.col("coarse")) * _BINS), F.lit(_BINS - 1)).cast("int")
+    ranked = _ranked(sized, plan, most, seed).withColumn("coarse", coarse_bin).withColumn("fine", fine_bin)
     wanted = {r["source"]: r["target"] - r["certain"] for r in ranked.groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("certain") * F.col("size")).alias("certain")).collect()}
-    coarse = _cut(ranked.where("p > 0").groupBy("source", "coarse").agg(F.sum("size").alias("n")), "coarse", wanted)
-    spark = docs.sparkSession
+    fraction = ranked.where("p > 0")
+    coarse = _cut(fraction.groupBy("source", "coarse").agg(F.sum("size").alias("n")), "coarse", wanted)
     cuts = spark.createDataFrame([(s, b) for s, (b, _) in coarse.items()], "s2 string, cut_coarse int")
-    inside = ranked.where("p > 0").join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("s2")) & (F.col("coarse") == F.col("cut_coarse")))
+    inside = fraction.join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("s2")) & (F.col("coarse") == F.col("cut_coarse")))
     fine = _cut(inside.groupBy("source", "fine").agg(F.sum("size").alias("n")), "fine", {s: left for s, (_, left) in coarse.items()})
-    last = spark.createDataFrame([(s, coarse[s][0], *fine.get(s, (-1, 0.0))) for s in coarse], "s3 string, cut_coarse int, cut_fine int, words double")
-    # per source the cut bins and the words still wanted in the last one: again one row per source
-    placed = ranked.join(F.broadcast(last), F.col("source").eqNullSafe(F.col("s3")), "left")
-    before = (F.col("coarse") < F.col("cut_coarse")) | ((F.col("coarse") == F.col("cut_coarse")) & (F.col("fine") < F.col("cut_fine")))
-    at = (F.col("coarse") == F.col("cut_coarse")) & (F.col("fine") == F.col("cut_fine"))
-    state = F.when(F.col("p") <= 0, 0).when(F.col("cut_coarse").isNull(), 1).when(before, 1).when(at, 2).otherwise(0)
-    decided = placed.withColumn("state", state)
-    edge = decided.where("state = 2")
+    last = spark.createDataFrame([(s, *fine[s]) for s in fine], "s3 string, cut_fine int, words double")
+    edge = inside.join(F.broadcast(last), F.col("source").eqNullSafe(F.col("s3")) & (F.col("fine") == F.col("cut_fine")))
     w = Window.partitionBy("source").orderBy("order", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    edge = edge.withColumn("extra", (F.sum("size").over(w) - F.col("size") / 2 <= F.col("words")).cast("long"))
-    both = decided.where("state <> 2").withColumn("extra", F.col("state").cast("long")).unionByName(edge)
-    copies = F.col("certain") + F.col("extra")
-    return both.select("doc_id", "source", "size", "source_size", "target", "weight", "expected", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    taken = edge.withColumn("fits", F.sum("size").over(w) - F.col("size") / 2 <= F.col("words")).where("fits")
+    ends = {r["source"]: r["m"] for r in taken.groupBy("source").agg(F.max(F.struct("order", "doc_id", "tie")).alias("m")).collect()}
+
+    def end(source: str | None) -> tuple[float, int | None, int | None]:
+        if source in ends:
+            return ends[source]["order"], ends[source]["doc_id"], ends[source]["tie"]
+        if source in fine:  # nothing of the last bin: up to where it begins
+            return (coarse[source][0] + fine[source][0] / _BINS) / _BINS, None, None
+        if source in coarse:
+            return (coarse[source][0] + 1) / _BINS, None, None
+        return 2.0, None, None
+
+    return spark.createDataFrame([(*n, *end(n[0])) for n in named], "source string, source_size long, target double, factor double, cut_order double, cut_doc long, cut_tie long")
+
+
+def apply_mix(rows: DataFrame, plan: DataFrame, most: int = 3, seed: int = 0) -> DataFrame:
+    """``rows`` with ``source_size, target, expected, copies``; each row is decided by itself, so nothing is shuffled."""
+    ranked = _ranked(rows, plan, most, seed)
+    order, doc, tie = F.col("order"), F.coalesce("doc_id", F.lit(-(1 << 63))), F.col("tie")
+    cut_doc = F.coalesce("cut_doc", F.lit(-(1 << 63)))  # as the window orders them, nulls first
+    same = order == F.col("cut_order")
+    within = (order < F.col("cut_order")) | (same & F.col("cut_tie").isNotNull() & ((doc < cut_doc) | ((doc == cut_doc) & (tie <= F.col("cut_tie")))))
+    copies = F.col("certain") + F.coalesce(F.when(F.col("p") > 0, within.cast("long")), F.lit(0))
+    return ranked.withColumn("copies", copies).drop("certain", "p", "order", "factor", "cut_order", "cut_doc", "cut_tie")
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3, weight: Column | None = None, seed: int = 0) -> DataFrame:
+    """Returns ``doc_id, source, size, source_size, target, weight, expected, copies, taken``.
+
+    ``weight`` is a document's weight within its source, from a small set of values (default: texts under 32 words
+    count half, longer ones 1). It is a function of ``size`` and the columns of ``docs``.
+    """
+    # one pass over the texts; later steps see a few numbers a document
+    sized = common.settle(_sized(docs, weight, seed).select("doc_id", "source", "size", "weight", "tie"), "mix-sizes")
+    mixed = apply_mix(sized, plan_mix(sized, weights, most, seed), most, seed)
+    return mixed.withColumn("taken", (F.col("copies") * F.col("size")).cast("long")).drop("tie")
+
+
+def take(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3, seed: int = 0) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with their own columns only."""
+    columns = docs.columns
+    clash = {"size", "weight", "tie", "s", "source_size", "target", "factor", "expected", "copies"} & set(columns)
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are those of the mix; rename them first")
+    rows = _sized(docs, None, seed)
+    sized = common.settle(rows.select("doc_id", "source", "size", "weight", "tie"), "mix-sizes")
+    mixed = apply_mix(rows, plan_mix(sized, weights, most, seed), most, seed)
+    return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
 
 
 def _cut(bins: DataFrame, name: str, wanted: dict) -> dict:

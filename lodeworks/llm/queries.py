@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lodeworks.llm import bpe, minhash, mixture, quality, secrets, toxicity, warc, wavelet
+import corpus_pipeline
+from lodeworks.llm import bpe, embeddings, minhash, mixture, pii, quality, secrets, toxicity, warc, wavelet
 
 QUERIES = {
     "op1_bpe": bpe.op1,
@@ -13,7 +14,12 @@ QUERIES = {
     "op6_mixture": mixture.op6,
     "op7_wavelet": wavelet.op7,
     "op8_minhash": minhash.op8,
+    "op9_embeddings": embeddings.op9,
+    "op10_pii": pii.op10,
+    "pipeline": corpus_pipeline.run,
 }
 
 #: DuckDB SQL where SQL can express the whole result.
 ORACLE: dict[str, str] = {"op2_warc": warc.OP2_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -19,8 +19,9 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from lodeworks.llm import common
 
@@ -123,6 +124,55 @@ def scan_corpus(docs: DataFrame, repo: str = "repo", owner: str = "owner", copie
     return _finish(scanned.join(per_row, "row", "left"))
 
 
+def _mark(batches: Iterator[pa.RecordBatch], at: int, with_candidates: bool) -> Iterator[pa.RecordBatch]:
+    """Rows with (or without) candidates; those with them carry their candidates."""
+    shape = pa.list_(pa.struct([("hash", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("bits", pa.float64())]))
+    for rows, texts in common.documents_in_pieces(batches, at):
+        found = [scan(t)[1] for t in texts]
+        hit = [bool(f) for f in found]
+        kept = rows.filter(pa.array(hit if with_candidates else [not h for h in hit], pa.bool_()))
+        if with_candidates:
+            cells = [[{"hash": hashlib.sha256(v.encode()).hexdigest()[:32], "start": s, "end": e, "bits": entropy(v)} for s, e, v in f] for f in found if f]
+            kept = pa.RecordBatch.from_arrays([*kept.columns, pa.array(cells, shape)], [*kept.schema.names, "candidates_"])
+        yield kept
+
+
+def _blank(text: str, spans: list[tuple[int, int]]) -> str:
+    out, at = [], 0
+    for s, e in spans:
+        if e <= at:
+            continue
+        out += [text[at : max(s, at)], "[SECRET]"]
+        at = e
+    return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, repo: Column, owner: Column, copied_owners: int = 2, least_bits: float = 3.0) -> DataFrame:
+    """``docs`` with live-looking values replaced by ``[SECRET]``; copied examples and all other rows stay as they are.
+
+    Only rows with candidates take part in joins, so texts without any are never shuffled.
+    """
+    columns, at = docs.columns, docs.columns.index("text")
+    clash = {"candidates_", "row_", "repo_", "owner_", "live_"} & set(columns)
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are those of the scan; rename them first")
+    more = StructType([*docs.schema.fields]).add("candidates_", ArrayType(StructType().add("hash", "string").add("start", "long").add("end", "long").add("bits", "double")))
+    hit = common.settle(docs.mapInArrow(lambda b: _mark(b, at, True), more).withColumns({"row_": F.monotonically_increasing_id(), "repo_": repo.cast("string"), "owner_": owner.cast("string")}), "secret-rows")
+    flat = hit.select("row_", F.col("repo_").alias("repo"), F.col("owner_").alias("owner"), F.explode("candidates_").alias("c")).select("row_", "repo", "owner", "c.*")
+    live = flat.join(ownership(flat), "hash").where((F.col("owners") < copied_owners) & (F.col("bits") >= least_bits))
+    spans = live.groupBy("row_").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("live_"))
+    joined = hit.join(spans, "row_", "left").select(*columns, F.coalesce("live_", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")).alias("live_"))
+
+    def replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            texts = [None if t is None else _blank(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(rows.column(at).to_pylist(), rows.column(len(columns)).to_pylist(), strict=True)]
+            arrays = [*rows.columns[: len(columns)]]
+            arrays[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(arrays, columns)
+
+    return docs.mapInArrow(lambda b: _mark(b, at, False), docs.schema).unionByName(joined.mapInArrow(replaced, docs.schema))
+
+
 def _finish(joined: DataFrame) -> DataFrame:
     live = F.coalesce("live", F.expr("array()"))
     added = F.transform(F.filter(live, lambda x: ~x["base"]), lambda x: F.struct(x["start"].cast("long").alias("s"), F.lit(3).alias("k"), x["end"].cast("long").alias("e"), F.lit("live").alias("kind")))
