@@ -214,7 +214,7 @@ def read_all(archives: DataFrame, index: DataFrame) -> DataFrame:
     """
     entries = index.select("lines").mapInArrow(_entries, "archive string, segment int, offset long, length long")
     ranges = entries.groupBy("archive", "segment").agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))
-    placed = archives.select("archive", "segment", "content").join(ranges, ["archive", "segment"]).select("content", "ranges")
+    placed = archives.select("archive", "segment", "content").join(ranges.hint("merge"), ["archive", "segment"]).select("content", "ranges")
     return placed.mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 

@@ -42,7 +42,7 @@ class WaveletMatrix:
         x = np.ascontiguousarray(ids, np.uint16 if bits <= 16 else np.uint32)
         planes, zeros, directory = [], [], []
         for shift in range(bits - 1, -1, -1):
-            ones = ((x >> x.dtype.type(shift)) & x.dtype.type(1)).astype(bool)
+            ones = (x & x.dtype.type(1 << shift)) != 0
             plane = np.packbits(ones)
             planes.append(plane)
             directory.append(cls._directory(plane))
@@ -177,42 +177,66 @@ _BLANKS = "\t-\r \u0085\u00a0"
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-į"
 _NUMBERS = "0-9²³¹¼-¾"
 _words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+").findall
-_beyond = re.compile("[^\x00-į]").search
+#: What the fast way leaves to the library: later letters, and controls that only Python takes for white space.
+_beyond = re.compile("[^\x00-\x1b\x20-į]").search
+_controls = re.compile("[\x1c-\x1f]").search
 
 
 class WordTokenizer:
-    """The tokenizers library behind a bounded table of words already encoded."""
+    """The tokenizers library behind a bounded table of white-space-delimited chunks already encoded.
 
-    def __init__(self, path: str, remember: int = 300_000) -> None:
-        from tokenizers import Tokenizer
+    White space never joins two words of this vocabulary, so a chunk's ids do not depend on its neighbours. New chunks
+    are cut into words and go through the library's model many at a time; words end at tokens with the word-end mark.
+    """
+
+    def __init__(self, path: str, remember: int = 1_000_000) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.size = self.library.get_vocab_size(with_added_tokens=True)
+        self.last = np.zeros(self.size, bool)
+        for token, i in self.library.get_vocab(with_added_tokens=False).items():
+            self.last[i] = token.endswith("</w>")
         self.remember, self.known = remember, {}
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, chunks: list[str]) -> None:
+        cut = [[c] if c.isalpha() else [c[:-1], c[-1]] if c[-1] in ",." and c[:-1].isalpha() else _words(c) for c in chunks]
+        flat = [w for words in cut for w in words]
+        pieces = self.model.encode_batch_fast([" ".join(flat[i : i + 500]) for i in range(0, len(flat), 500)], add_special_tokens=False)
+        ids = np.concatenate([np.array(p.ids, "<u2") for p in pieces])
+        word_ends = np.flatnonzero(self.last[ids]) + 1
+        if len(word_ends) != len(flat):
+            raise ValueError("the vocabulary does not mark where words end")
+        ends = (2 * word_ends[np.cumsum([len(words) for words in cut]) - 1]).tolist()
+        data, start = ids.tobytes(), 0
+        for chunk, end in zip(chunks, ends, strict=True):
+            self.known[chunk] = data[start:end]
+            start = end
+
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Packed unsigned 16-bit ids of each text and the end id."""
-        plain: dict[int, list[str]] = {}
-        for i, text in enumerate(texts):
-            if "<|" not in text and not _beyond(text):
-                plain[i] = _words(text.lower())
+        plain = {i: t.lower().split() for i, t in enumerate(texts) if "<|" not in t and not (_controls(t) if t.isascii() else _beyond(t))}
         if len(self.known) > self.remember:
             self.known = {}
-        known = self.known
-        new = list({w for words in plain.values() for w in words if w not in known})
-        for word, ids in zip(new, self._encode(new), strict=True):
-            known[word] = struct.pack(f"<{len(ids)}H", *ids)
+        get = self.known.get
+        found = {i: list(map(get, chunks)) for i, chunks in plain.items()}
+        holes = [i for i, parts in found.items() if None in parts]
+        if new := {c for i in holes for c, p in zip(plain[i], found[i], strict=True) if p is None}:
+            self._learn(list(new))
+            for i in holes:
+                found[i] = [get(c) if p is None else p for c, p in zip(plain[i], found[i], strict=True)]
         rest = [i for i in range(len(texts)) if i not in plain]
         other = dict(zip(rest, self._encode([texts[i] for i in rest]), strict=True))
         stop = struct.pack("<H", end)
-        get = known.__getitem__
-        return [(b"".join(map(get, plain[i])) if i in plain else struct.pack(f"<{len(other[i])}H", *other[i])) + stop for i in range(len(texts))]
+        return [b"".join(found[i]) + stop if i in found else struct.pack(f"<{len(other[i])}H", *other[i]) + stop for i in range(len(texts))]
 
 
 @lru_cache(maxsize=2)
