@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from lodeworks.plans import retrieval, text  # noqa: F401
+from lodeworks.plans import analytics, retrieval, text  # noqa: F401
