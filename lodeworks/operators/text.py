@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodeworks.functions.arrow import arrow_function
+
 _CJK = r"[\x{4e00}-\x{9fff}]"
 
 
@@ -28,10 +30,23 @@ def strip_marks(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[\s\W_]+", "")
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed a single time."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def bigrams(text: Column) -> Column:
-    """Distinct two-character pieces; a shorter text is its own piece, an empty one has none."""
-    n = F.length(text)
-    return F.when(n == 0, F.array().cast("array<string>")).when(n < 2, F.array(text)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(text, i, F.lit(2)))))
+    """Distinct two-character pieces; a shorter text is its own piece, an empty one has none.
+
+    The text is cut into characters once: taking each piece from the text itself would cost its square.
+    """
+
+    def pairs(chars: Column) -> Column:
+        n = F.size(chars)
+        joined = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1)))
+        return F.when(n == 0, F.array().cast("array<string>")).when(n < 2, chars).otherwise(F.array_distinct(joined))
+
+    return once(F.filter(F.split(text, ""), lambda c: c != ""), pairs)
 
 
 def anchor_terms(text: Column) -> Column:
@@ -112,13 +127,13 @@ def source_allowed(host: Column, allow: list[str], deny: list[str]) -> Column:
     return ~within(deny) & (within(allow) if allow else F.lit(True))
 
 
-@F.pandas_udf("string")
+@arrow_function("string")
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode compatibility composition, which Spark has no function for; whole Arrow batches at a time."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("string")
+@arrow_function("string")
 def casefold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else t.casefold())
 
