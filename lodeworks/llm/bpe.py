@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.llm import common
 from lodeworks.llm.lexicon import Lexicon, build
+from lodeworks.llm.merging import MergeTable, merge_words
 
 #: The word pattern of this kind of vocabulary, and the same for texts below U+0250.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -47,7 +48,7 @@ def split_words(text: str) -> list[str]:
     return _full(text) if _beyond(text) else _latin(text)
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in the vocabulary file."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = dict.fromkeys(plain)
@@ -61,9 +62,9 @@ class Vocabulary:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             doc = json.load(f)
-        byte_of = {c: b for b, c in enumerate(_byte_letters())}
+        byte_of = {c: b for b, c in enumerate(byte_letters())}
         ids = doc["model"]["vocab"]
-        self.single = [ids[c] for c in _byte_letters()]
+        self.single = [ids[c] for c in byte_letters()]
         self.special = {t["content"]: t["id"] for t in doc["added_tokens"]}
         self.tokens: list[bytes] = [b""] * (1 + max([*ids.values(), *self.special.values()]))
         for token, i in ids.items():
@@ -177,6 +178,7 @@ class Encoder:
     def __init__(self, vocab: Vocabulary, lexicon: Lexicon, remember: int = 200_000) -> None:
         self.vocab, self.lexicon, self.remember = vocab, lexicon, remember
         self.merged: dict[str, bytes] = {}
+        self.table, self.single = MergeTable(vocab.merges), np.array(vocab.single, np.int32)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian ids of each text."""
@@ -196,14 +198,15 @@ class Encoder:
         if len(self.merged) > self.remember:
             self.merged = {}
         merged, merge = self.merged, vocab.merge
+        unseen = [w for w, ids in known.items() if ids is None and w not in merged]
+        for word, ids in zip(unseen, merge_words(self.table, [w.encode() for w in unseen], self.single, self.single, "<u4"), strict=True):
+            if ids is None:  # a long word
+                known[word] = np.array(merge(word.encode()), "<u4").tobytes()
+            else:
+                merged[word] = ids
         for word, ids in known.items():
             if ids is None:
-                ids = merged.get(word)
-                if ids is None:
-                    ids = np.array(merge(word.encode()), "<u4").tobytes()
-                    if len(word) <= 64:
-                        merged[word] = ids
-                known[word] = ids
+                known[word] = merged[word]
         for mark, i in vocab.special.items():
             known[mark] = int(i).to_bytes(4, "little")
         return [b"".join(map(known.__getitem__, words)) for words in split]

@@ -12,6 +12,7 @@ taken whole (a document may make a shard larger than the aim); columns besides `
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -26,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeworks.llm import common
+from lodeworks.llm.bpe import byte_letters
+from lodeworks.llm.merging import MergeTable, merge_words
 
 _MAGIC = b"LWWAV1\n\0"
 _STEP = 512
@@ -46,9 +49,12 @@ class WaveletMatrix:
             plane = np.packbits(ones)
             planes.append(plane)
             directory.append(cls._directory(plane))
-            low = x[~ones]
-            zeros.append(len(low))
-            x = np.concatenate([low, x[ones]])
+            low = len(x) - int(np.count_nonzero(ones))
+            zeros.append(low)
+            parted = np.empty_like(x)
+            np.compress(~ones, x, out=parted[:low])
+            np.compress(ones, x, out=parted[low:])
+            x = parted
         return cls(len(ids), bits, planes, zeros, directory)
 
     @staticmethod
@@ -179,60 +185,79 @@ _NUMBERS = "0-9²³¹¼-¾"
 _words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+").findall
 #: What the fast way leaves to the library: later letters, and controls that only Python takes for white space.
 _beyond = re.compile("[^\x00-\x1b\x20-į]").search
-_controls = re.compile("[\x1c-\x1f]").search
+
+
+def _is_plain(text: str) -> bool:
+    """Whether the fast way gives what the library gives."""
+    return "<|" not in text and ((text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f")) or not _beyond(text))
 
 
 class WordTokenizer:
     """The tokenizers library behind a bounded table of white-space-delimited chunks already encoded.
 
     White space never joins two words of this vocabulary, so a chunk's ids do not depend on its neighbours. New chunks
-    are cut into words and go through the library's model many at a time; words end at tokens with the word-end mark.
+    are cut into words, whose merges are made side by side; what is not plain text goes through the library itself.
     """
 
     def __init__(self, path: str, remember: int = 1_000_000) -> None:
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.model = Tokenizer(self.library.model)
-        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.size = self.library.get_vocab_size(with_added_tokens=True)
-        self.last = np.zeros(self.size, bool)
-        for token, i in self.library.get_vocab(with_added_tokens=False).items():
-            self.last[i] = token.endswith("</w>")
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        ids, end = model["vocab"], model["end_of_word_suffix"]
+        self.merges = MergeTable({(ids[a], ids[b]): (rank, ids[a.removesuffix(end) + b]) for rank, (a, b) in enumerate(model["merges"])})
+        self.inside = np.array([ids[c] for c in byte_letters()], np.int32)
+        self.ending = np.array([ids[c + end] for c in byte_letters()], np.int32)
         self.remember, self.known = remember, {}
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: list[str]) -> None:
-        cut = [[c] if c.isalpha() else [c[:-1], c[-1]] if c[-1] in ",." and c[:-1].isalpha() else _words(c) for c in chunks]
-        flat = [w for words in cut for w in words]
-        pieces = self.model.encode_batch_fast([" ".join(flat[i : i + 500]) for i in range(0, len(flat), 500)], add_special_tokens=False)
-        ids = np.concatenate([np.array(p.ids, "<u2") for p in pieces])
-        word_ends = np.flatnonzero(self.last[ids]) + 1
-        if len(word_ends) != len(flat):
-            raise ValueError("the vocabulary does not mark where words end")
-        ends = (2 * word_ends[np.cumsum([len(words) for words in cut]) - 1]).tolist()
-        data, start = ids.tobytes(), 0
-        for chunk, end in zip(chunks, ends, strict=True):
-            self.known[chunk] = data[start:end]
-            start = end
+        """Ids of new chunks, put together from those of their words; only words that are new too go through the model."""
+        known = self.known
+        cut = {c: [c[:-1], c[-1]] if c[-1] in ",." and c[:-1].isalpha() else _words(c) for c in chunks if not c.isalpha()}
+        words = {c for c in chunks if c not in cut}
+        words.update(w for ws in cut.values() for w in ws if w not in known)
+        flat = list(words)
+        long = []
+        for word, ids in zip(flat, merge_words(self.merges, [w.encode() for w in flat], self.inside, self.ending, "<u2"), strict=True):
+            if ids is None:
+                long.append(word)
+            else:
+                known[word] = ids
+        for word, ids in zip(long, self._encode(long), strict=True):
+            known[word] = struct.pack(f"<{len(ids)}H", *ids)
+        for chunk, ws in cut.items():
+            known[chunk] = b"".join(map(known.__getitem__, ws))
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Packed unsigned 16-bit ids of each text and the end id."""
-        plain = {i: t.lower().split() for i, t in enumerate(texts) if "<|" not in t and not (_controls(t) if t.isascii() else _beyond(t))}
+        plain = {i: t.lower().split() for i, t in enumerate(texts) if _is_plain(t)}
         if len(self.known) > self.remember:
             self.known = {}
         get = self.known.get
         found = {i: list(map(get, chunks)) for i, chunks in plain.items()}
-        holes = [i for i, parts in found.items() if None in parts]
-        if new := {c for i in holes for c, p in zip(plain[i], found[i], strict=True) if p is None}:
-            self._learn(list(new))
-            for i in holes:
-                found[i] = [get(c) if p is None else p for c, p in zip(plain[i], found[i], strict=True)]
+        holes: list[tuple[list[bytes], int, str]] = []
+        for i, parts in found.items():
+            if None not in parts:
+                continue
+            at, chunks = -1, plain[i]
+            try:
+                while True:
+                    at = parts.index(None, at + 1)
+                    holes.append((parts, at, chunks[at]))
+            except ValueError:  # no further hole
+                pass
+        if holes:
+            self._learn(list({chunk for _, _, chunk in holes}))
+            for parts, at, chunk in holes:
+                parts[at] = get(chunk)
         rest = [i for i in range(len(texts)) if i not in plain]
         other = dict(zip(rest, self._encode([texts[i] for i in rest]), strict=True))
         stop = struct.pack("<H", end)
@@ -295,14 +320,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, image in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
             docs, lengths, matrix = from_image(image.as_py())
             ids = matrix.all().astype("<u4")
-            ends = np.cumsum(lengths)
+            view, ends = memoryview(ids), np.cumsum(lengths)
             begins = ends - lengths
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(docs, pa.int64()),
                     pa.array(begins + start),
                     pa.array(lengths),
-                    pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], pa.int64()),
+                    pa.array([zlib.crc32(view[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], pa.int64()),
                 ],
                 ["doc_id", "start", "n_tokens", "ids_crc32"],
             )
