@@ -83,8 +83,8 @@ def _ranked(rows: DataFrame, plan: DataFrame, most: float, seed: int) -> DataFra
         joined.withColumn("expected", expected)
         .withColumn("certain", F.floor("expected").cast("long"))
         .withColumn("p", F.col("expected") - F.col("certain"))
-        .withColumn("q", (u / (1 - u)) * (1 - F.col("p")) / F.col("p"))
-        .withColumn("order", F.when(F.col("p") > 0, F.col("q") / (1 + F.col("q"))))  # the same order within 0 to 1
+        .withColumn("q", F.when(F.col("p") > 0, (u / (1 - u)) * (1 - F.col("p")) / F.col("p")))
+        .withColumn("order", F.col("q") / (1 + F.col("q")))  # the same order within 0 to 1
         .drop("q")
     )
 
