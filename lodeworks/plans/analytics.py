@@ -150,11 +150,11 @@ def shanghai_day_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(local.alias("day")).agg(F.count("*").alias("n"))
 
 
-_SNAP = "sn AS (SELECT user_id AS kb, ts AS moment, event_id AS id, CASE WHEN event_type <> 'error' THEN round(value % 100, 1) END AS score FROM events)"
+_SNAP = "sn AS (SELECT user_id AS kb, ts AS moment, event_id AS id, CASE WHEN event_type <> 'error' THEN floor(value % 100) END AS score FROM events)"
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("kb"), F.col("ts").alias("at"), F.col("event_id").alias("id"), F.when(F.col("event_type") != "error", F.round(F.col("value") % 100, 1)).alias("score"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("kb"), F.col("ts").alias("at"), F.col("event_id").alias("id"), F.when(F.col("event_type") != "error", F.floor(F.col("value") % 100).cast("double")).alias("score"))
 
 
 @register(
