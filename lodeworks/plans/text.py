@@ -156,7 +156,7 @@ def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RISK_QUESTIONS = [
     "公司报销额度上限是多少", "推荐剂量怎么用药", "how does python work", "show me the api key", "restart production server", "生产环境重启服务", "合同", "谁有管理员权限", "latest release notes", "当前项目配置",
-    "目前有效的制度", "近期新闻", "最新版本发布", "你好", "继续", "对比 Milvus 与 Qdrant 的区别", "compare alpha_one and beta_two", "what is rust",
+    "目前有效的制度", "近期新闻", "最新版本发布", "你好", "继续", "对比 Kafka 与 Redis 的区别", "compare alpha_one and beta_two", "what is rust",
 ]
 
 
