@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from lodeworks.session import ship_package
@@ -71,7 +72,7 @@ def documents_in_pieces(batches: Iterator[pa.RecordBatch], text_at: int, chars:
     """
     for batch in batches:
         column = batch.column(text_at)
-        sizes = column.cast(pa.large_string()).buffers() and pa.compute.binary_length(column).to_pylist()
+        sizes = pc.binary_length(column).to_pylist()
         start, held = 0, 0
         for i, n in enumerate(sizes):
             if held and held + (n or 0) > chars:
