@@ -2,8 +2,8 @@
 
 Every text is scanned once. The base spans are fixed patterns; further candidates are long mixed-alphabet runs of high
 entropy. Hashes of all candidate values are then aggregated over the whole corpus by distinct repositories and owners:
-a value that many owners hold is a copied example, one that a single owner holds and that looks random is live-looking.
-The method adds a ``live`` span for candidates of the latter kind that no base span covers.
+a value that many owners hold is a copied example, any other value of a base span is live-looking whatever its characters,
+and any other further candidate is if it looks random. The method adds a ``live`` span for candidates of the latter kind that no base span covers.
 
 Defined cases: a null text is empty (no spans, digest of the empty string); a null repository or owner counts as one
 of its own; repeated rows each get their result; ``doc_id`` may be null or repeated, since rows are told apart by an
@@ -106,8 +106,8 @@ def ownership(candidates: DataFrame) -> DataFrame:
 def scan_corpus(docs: DataFrame, repo: str = "repo", owner: str = "owner", copied_owners: int = 2, least_bits: float = 3.0) -> DataFrame:
     """One row per document with base and added spans and the number of live-looking and copied values.
 
-    A value held by ``copied_owners`` owners or more is a copied example. One held by fewer is live-looking when it has
-    ``least_bits`` bits a character. Returns ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied,
+    A value held by ``copied_owners`` owners or more is a copied example. One held by fewer is live-looking when a base
+    span holds it or it has ``least_bits`` bits a character. Returns ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied,
     live array<struct<start,end>>``.
     """
     cols = docs.select("doc_id", "text", F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"))
@@ -115,7 +115,7 @@ def scan_corpus(docs: DataFrame, repo: str = "repo", owner: str = "owner", copie
     flat = scanned.where(F.size("candidates") > 0).select("row", "repo", "owner", F.explode("candidates").alias("c")).select("row", "repo", "owner", "c.*")
     copied = F.col("owners") >= copied_owners
     judged = flat.join(ownership(flat), "hash").select(
-        "row", F.struct("start", "end", "base").alias("at"), (~copied & (F.col("bits") >= least_bits)).alias("live"), copied.alias("copied")
+        "row", F.struct("start", "end", "base").alias("at"), (~copied & (F.col("base") | (F.col("bits") >= least_bits))).alias("live"), copied.alias("copied")
     )
     # bounded by the candidates of one document
     per_row = judged.groupBy("row").agg(
@@ -126,13 +126,17 @@ def scan_corpus(docs: DataFrame, repo: str = "repo", owner: str = "owner", copie
 
 def _mark(batches: Iterator[pa.RecordBatch], at: int, with_candidates: bool) -> Iterator[pa.RecordBatch]:
     """Rows with (or without) candidates; those with them carry their candidates."""
-    shape = pa.list_(pa.struct([("hash", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("bits", pa.float64())]))
+    shape = pa.list_(pa.struct([("hash", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("bits", pa.float64())]))
     for rows, texts in common.documents_in_pieces(batches, at):
-        found = [scan(t)[1] for t in texts]
-        hit = [bool(f) for f in found]
+        found = [scan(t) for t in texts]
+        hit = [bool(values) for _, values in found]
         kept = rows.filter(pa.array(hit if with_candidates else [not h for h in hit], pa.bool_()))
         if with_candidates:
-            cells = [[{"hash": hashlib.sha256(v.encode()).hexdigest()[:32], "start": s, "end": e, "bits": entropy(v)} for s, e, v in f] for f in found if f]
+            covered = [{(s, e) for s, e, _ in base} for base, values in found if values]
+            cells = [
+                [{"hash": hashlib.sha256(v.encode()).hexdigest()[:32], "start": s, "end": e, "base": (s, e) in c, "bits": entropy(v)} for s, e, v in values]
+                for (_, values), c in zip((f for f in found if f[1]), covered, strict=True)
+            ]
             kept = pa.RecordBatch.from_arrays([*kept.columns, pa.array(cells, shape)], [*kept.schema.names, "candidates_"])
         yield kept
 
@@ -156,10 +160,10 @@ def redact(docs: DataFrame, repo: Column, owner: Column, copied_owners: int = 2,
     clash = {"candidates_", "row_", "repo_", "owner_", "live_"} & set(columns)
     if clash:
         raise ValueError(f"columns {sorted(clash)} are those of the scan; rename them first")
-    more = StructType([*docs.schema.fields]).add("candidates_", ArrayType(StructType().add("hash", "string").add("start", "long").add("end", "long").add("bits", "double")))
+    more = StructType([*docs.schema.fields]).add("candidates_", ArrayType(StructType().add("hash", "string").add("start", "long").add("end", "long").add("base", "boolean").add("bits", "double")))
     hit = common.settle(docs.mapInArrow(lambda b: _mark(b, at, True), more).withColumns({"row_": F.monotonically_increasing_id(), "repo_": repo.cast("string"), "owner_": owner.cast("string")}), "secret-rows")
     flat = hit.select("row_", F.col("repo_").alias("repo"), F.col("owner_").alias("owner"), F.explode("candidates_").alias("c")).select("row_", "repo", "owner", "c.*")
-    live = flat.join(ownership(flat), "hash").where((F.col("owners") < copied_owners) & (F.col("bits") >= least_bits))
+    live = flat.join(ownership(flat), "hash").where((F.col("owners") < copied_owners) & (F.col("base") | (F.col("bits") >= least_bits)))
     spans = live.groupBy("row_").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("live_"))
     joined = hit.join(spans, "row_", "left").select(*columns, F.coalesce("live_", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")).alias("live_"))
 

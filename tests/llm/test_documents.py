@@ -142,6 +142,16 @@ def test_redaction(spark):
     assert got == {1: "x [SECRET] y", 2: copied, 3: copied, 4: "clean", 5: None}
 
 
+def test_short_and_plain_base_values_are_live(spark):
+    from pyspark.sql import functions as F
+
+    values = ["Passw0rd", "letmein1", "Tr0ub4dor", "Summer2024", "hunter2hunter2", "aaaaaaaa"]
+    rows = [(i, f"x password={v} y", "a") for i, v in enumerate(values)] + [(20, f"x {'Zz9' * 20} y", "a")]
+    got = {r.doc_id: r.text for r in secrets.redact(docs(spark, rows), F.col("lang"), F.col("source")).collect()}
+    assert got == {**dict.fromkeys(range(len(values)), "x [SECRET] y"), 20: rows[-1][1]}
+    assert {r.doc_id: r.n_live for r in secrets.scan_corpus(docs(spark, rows), "lang", "source").collect()} == {**dict.fromkeys(range(len(values)), 1), 20: 0}
+
+
 # toxicity -----------------------------------------------------------------------------------------------------------
 
 
