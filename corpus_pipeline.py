@@ -27,7 +27,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with secrets that a single source holds replaced in the text; ``n_chars`` follows the text."""
+    """Every document, with secrets that are not widely copied replaced in the text; ``n_chars`` follows the text."""
     source = F.coalesce("source", F.lit("\0"))
     redacted = secrets.redact(docs, F.concat_ws("/", source, F.coalesce("lang", F.lit("\0"))), F.col("source"))
     return redacted.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else redacted

@@ -2,11 +2,12 @@
 
 Every text is scanned once. The base spans are fixed patterns; further candidates are long mixed-alphabet runs of high
 entropy. Hashes of all candidate values are then aggregated over the whole corpus by distinct repositories and owners:
-a value that many owners hold is a copied example, any other value of a base span is live-looking whatever its characters,
+a value that a wide share of all owners and of all repositories hold in texts of their own is a copied example, any other value of a base span is live-looking whatever its characters,
 and any other further candidate is if it looks random. The method adds a ``live`` span for candidates of the latter kind that no base span covers.
 
 Defined cases: a null text is empty (no spans, digest of the empty string); a null repository or owner counts as one
-of its own; repeated rows each get their result; ``doc_id`` may be null or repeated, since rows are told apart by an
+of its own; exact copies of a text count once, for the first of their owners and repositories; among four owners or fewer
+one owner is a wide share, so that a text copied from one to another is an example there; repeated rows each get their result; ``doc_id`` may be null or repeated, since rows are told apart by an
 internal number; texts are scanned whole; an empty table gives no rows; other columns are not read.
 """
 
@@ -33,6 +34,8 @@ HEX = r"[0-9a-f]+"
 #: Further candidates: runs of this alphabet and length with all three character classes and this many bits a character.
 RUN = r"[A-Za-z0-9+/_-]{24,}"
 LEAST_BITS = 4.0
+#: Share of all owners and of all repositories that makes a value a copied example.
+WIDE = 0.25
 
 _assign = re.compile(ASSIGN).finditer
 _access = re.compile(r"AKIA[A-Z0-9]{12,}").finditer  # the run is taken whole, so this is the 16+ filter
@@ -46,6 +49,10 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
+def _hash(value: str) -> str:
+    return hashlib.sha256(value.encode()).hexdigest()[:32]
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans ``(start, end, kind)`` in order, and candidates ``(start, end, value)`` with the values of base spans."""
     base: list[tuple[int, int, int]] = []
@@ -74,7 +81,7 @@ def render(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{s}:{e}" for s, e, kind in spans)
 
 
-_SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, base string, candidates array<struct<hash:string,start:bigint,end:bigint,base:boolean,bits:double>>"
+_SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, base string, candidates array<struct<hash:string,start:bigint,end:bigint,base:boolean,bits:double>>, same string"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,37 +91,59 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [Counter(k for _, _, k in base) for base, _ in found]
         covered = [{(s, e) for s, e, _ in base} for base, _ in found]
         candidates = [
-            [{"hash": hashlib.sha256(v.encode()).hexdigest()[:32], "start": s, "end": e, "base": (s, e) in c, "bits": entropy(v)} for s, e, v in values] for (_, values), c in zip(found, covered, strict=True)
+            [{"hash": _hash(v), "start": s, "end": e, "base": (s, e) in c, "bits": entropy(v)} for s, e, v in values] for (_, values), c in zip(found, covered, strict=True)
         ]
         yield pa.RecordBatch.from_arrays(
-            [rows.column(0), *(pa.array([k[x] for k in kinds], pa.int64()) for x in KINDS), pa.array([render(b) for b, _ in found], pa.string()), pa.array(candidates, shape), rows.column(2), rows.column(3)],
-            ["doc_id", "n_assign", "n_access", "n_hex", "base", "candidates", "repo", "owner"],
+            [
+                rows.column(0),
+                *(pa.array([k[x] for k in kinds], pa.int64()) for x in KINDS),
+                pa.array([render(b) for b, _ in found], pa.string()),
+                pa.array(candidates, shape),
+                pa.array([_hash(t) if v else None for t, (_, v) in zip(texts, found, strict=True)], pa.string()),
+                rows.column(2),
+                rows.column(3),
+            ],
+            ["doc_id", "n_assign", "n_access", "n_hex", "base", "candidates", "same", "repo", "owner"],
         )
 
 
-def ownership(candidates: DataFrame) -> DataFrame:
-    """Distinct repositories and owners of each candidate hash over the corpus.
+def _holders(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select(*more, F.coalesce("repo", F.lit("\0")).alias("repo"), F.coalesce("owner", F.lit("\0")).alias("owner")).distinct()
+
 
-    Repeats are merged before the first shuffle, then counted; no group is gathered.
+def ownership(candidates: DataFrame, docs: DataFrame) -> DataFrame:
+    """Distinct owners of each candidate hash over the corpus, and the shares of all owners and repositories in ``docs``.
+
+    The shares count every distinct text (``same``) once. Repeats are merged before the first shuffle, then counted; no
+    group is gathered.
     """
-    holders = candidates.select("hash", F.coalesce("repo", F.lit("\0")).alias("repo"), F.coalesce("owner", F.lit("\0")).alias("owner")).distinct()
-    repos = holders.select("hash", "repo").distinct().groupBy("hash").agg(F.count("*").alias("repos"))
+    holders = _holders(candidates, "hash", "same")
     owners = holders.select("hash", "owner").distinct().groupBy("hash").agg(F.count("*").alias("owners"))
-    return repos.join(owners, "hash")
+    texts = holders.groupBy("hash", "same").agg(F.min(F.struct("owner", "repo")).alias("first")).select("hash", "first.*")
+    by = lambda name: texts.select("hash", name).distinct().groupBy("hash").agg(F.count("*").alias(f"{name}s_apart"))
+    # one row
+    every = _holders(docs).agg(F.countDistinct("owner").alias("all_owners"), F.countDistinct("repo").alias("all_repos"))
+    told = owners.join(by("owner"), "hash").join(by("repo"), "hash").crossJoin(F.broadcast(every))
+    return told.select("hash", "owners", (F.col("owners_apart") / F.col("all_owners")).alias("owner_share"), (F.col("repos_apart") / F.col("all_repos")).alias("repo_share"))
+
+
+def _copied(copied_owners: int, wide: float) -> Column:
+    return (F.col("owners") >= copied_owners) & (F.col("owner_share") >= wide) & (F.col("repo_share") >= wide)
 
 
-def scan_corpus(docs: DataFrame, repo: str = "repo", owner: str = "owner", copied_owners: int = 2, least_bits: float = 3.0) -> DataFrame:
+def scan_corpus(docs: DataFrame, repo: str = "repo", owner: str = "owner", copied_owners: int = 2, least_bits: float = 3.0, wide: float = WIDE) -> DataFrame:
     """One row per document with base and added spans and the number of live-looking and copied values.
 
-    A value held by ``copied_owners`` owners or more is a copied example. One held by fewer is live-looking when a base
-    span holds it or it has ``least_bits`` bits a character. Returns ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied,
+    A value held by ``copied_owners`` owners or more, and by a share of ``wide`` or more of all owners and of all
+    repositories in texts of their own, is a copied example. Any other is live-looking when a base span holds it or it has
+    ``least_bits`` bits a character. Returns ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied,
     live array<struct<start,end>>``.
     """
     cols = docs.select("doc_id", "text", F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"))
     scanned = common.settle(cols.mapInArrow(_scan, f"{_SCANNED}, repo string, owner string").withColumn("row", F.monotonically_increasing_id()), "secret-scan")
-    flat = scanned.where(F.size("candidates") > 0).select("row", "repo", "owner", F.explode("candidates").alias("c")).select("row", "repo", "owner", "c.*")
-    copied = F.col("owners") >= copied_owners
-    judged = flat.join(ownership(flat), "hash").select(
+    flat = scanned.where(F.size("candidates") > 0).select("row", "repo", "owner", "same", F.explode("candidates").alias("c")).select("row", "repo", "owner", "same", "c.*")
+    copied = _copied(copied_owners, wide)
+    judged = flat.join(ownership(flat, scanned), "hash").select(
         "row", F.struct("start", "end", "base").alias("at"), (~copied & (F.col("base") | (F.col("bits") >= least_bits))).alias("live"), copied.alias("copied")
     )
     # bounded by the candidates of one document
@@ -134,10 +163,11 @@ def _mark(batches: Iterator[pa.RecordBatch], at: int, with_candidates: bool) ->
         if with_candidates:
             covered = [{(s, e) for s, e, _ in base} for base, values in found if values]
             cells = [
-                [{"hash": hashlib.sha256(v.encode()).hexdigest()[:32], "start": s, "end": e, "base": (s, e) in c, "bits": entropy(v)} for s, e, v in values]
+                [{"hash": _hash(v), "start": s, "end": e, "base": (s, e) in c, "bits": entropy(v)} for s, e, v in values]
                 for (_, values), c in zip((f for f in found if f[1]), covered, strict=True)
             ]
-            kept = pa.RecordBatch.from_arrays([*kept.columns, pa.array(cells, shape)], [*kept.schema.names, "candidates_"])
+            same = [_hash(t) for t, h in zip(texts, hit, strict=True) if h]
+            kept = pa.RecordBatch.from_arrays([*kept.columns, pa.array(cells, shape), pa.array(same, pa.string())], [*kept.schema.names, "candidates_", "same_"])
         yield kept
 
 
@@ -151,19 +181,20 @@ def _blank(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, repo: Column, owner: Column, copied_owners: int = 2, least_bits: float = 3.0) -> DataFrame:
+def redact(docs: DataFrame, repo: Column, owner: Column, copied_owners: int = 2, least_bits: float = 3.0, wide: float = WIDE) -> DataFrame:
     """``docs`` with live-looking values replaced by ``[SECRET]``; copied examples and all other rows stay as they are.
 
     Only rows with candidates take part in joins, so texts without any are never shuffled.
     """
     columns, at = docs.columns, docs.columns.index("text")
-    clash = {"candidates_", "row_", "repo_", "owner_", "live_"} & set(columns)
+    clash = {"candidates_", "same_", "row_", "repo_", "owner_", "live_"} & set(columns)
     if clash:
         raise ValueError(f"columns {sorted(clash)} are those of the scan; rename them first")
-    more = StructType([*docs.schema.fields]).add("candidates_", ArrayType(StructType().add("hash", "string").add("start", "long").add("end", "long").add("base", "boolean").add("bits", "double")))
+    more = StructType([*docs.schema.fields]).add("candidates_", ArrayType(StructType().add("hash", "string").add("start", "long").add("end", "long").add("base", "boolean").add("bits", "double"))).add("same_", "string")
     hit = common.settle(docs.mapInArrow(lambda b: _mark(b, at, True), more).withColumns({"row_": F.monotonically_increasing_id(), "repo_": repo.cast("string"), "owner_": owner.cast("string")}), "secret-rows")
-    flat = hit.select("row_", F.col("repo_").alias("repo"), F.col("owner_").alias("owner"), F.explode("candidates_").alias("c")).select("row_", "repo", "owner", "c.*")
-    live = flat.join(ownership(flat), "hash").where((F.col("owners") < copied_owners) & (F.col("base") | (F.col("bits") >= least_bits)))
+    flat = hit.select("row_", F.col("repo_").alias("repo"), F.col("owner_").alias("owner"), F.col("same_").alias("same"), F.explode("candidates_").alias("c")).select("row_", "repo", "owner", "same", "c.*")
+    held = ownership(flat, docs.select(repo.cast("string").alias("repo"), owner.cast("string").alias("owner")))
+    live = flat.join(held, "hash").where(~_copied(copied_owners, wide) & (F.col("base") | (F.col("bits") >= least_bits)))
     spans = live.groupBy("row_").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("live_"))
     joined = hit.join(spans, "row_", "left").select(*columns, F.coalesce("live_", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")).alias("live_"))
 

@@ -152,6 +152,21 @@ def test_short_and_plain_base_values_are_live(spark):
     assert {r.doc_id: r.n_live for r in secrets.scan_corpus(docs(spark, rows), "lang", "source").collect()} == {**dict.fromkeys(range(len(values)), 1), 20: 0}
 
 
+def test_copied_examples_are_widely_spread(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "clean", f"s{i:02}", f"r{i:02}") for i in range(20)]
+    rows += [(100 + i, "one text token=aB3dE5gH7jK9", f"s{i:02}", f"r{i:02}") for i in range(12)]  # copies of one text
+    rows += [(200 + i, f"text {i} token=bC4eF6hJ8kL0", f"s{i:02}", f"r{i:02}") for i in range(2)]  # two owners of twenty
+    rows += [(300 + i, f"text {i} token=cD5fG7iK9lM1", f"s{i:02}", "r00") for i in range(8)]  # one repository
+    rows += [(400 + i, f"text {i} token=EXAMPLEvalue1", f"s{i:02}", f"r{i:02}") for i in range(8)]  # an example
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    got = {r.doc_id: r.text for r in secrets.redact(d, F.col("repo"), F.col("source")).collect()}
+    assert {i for i, t in got.items() if "[SECRET]" in t} == {i for i, *_ in rows if 100 <= i < 400}
+    told = {r.doc_id: (r.n_live, r.n_copied) for r in secrets.scan_corpus(d, "repo", "source").collect()}
+    assert told == {i: (0, 0) if i < 100 else (1, 0) if i < 400 else (0, 1) for i, *_ in rows}
+
+
 # toxicity -----------------------------------------------------------------------------------------------------------
 
 
