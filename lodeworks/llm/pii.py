@@ -31,7 +31,7 @@ PATTERNS: dict[str, str] = {
     "person": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sr|Sra)\.\x20[A-Z][a-z]+(?:\x20[A-Z][a-z]+)?",
 }
 BASE = ("email", "ip", "card", "phone")
-_NEEDS = {"email": "@", "ip": ".", "phone": "+", "local_phone": "-", "national_id": "-", "person": ". "}
+_NEEDS = {"email": "@", "ip": ".", "phone": "+", "national_id": "-", "person": ". "}
 #: Gazetteer: cue words that come before personal data, by kind.
 _CUES = {
     "email": r"(?i)(mail|contact|courriel|correo|write to)",
@@ -56,7 +56,7 @@ def _found(kind: str) -> Column:
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
     if kind in _NEEDS:
         matches = F.when(F.contains(text, F.lit(_NEEDS[kind])), matches).otherwise(F.array().cast("array<string>"))
-    if kind == "card":  # long runs of single digits are no card; runs are kept with 16 to 19 digits only after their place is known
+    if kind in ("card", "local_phone"):  # long runs of single digits are no card; runs are kept with 16 to 19 digits only after their place is known
         matches = F.when(F.rlike(text, F.lit("[0-9]")), matches).otherwise(F.array().cast("array<string>"))
 
     def placed(m: Column) -> Column:

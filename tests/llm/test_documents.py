@@ -289,6 +289,13 @@ def test_pii_spans(spark):
     assert pii.find(docs(spark, [(1, "a@b.c", "s")]).limit(0)).count() == 0
 
 
+def test_local_phones_without_hyphens(spark):
+    texts = ["call 555.123.4567 now", "call (555) 123.4567 now", "call 555.123.4567 now - or later", "call 555-123-4567 now"]
+    rows, cands = pii.candidates(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]))
+    got = sorted((r.doc_id, r.start, r.end) for r in cands.where("kind = 'local_phone'").join(rows, "row").collect())
+    assert got == [(0, 5, 17), (1, 5, 19), (2, 5, 17), (3, 5, 17)]
+
+
 def test_label_model_learns_reliabilities(spark):
     rnd = random.Random(6)
     rows = []
