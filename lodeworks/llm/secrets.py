@@ -33,7 +33,7 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 #: Further candidates: runs of this alphabet and length with all three character classes and this many bits a character.
 RUN = r"[A-Za-z0-9+/_-]{24,}"
-LEAST_BITS = 4.0
+LEAST_BITS = 3.0
 #: Share of all owners and of all repositories that makes a value a copied example.
 WIDE = 0.25
 
@@ -131,7 +131,7 @@ def _copied(copied_owners: int, wide: float) -> Column:
     return (F.col("owners") >= copied_owners) & (F.col("owner_share") >= wide) & (F.col("repo_share") >= wide)
 
 
-def scan_corpus(docs: DataFrame, repo: str = "repo", owner: str = "owner", copied_owners: int = 2, least_bits: float = 3.0, wide: float = WIDE) -> DataFrame:
+def scan_corpus(docs: DataFrame, repo: str = "repo", owner: str = "owner", copied_owners: int = 2, least_bits: float = LEAST_BITS, wide: float = WIDE) -> DataFrame:
     """One row per document with base and added spans and the number of live-looking and copied values.
 
     A value held by ``copied_owners`` owners or more, and by a share of ``wide`` or more of all owners and of all
@@ -181,7 +181,7 @@ def _blank(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, repo: Column, owner: Column, copied_owners: int = 2, least_bits: float = 3.0, wide: float = WIDE) -> DataFrame:
+def redact(docs: DataFrame, repo: Column, owner: Column, copied_owners: int = 2, least_bits: float = LEAST_BITS, wide: float = WIDE) -> DataFrame:
     """``docs`` with live-looking values replaced by ``[SECRET]``; copied examples and all other rows stay as they are.
 
     Only rows with candidates take part in joins, so texts without any are never shuffled.

@@ -167,6 +167,15 @@ def test_copied_examples_are_widely_spread(spark):
     assert told == {i: (0, 0) if i < 100 else (1, 0) if i < 400 else (0, 1) for i, *_ in rows}
 
 
+def test_random_tokens_reach_the_verdict(spark):
+    rnd = random.Random(8)
+    chars = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)]))
+    tokens = ["".join(rnd.choice(chars) for _ in range(24)) for _ in range(400)]
+    tokens = [t for t in tokens if re.search("[0-9]", t) and re.search("[a-z]", t) and re.search("[A-Z]", t)]
+    assert min(map(secrets.entropy, tokens)) < 4
+    assert all(len(secrets.scan(f"x {t} y")[1]) == 1 for t in tokens)
+
+
 # toxicity -----------------------------------------------------------------------------------------------------------
 
 
