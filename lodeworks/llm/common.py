@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,15 +22,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one is set only where that is unset (tests)."""
+    """The folder named in ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session takes a temporary folder of its own; on a cluster it is an error, since its
+    machines share no local folder.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='lodeworks-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = f"file://{tempfile.mkdtemp(prefix='lodeworks-')}"
+        named = _own[app]
     return named.rstrip("/")
 
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``taken`` has it (Spark tells no case apart)."""
+    used = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/lodeworks/{name}-{uuid.uuid4().hex}"
 

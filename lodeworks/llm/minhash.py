@@ -8,6 +8,8 @@ Texts with equal shingle sets are one node from the start. Nodes that meet in a
 agree well enough become candidates; the components of the candidate graph are the groups in which links are decided.
 A group's sets are compared exactly, in tiles of bounded size. A group of more than one block is first compared with
 its first block, which joins most of it, and then only tiles that can still join different components are compared.
+A table's bucket of more rows than one task should compare goes the same way with its sketches, so that every bucket is
+compared whole and by the same rule, and no bucket or group lies in one task.
 
 Defined cases: a null text or one without words has an empty set and links with nothing (its component is itself);
 fewer than five words are one shingle; only A to Z are lower-cased; rows without a ``doc_id`` take part but never name a
@@ -24,18 +26,22 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeworks.llm import common
-from lodeworks.llm.graph import blank_bits, components
+from lodeworks.llm.graph import components, forest_edges, place_bits
 
 SHINGLE = 5
 COLLECTION, ROWS = 12, 2  # two collections of 12 sub-signatures of 2 minhashes
 HASHES = 2 * COLLECTION * ROWS
 #: A pair goes on if so many of the 48 one-byte sketches agree; at 0.75 one in a hundred thousand has fewer.
 LEAST_AGREE = 22
-_BLOCK = 200_000  # shingles in a block of a group, counting 200 for smaller sets
+#: Rows of a bucket that are compared in place; longer buckets are compared in blocks of half as many.
+BUCKET = 2048
+_BLOCK = 60_000  # shingles in a block of a group, counting 200 for smaller sets
+#: Bits a grouped row in the bitmap that spares other texts the second reading, and the most it may have (32 MB).
+_BITS_A_ROW, _MOST_BITS = 16, 28
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 _rng = np.random.default_rng(20240607)
@@ -153,28 +159,75 @@ def _runs(tables: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.RecordB
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of keys that more than one row has, found with one row of memory between batches."""
-    last_key, last_node, open_run = None, 0, False
+    """Rows of keys that more than one row has, with their position in the key's run; one row is held between batches."""
+    last: tuple[int, int, int] | None = None  # key, node, position
+    sent = False
     for rows in batches:
         keys, nodes = rows.column(0).to_numpy(), rows.column(1).to_numpy()
         if not len(keys):
             continue
-        if last_key is not None:
-            keys, nodes = np.concatenate([[last_key], keys]), np.concatenate([[last_node], nodes])
+        begun = 0
+        if last is not None:
+            keys, nodes, begun = np.concatenate([[last[0]], keys]), np.concatenate([[last[1]], nodes]), last[2]
         same = keys[1:] == keys[:-1]
+        starts = np.flatnonzero(np.concatenate([[True], ~same]))
+        at = np.arange(len(keys)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(keys)]])))
+        at[: starts[1] if len(starts) > 1 else len(at)] += begun
         member = np.zeros(len(keys), bool)
         member[1:] |= same
         member[:-1] |= same
-        if last_key is not None and open_run:
-            member[0] = False  # it was sent with the batch before
-        last_key, last_node = keys[-1], nodes[-1]
-        open_run = bool(member[-1]) or (len(keys) == 1 and open_run)
+        if last is not None and sent:
+            member[0] = False  # it went out with the batch before
+        sent = bool(member[-1]) or (sent and len(keys) == 1)
+        last = (int(keys[-1]), int(nodes[-1]), int(at[-1]))
         if member.any():
-            yield pa.RecordBatch.from_arrays([pa.array(keys[member]), pa.array(nodes[member])], ["key", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[member]), pa.array(nodes[member]), pa.array(at[member])], ["key", "node", "at"])
+
+
+def _agreeing(sketch: np.ndarray, sizes: np.ndarray, some: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of ``others`` agree well enough with one of ``some``."""
+    hit = np.zeros(len(others), bool)
+    step = max(1, 400_000 // len(others))
+    for s in range(0, len(some), step):
+        todo = np.flatnonzero(~hit)
+        if not len(todo):
+            break
+        x, y = some[s : s + step], others[todo]
+        if len(x) * len(y) <= 4000:
+            agree = (sketch[x][:, None, :] == sketch[y][None, :, :]).sum(axis=2)
+        else:
+            agree = np.zeros((len(x), len(y)), np.uint8)
+            for k in range(HASHES):
+                agree += sketch[x, k][:, None] == sketch[y, k]
+        n, m = sizes[x][:, None], sizes[y]
+        hit[todo[((agree >= LEAST_AGREE) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m))).any(axis=0)]] = True
+    return hit
+
+
+def grown(n: int, joined) -> tuple[np.ndarray, np.ndarray]:
+    """Tree edges (member, root) of the components of ``n`` items; ``joined(some, others)`` tells which others one of some links with.
+
+    Each component grows from its first item, so that what is found is not compared again.
+    """
+    left = np.arange(n)
+    members, roots = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(left) > 1:
+        root, left = left[0], left[1:]
+        front = np.array([root])
+        while len(front) and len(left):
+            hit = joined(front, left)
+            front, left = left[hit], left[~hit]
+            members.append(front)
+            roots.append(np.full(len(front), root))
+    return np.concatenate(members), np.concatenate(roots)
+
+
+def sketch_forest(sketch: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return grown(len(sizes), lambda some, others: _agreeing(sketch, sizes, some, others))
 
 
 def _candidate_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per bucket a forest of the pairs whose sketches agree; a bucket of over 2048 rows is one chain without that filter."""
+    """Per bucket a forest of the pairs whose sketches agree."""
     for rows in _runs(batches):
         keys, nodes, sizes = rows.column(0).to_numpy(), rows.column(1).to_numpy(), rows.column(2).to_numpy()
         sketch = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint8).reshape(-1, HASHES)
@@ -185,19 +238,9 @@ def _candidate_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         ok &= 4 * np.minimum(sizes[two], sizes[two + 1]) >= 3 * np.maximum(sizes[two], sizes[two + 1])
         a, b = [nodes[two][ok]], [nodes[two + 1][ok]]
         for s, c in zip(starts[counts > 2].tolist(), counts[counts > 2].tolist(), strict=True):
-            own = nodes[s : s + c]
-            if c > 2048:
-                a.append(own[:-1])
-                b.append(own[1:])
-                continue
-            piece, n = sketch[s : s + c], sizes[s : s + c]
-            agree = np.zeros((c, c), np.uint8)
-            for k in range(HASHES):
-                agree += piece[:, k, None] == piece[None, :, k]
-            near = (agree >= LEAST_AGREE) & (4 * np.minimum(n[:, None], n) >= 3 * np.maximum(n[:, None], n))
-            x, y = forest(near)
-            a.append(own[x])
-            b.append(own[y])
+            x, y = sketch_forest(sketch[s : s + c], sizes[s : s + c])
+            a.append(nodes[s : s + c][x])
+            b.append(nodes[s : s + c][y])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
@@ -222,46 +265,107 @@ def similar(sets: list[np.ndarray]) -> np.ndarray:
     """Which pairs of sorted sets have ``100 * intersection >= 75 * union``, exactly."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
-    common_ = np.zeros((n, n), np.int64)
-    if n <= 6:
-        for i in range(n):
-            for j in range(i + 1, n):
-                if 4 * min(sizes[i], sizes[j]) >= 3 * max(sizes[i], sizes[j]):
-                    common_[i, j] = common_[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-    else:
-        flat, rows = np.concatenate(sets), np.repeat(np.arange(n), sizes)
-        order = np.argsort(flat, kind="stable")
-        flat, rows = flat[order], rows[order]
-        column = np.concatenate([[0], np.cumsum(flat[1:] != flat[:-1])])
-        repeated = np.bincount(column)[column] > 1
-        column, rows = column[repeated], rows[repeated]
-        if len(column):
-            column = np.concatenate([[0], np.cumsum(column[1:] != column[:-1])])
-            width = 2048
-            cuts = np.searchsorted(column, np.arange(0, column[-1] + 1 + width, width))
-            for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                dense = np.zeros((n, width), np.float32)
-                dense[rows[s:e], column[s:e] - k * width] = 1
-                common_ += np.rint(dense @ dense.T).astype(np.int64)
-    near = 100 * common_ >= 75 * (sizes[:, None] + sizes[None, :] - common_)
+    common_ = np.zeros((n, n), np.int32)
+    flat, rows = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, rows = flat[order], rows[order]
+    column = np.concatenate([[0], np.cumsum(flat[1:] != flat[:-1])])
+    repeated = np.bincount(column)[column] > 1
+    column, rows = column[repeated], rows[repeated]
+    if len(column):
+        column = np.concatenate([[0], np.cumsum(column[1:] != column[:-1])])
+        width = 1024
+        cuts = np.searchsorted(column, np.arange(0, column[-1] + 1 + width, width))
+        for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            dense = np.zeros((n, width), np.float32)
+            dense[rows[s:e], column[s:e] - k * width] = 1
+            common_ += (dense @ dense.T).astype(np.int32)  # whole numbers up to 1024, exact in any float
+    near = 100 * common_.astype(np.int64) >= 75 * (sizes[:, None] + sizes[None, :] - common_)
     np.fill_diagonal(near, False)
     return near
 
 
-def _tile_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Forest of exact links in each tile of sorted ``tile, node, set`` rows."""
-    for rows in _runs(batches):
-        tiles, nodes = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], tiles[1:] != tiles[:-1]])).tolist()
-        a, b = [], []
-        for s, e in zip(starts, [*starts[1:], len(tiles)], strict=True):
-            own, first = np.unique(nodes[s:e], return_index=True)
-            if len(own) > 1:
-                x, y = forest(similar([np.frombuffer(rows.column(2)[s + i].as_py(), np.uint64) for i in first.tolist()]))
-                a.append(own[x])
-                b.append(own[y])
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+def set_forest(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Tree edges of the exact links among sorted sets.
+
+    Components are grown one set at a time as long as that takes most of what is left; a remainder of unlike sets is
+    compared by matrix products.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    left = np.argsort(-sizes, kind="stable") if len(sets) > 2 else np.arange(len(sets))
+
+    def against(one: int, others: np.ndarray) -> np.ndarray:
+        """Which of ``others`` link with one set."""
+        fits = 4 * np.minimum(sizes[others], sizes[one]) >= 3 * np.maximum(sizes[others], sizes[one])
+        out = np.zeros(len(others), bool)
+        if fits.any():
+            own = others[fits]
+            flat = np.concatenate([sets[i] for i in own.tolist()])
+            at = np.searchsorted(sets[one], flat)
+            same = sets[one][np.minimum(at, sizes[one] - 1)] == flat
+            shared = np.add.reduceat(same.astype(np.int64), np.concatenate([[0], np.cumsum(sizes[own])[:-1]]))
+            out[fits] = 100 * shared >= 75 * (sizes[own] + sizes[one] - shared)
+        return out
+
+    def joined(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+        if len(some) <= len(others):
+            hit = np.zeros(len(others), bool)
+            for i in some.tolist():
+                todo = np.flatnonzero(~hit)
+                if not len(todo):
+                    break
+                hit[todo[against(i, others[todo])]] = True
+            return hit
+        return np.array([against(i, some).any() for i in others.tolist()], bool)
+
+    poor = 0
+    while len(left) > 1 and (poor < 4 or len(left) <= 8):
+        before, root, left = len(left), int(left[0]), left[1:]
+        front = np.array([root])
+        while len(front) and len(left):
+            if min(len(front), len(left)) > 32:
+                break
+            hit = joined(front, left)
+            front, left = left[hit], left[~hit]
+            x.append(front)
+            y.append(np.full(len(front), root))
+        if len(front) and len(left):  # a wide front and much left: all of both at once
+            both = np.concatenate([front, left])
+            m, r = forest(similar([sets[i] for i in both.tolist()]))
+            x.append(both[m])
+            y.append(both[r])
+            return np.concatenate(x), np.concatenate(y)
+        poor += 2 * len(left) > before
+    if len(left) > 1:
+        m, r = forest(similar([sets[i] for i in left.tolist()]))
+        x.append(left[m])
+        y.append(left[r])
+    return np.concatenate(x), np.concatenate(y)
+
+
+def _in_tiles(joined):
+    """Forest of links in each tile of sorted ``tile, node, n, data`` rows; ``joined(sizes, data)`` links the rows of one tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches):
+            tiles, nodes, sizes = rows.column(0).to_numpy(), rows.column(1).to_numpy(), rows.column(2).to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], tiles[1:] != tiles[:-1]])).tolist()
+            a, b = [], []
+            for s, e in zip(starts, [*starts[1:], len(tiles)], strict=True):
+                own, first = np.unique(nodes[s:e], return_index=True)
+                if len(own) > 1:
+                    x, y = joined(sizes[s:e][first], [rows.column(3)[s + i].as_py() for i in first.tolist()])
+                    a.append(own[x])
+                    b.append(own[y])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return run
+
+
+_by_sets = _in_tiles(lambda sizes, data: set_forest([np.frombuffer(d, np.uint64) for d in data]))
+_by_sketches = _in_tiles(lambda sizes, data: sketch_forest(np.frombuffer(b"".join(data), np.uint8).reshape(-1, HASHES), sizes))
 
 
 @lru_cache(maxsize=2)
@@ -280,73 +384,90 @@ def _sets(bitmap: str):
                 sets = [s for s in map(shingle_set, texts) if len(s)]
                 keys = [set_keys(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["k1", "k2", "set"]
+                    [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["k1", "k2", "data"]
                 )
 
     return run
 
 
-def _tiles(sets: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Exact links of ``tiles(node, tile)`` rows; a tile has at most about two blocks of sets."""
-    placed = tiles.join(sets.select("node", "set"), "node").select("tile", "node", "set")
-    return placed.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_edges, "a long, b long")
+def _tiles(items: DataFrame, tiles: DataFrame, joined) -> DataFrame:
+    """Links within ``tiles(grp, node, tile)`` of ``items``; a tile has at most about two blocks."""
+    placed = tiles.join(items.select("grp", "node", "n", "data"), ["grp", "node"]).select("tile", "node", "n", "data")
+    return placed.repartition("tile").sortWithinPartitions("tile").mapInArrow(joined, "a long, b long")
+
 
+def _links(items: DataFrame, weight: Column, block: int, joined, known: DataFrame | None = None) -> DataFrame:
+    """Links of ``items(grp, node, n, data)`` within their groups, enough of them to join what is linked.
 
-def _links(sets: DataFrame) -> DataFrame:
-    """Verified links of ``sets(grp, node, n, set)``, enough of them to join what is linked."""
-    weight = F.greatest("n", F.lit(200))
-    groups = sets.groupBy("grp").agg(F.ceil(F.sum(weight) / _BLOCK).cast("int").alias("blocks"))
+    A group is cut into blocks of ``block`` weight. ``known`` edges count as found already, so that what they join is not compared.
+    """
+    groups = items.groupBy("grp").agg(F.ceil(F.sum(weight) / block).cast("int").alias("blocks"))
     place = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
-    blocked = common.settle(sets.select("grp", "node", "n").join(groups, "grp").withColumn("block", place), "near-blocks")
+    blocked = common.settle(items.select("grp", "node", "n").join(groups, "grp").withColumn("block", place), "near-blocks")
     # first every block with block 0
     to = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    first = blocked.select("node", "grp", F.explode(to).alias("j")).select("node", F.xxhash64("grp", "j", F.lit(0)).alias("tile"))
-    found = common.settle(_tiles(sets, first), "near-links")
+    first = blocked.select("grp", "node", F.explode(to).alias("j")).select("grp", "node", F.xxhash64("grp", "j", F.lit(0)).alias("tile"))
+    found = forest_edges(_tiles(items, first, joined), "near-links")
     large = blocked.where("blocks > 1")
     if large.isEmpty():
         return found
     # what is not yet in a group's main component, against all of the group
-    roots = components(found)
+    roots = components(found if known is None else found.union(known))
     rooted = common.settle(large.join(roots, "node", "left").select("grp", "node", "n", F.coalesce("root", "node").alias("root")), "near-rooted")
     sums = rooted.groupBy("grp", "root").agg(F.count("*").alias("c"))
-    main = sums.groupBy("grp").agg(F.max(F.struct("c", "root"))["root"].alias("main"))
+    main = sums.groupBy("grp").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    if main.isEmpty():
+        return found
     sided = rooted.join(main, "grp").withColumn("rest", F.col("root") != F.col("main"))
-    counts = sided.groupBy("grp", "rest").agg(F.ceil(F.sum(weight) / _BLOCK).cast("int").alias("k"))
-    per = counts.groupBy("grp").agg(F.coalesce(F.max(F.when(F.col("rest"), F.col("k"))), F.lit(0)).alias("rests"), F.coalesce(F.max(F.when(~F.col("rest"), F.col("k"))), F.lit(0)).alias("mains"))
-    spread = sided.join(per.where("rests > 0"), "grp").withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mains"))).cast("int"))
+    counts = sided.groupBy("grp", "rest").agg(F.ceil(F.sum(weight) / block).cast("int").alias("k"))
+    per = counts.groupBy("grp").agg(F.max(F.when(F.col("rest"), F.col("k"))).alias("rests"), F.max(F.when(~F.col("rest"), F.col("k"))).alias("mains"))
+    spread = sided.join(per, "grp").withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mains"))).cast("int"))
     # tiles (r, m) of the rest's blocks and the main blocks, and (r, r') within the rest
     with_main = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda m: F.xxhash64("grp", F.lit(1), "own", m))
     within = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: F.xxhash64("grp", F.lit(2), F.least("own", r), F.greatest("own", r)))
     as_main = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: F.xxhash64("grp", F.lit(1), r, "own"))
-    second = spread.select("node", F.explode(F.when(F.col("rest"), F.concat(with_main, within)).otherwise(as_main)).alias("tile"))
-    return found.unionByName(common.settle(_tiles(sets, second), "near-links"))
+    second = spread.select("grp", "node", F.explode(F.when(F.col("rest"), F.concat(with_main, within)).otherwise(as_main)).alias("tile"))
+    return found.unionByName(forest_edges(_tiles(items, second, joined), "near-links"))
 
 
-def near_duplicates(docs: DataFrame, filter_bits: int = 25) -> DataFrame:
+def _groups(nodes: DataFrame) -> DataFrame:
+    """``node, root`` of the candidate groups of ``nodes(node, n, sig)``."""
+    bands = nodes.select("node", "sig").mapInArrow(_bands, "key long, node long")
+    shared = common.settle(bands.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long, at long"), "near-shared")
+    # one byte of each minhash: the lowest of its little-endian four
+    sketches = nodes.select("node", "n", "sig").mapInArrow(_sketch, "node long, n long, data binary")
+    long_ = shared.where(F.col("at") == BUCKET).select("key")  # one row for each longer bucket
+    some_long = not long_.isEmpty()
+    short = shared.join(long_, "key", "left_anti") if some_long else shared
+    buckets = short.join(sketches, "node").select("key", "node", "n", "data").repartition("key").sortWithinPartitions("key", "node")
+    edges = forest_edges(buckets.mapInArrow(_candidate_edges, "a long, b long"), "near-candidates")
+    if some_long:
+        rows = shared.join(long_, "key", "left_semi").join(sketches, "node").select(F.col("key").alias("grp"), "node", "n", "data")
+        edges = edges.union(_links(common.settle(rows, "near-buckets"), F.lit(1), BUCKET // 2, _by_sketches, edges))
+    return components(edges)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept, keeper, h`` (a hash of the text).
 
-    ``kept`` marks rows whose ``doc_id`` names their component; ``keeper`` exactly one row of each component.
-    ``filter_bits`` sets the size of a bitmap (4 MB) that spares most texts the second reading; it never drops one.
+    ``kept`` marks rows whose ``doc_id`` names their component; ``keeper`` exactly one row of each component. A bitmap of
+    the grouped documents, of at most 32 MB, spares most other texts the second reading; it never drops one.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     rows = common.settle(docs.withColumn("h", F.xxhash64("text")).mapInArrow(_features, "doc_id long, h long, n long, k1 long, k2 long, sig binary").withColumn("row", F.monotonically_increasing_id()), "near-features")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     nodes = common.settle(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("node"), first.alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig")), "near-nodes")
-    bands = nodes.select("node", "sig").mapInArrow(_bands, "key long, node long")
-    shared = bands.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long")
-    # one byte of each minhash: the lowest of its little-endian four
-    sketches = nodes.select("node", "n", "sig").mapInArrow(_sketch, "node long, n long, sketch binary")
-    buckets = shared.join(sketches, "node").select("key", "node", "n", "sketch").repartition("key").sortWithinPartitions("key", "node")
-    groups = components(buckets.mapInArrow(_candidate_edges, "a long, b long"))
-    grouped = common.settle(groups.join(nodes.select("node", "k1", "k2", "n", "first"), "node").select(F.col("root").alias("grp"), "node", "k1", "k2", "n", F.col("first.doc_id").alias("doc_id")), "near-grouped")
-    place = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << filter_bits) - 1))
-    bitmap = common.ship_bytes(spark, "near-filter.bin", blank_bits(grouped.select(place.alias("place")), filter_bits))
-    again = docs.select(place.alias("place"), "text").mapInArrow(_sets(bitmap), "k1 long, k2 long, set binary")
-    sets = common.settle(again.join(grouped.drop("doc_id"), ["k1", "k2"]).select("grp", "node", "n", "set"), "near-sets")
-    roots = components(_links(sets))
-    labelled = nodes.select("k1", "k2", "node", "first").join(roots, "node", "left").select("k1", "k2", "first", F.coalesce("root", "node").alias("root"))
-    named = labelled.groupBy("root").agg(F.min("first").alias("lead"))
+    grouped = common.settle(_groups(nodes).join(nodes.select("node", "k1", "k2", "n", "first"), "node").select(F.col("root").alias("grp"), "node", "k1", "k2", "n", F.col("first.doc_id").alias("doc_id")), "near-grouped")
+    bits = min(_MOST_BITS, max(10, (_BITS_A_ROW * grouped.count()).bit_length()))
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << bits) - 1))
+    bitmap = common.ship_bytes(spark, "near-filter.bin", place_bits(grouped.select(place.alias("place")), bits))
+    again = docs.select(place.alias("place"), "text").mapInArrow(_sets(bitmap), "k1 long, k2 long, data binary")
+    sets = common.settle(again.join(grouped.drop("doc_id"), ["k1", "k2"]).select("grp", "node", "n", "data"), "near-sets")
+    roots = components(_links(sets, F.greatest("n", F.lit(200)), _BLOCK, _by_sets))
+    labelled = common.settle(nodes.select("k1", "k2", "node", "first").join(roots, "node", "left").select("k1", "k2", "first", F.coalesce("root", "node").alias("root")), "near-labels")
+    # written first, so that neither side of the join is bound to the grouping and a large component can be split
+    named = common.settle(labelled.groupBy("root").agg(F.min("first").alias("lead")), "near-leads")
     by_set = labelled.join(named, "root").select("k1", "k2", F.col("lead.doc_id").alias("lead"), F.col("lead.row").alias("lead_row"))
     joined = rows.select("doc_id", "h", "n", "k1", "k2", "row").join(by_set, ["k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.col("lead")).otherwise(F.col("doc_id"))
@@ -361,21 +482,20 @@ def near_duplicates(docs: DataFrame, filter_bits: int = 25) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` from each group of near-duplicates, and every row that is in no group."""
-    if "h" in docs.columns or "copy_" in docs.columns:
-        raise ValueError("columns h and copy_ are those of the join; rename them first")
-    keep = near_duplicates(docs).where("keeper").select(F.col("doc_id").alias("keep_id"), F.col("h").alias("keep_h")).distinct()
-    hashed = docs.withColumn("h", F.xxhash64("text"))
-    kept = hashed.join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h")), "left_semi")
+    """One row of ``docs`` from each group of near-duplicates, and every row that is in no group; columns of any name stay."""
+    h, keep_id, keep_h, copy = common.fresh(docs.columns, "h", "keep_id", "keep_h", "copy")
+    keep = near_duplicates(docs).where("keeper").select(F.col("doc_id").alias(keep_id), F.col("h").alias(keep_h)).distinct()
+    hashed = docs.withColumn(h, F.xxhash64("text"))
+    kept = hashed.join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col(keep_id)) & (F.col(h) == F.col(keep_h)), "left_semi")
     # rows equal in id and text count as one, also without words
-    once = kept.withColumn("copy_", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy(F.lit(0)))).where("copy_ = 1")
+    once = kept.withColumn(copy, F.row_number().over(Window.partitionBy("doc_id", h).orderBy(F.lit(0)))).where(F.col(copy) == 1)
     return once.select(*docs.columns)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
         sig = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint8).reshape(-1, HASHES, 4)[:, :, 0]
-        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([s.tobytes() for s in sig], pa.binary())], ["node", "n", "sketch"])
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([s.tobytes() for s in sig], pa.binary())], ["node", "n", "data"])
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

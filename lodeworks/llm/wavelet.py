@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -237,31 +238,36 @@ class WordTokenizer:
             known[chunk] = b"".join(map(known.__getitem__, ws))
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
-        """Packed unsigned 16-bit ids of each text and the end id."""
-        plain = {i: t.lower().split() for i, t in enumerate(texts) if _is_plain(t)}
+        """Packed unsigned 16-bit ids of each text and the end id.
+
+        Plain texts are cut, numbered and put together in whole columns; Python sees each distinct chunk once a call.
+        """
+        stop = struct.pack("<H", end)
+        plain = [i for i, t in enumerate(texts) if _is_plain(t)]
+        out: list[bytes] = [stop] * len(texts)
+        cut = pc.utf8_split_whitespace(pc.utf8_lower(pa.array([texts[i] for i in plain], pa.string())))
+        coded = cut.flatten().dictionary_encode()
+        joined = pa.array(self._of_chunks(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        _, offsets, data = joined.buffers()
+        if data is not None:
+            ends = np.frombuffer(offsets, np.int64, len(joined) + 1)[cut.offsets.to_numpy()].tolist()
+            whole = memoryview(data)
+            for i, s, e in zip(plain, ends, ends[1:], strict=False):
+                out[i] = whole[s:e].tobytes() + stop
+        done = set(plain)
+        rest = [i for i in range(len(texts)) if i not in done]
+        for i, ids in zip(rest, self._encode([texts[i] for i in rest]), strict=True):
+            out[i] = struct.pack(f"<{len(ids)}H", *ids) + stop
+        return out
+
+    def _of_chunks(self, chunks: list[str]) -> list[bytes]:
         if len(self.known) > self.remember:
             self.known = {}
-        get = self.known.get
-        found = {i: list(map(get, chunks)) for i, chunks in plain.items()}
-        holes: list[tuple[list[bytes], int, str]] = []
-        for i, parts in found.items():
-            if None not in parts:
-                continue
-            at, chunks = -1, plain[i]
-            try:
-                while True:
-                    at = parts.index(None, at + 1)
-                    holes.append((parts, at, chunks[at]))
-            except ValueError:  # no further hole
-                pass
-        if holes:
-            self._learn(list({chunk for _, _, chunk in holes}))
-            for parts, at, chunk in holes:
-                parts[at] = get(chunk)
-        rest = [i for i in range(len(texts)) if i not in plain]
-        other = dict(zip(rest, self._encode([texts[i] for i in rest]), strict=True))
-        stop = struct.pack("<H", end)
-        return [b"".join(found[i]) + stop if i in found else struct.pack(f"<{len(other[i])}H", *other[i]) + stop for i in range(len(texts))]
+        known = self.known
+        known[""] = b""  # beside white space at an end of a text
+        if unseen := [c for c in chunks if c not in known]:
+            self._learn(unseen)
+        return [known[c] for c in chunks]
 
 
 @lru_cache(maxsize=2)
@@ -292,7 +298,7 @@ def _write(vocab: str, end: int, aim: int):
             return row
 
         held = 0
-        for rows, texts in common.documents_in_pieces(batches, 1):
+        for rows, texts in common.documents_in_pieces(batches, 1, 6_000_000):
             for doc, ids in zip(rows.column(0).to_pylist(), tokenizer.encode(texts, end), strict=True):
                 docs.append(doc)
                 packed.append(ids)
