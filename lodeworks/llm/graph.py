@@ -36,24 +36,39 @@ def roots_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[up]
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of a task, or of each million of them, as a forest of stars."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
+class Stars:
+    """Edges that a task holds, and what is left of them as a forest."""
 
-    def reduced() -> pa.RecordBatch:
-        nodes, roots = roots_of(*(np.concatenate(side) for side in zip(*held, strict=True)))
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            self.held.append((a, b))
+            self.size += len(a)
+
+    @property
+    def full(self) -> bool:
+        return self.size >= _PIECE
+
+    def take(self) -> pa.RecordBatch:
+        """The edges so far, a star for each component, smallest node first; they are forgotten here."""
+        nodes, roots = roots_of(*(np.concatenate(side) for side in zip(*self.held, strict=True)))
         apart = nodes != roots
+        self.held, self.size = [], 0
         return pa.RecordBatch.from_arrays([pa.array(roots[apart]), pa.array(nodes[apart])], ["a", "b"])
 
+
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task, or of each million of them, as a forest."""
+    forest = Stars()
     for rows in batches:
-        held.append((rows.column(0).to_numpy(), rows.column(1).to_numpy()))
-        size += rows.num_rows
-        if size >= _PIECE:
-            yield reduced()
-            held, size = [], 0
-    if size:
-        yield reduced()
+        forest.add(rows.column(0).to_numpy(), rows.column(1).to_numpy())
+        if forest.full:
+            yield forest.take()
+    if forest.size:
+        yield forest.take()
 
 
 def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,16 +80,17 @@ def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def forest_edges(edges: DataFrame, name: str = "component-edges") -> DataFrame:
     """``edges(a, b)`` reduced within each task, in the shared folder; the same nodes are joined."""
-    return common.settle(edges.select("a", "b").mapInArrow(_stars, "a long, b long"), name)
+    return common.settle(edges.select("a", "b").mapInArrow(stars, "a long, b long"), name)
 
 
-def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+def components(edges: DataFrame, one_task: int = ONE_TASK, reduced: bool = False) -> DataFrame:
     """``node, root`` for every node of an edge of ``edges(a, b)`` between two nodes; nodes are joined exactly if their roots agree.
 
     In a round of contraction a node points to the neighbour (or itself) of the lowest priority, a hash that changes
-    with the round, and edges are carried over to what their ends point to; a hub costs one row per task.
+    with the round, and edges are carried over to what their ends point to; a hub costs one row per task. ``reduced``
+    edges are those of ``forest_edges`` already.
     """
-    e = forest_edges(edges)
+    e = edges if reduced else forest_edges(edges)
     maps: list[DataFrame] = []
     while (left := e.count()) > one_task:
         seed = F.lit(len(maps))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeworks.llm import common
-from lodeworks.llm.graph import components, forest_edges, place_bits
+from lodeworks.llm.graph import Stars, components, forest_edges, place_bits
 
 SHINGLE = 5
 COLLECTION, ROWS = 12, 2  # two collections of 12 sub-signatures of 2 minhashes
@@ -131,6 +131,26 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(nodes)], ["key", "node"])
 
 
+def _sketches(sig: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(HASHES), len(sig), [None, pa.py_buffer(np.ascontiguousarray(sig.astype(np.uint8)))]).cast(pa.binary())
+
+
+def _heads(tables: tuple[int, ...]):
+    """The rows of a few tables with their sketches; each node is its own root."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for at in range(0, rows.num_rows, 2000):
+                piece = rows.slice(at, 2000)
+                sig = np.frombuffer(b"".join(piece.column(2).to_pylist()), np.uint32).reshape(-1, HASHES)
+                keys = table_keys(sig)[:, list(tables)]
+                each = np.repeat(np.arange(len(sig)), len(tables))
+                node = piece.column(0).take(pa.array(each))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), node, piece.column(1).take(pa.array(each)), _sketches(sig).take(pa.array(each)), node], ["key", "node", "n", "data", "root"])
+
+    return run
+
+
 def _runs(tables: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.RecordBatch]:
     """Batches of sorted rows cut so that no key goes on in the next; a key with very many rows makes a long batch."""
     held: list[pa.RecordBatch] = []
@@ -159,29 +179,25 @@ def _runs(tables: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.RecordB
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of keys that more than one row has, with their position in the key's run; one row is held between batches."""
-    last: tuple[int, int, int] | None = None  # key, node, position
+    """Rows of keys that more than one row has; one row is held between batches."""
+    last: tuple[int, int] | None = None
     sent = False
     for rows in batches:
         keys, nodes = rows.column(0).to_numpy(), rows.column(1).to_numpy()
         if not len(keys):
             continue
-        begun = 0
         if last is not None:
-            keys, nodes, begun = np.concatenate([[last[0]], keys]), np.concatenate([[last[1]], nodes]), last[2]
+            keys, nodes = np.concatenate([[last[0]], keys]), np.concatenate([[last[1]], nodes])
         same = keys[1:] == keys[:-1]
-        starts = np.flatnonzero(np.concatenate([[True], ~same]))
-        at = np.arange(len(keys)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(keys)]])))
-        at[: starts[1] if len(starts) > 1 else len(at)] += begun
         member = np.zeros(len(keys), bool)
         member[1:] |= same
         member[:-1] |= same
         if last is not None and sent:
             member[0] = False  # it went out with the batch before
         sent = bool(member[-1]) or (sent and len(keys) == 1)
-        last = (int(keys[-1]), int(nodes[-1]), int(at[-1]))
+        last = int(keys[-1]), int(nodes[-1])
         if member.any():
-            yield pa.RecordBatch.from_arrays([pa.array(keys[member]), pa.array(nodes[member]), pa.array(at[member])], ["key", "node", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[member]), pa.array(nodes[member])], ["key", "node"])
 
 
 def _agreeing(sketch: np.ndarray, sizes: np.ndarray, some: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -226,22 +242,104 @@ def sketch_forest(sketch: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np
     return grown(len(sizes), lambda some, others: _agreeing(sketch, sizes, some, others))
 
 
-def _candidate_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per bucket a forest of the pairs whose sketches agree."""
-    for rows in _runs(batches):
-        keys, nodes, sizes = rows.column(0).to_numpy(), rows.column(1).to_numpy(), rows.column(2).to_numpy()
+def _bucket_edges(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ends of a forest, per bucket of whole buckets, of the pairs whose sketches agree, as far as it joins different roots."""
+    keys, sizes, roots = (rows.column(k).to_numpy() for k in (0, 2, 4))
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    counts = np.diff(np.concatenate([starts, [len(keys)]]))
+    mixed = np.minimum.reduceat(roots, starts) != np.maximum.reduceat(roots, starts)
+    starts, counts = starts[mixed], counts[mixed]
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if len(starts):
         sketch = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint8).reshape(-1, HASHES)
-        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        counts = np.diff(np.concatenate([starts, [len(keys)]]))
         two = starts[counts == 2]
         ok = (sketch[two] == sketch[two + 1]).sum(axis=1) >= LEAST_AGREE
         ok &= 4 * np.minimum(sizes[two], sizes[two + 1]) >= 3 * np.maximum(sizes[two], sizes[two + 1])
-        a, b = [nodes[two][ok]], [nodes[two + 1][ok]]
+        a.append(two[ok])
+        b.append(two[ok] + 1)
         for s, c in zip(starts[counts > 2].tolist(), counts[counts > 2].tolist(), strict=True):
             x, y = sketch_forest(sketch[s : s + c], sizes[s : s + c])
-            a.append(nodes[s : s + c][x])
-            b.append(nodes[s : s + c][y])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            a.append(s + x)
+            b.append(s + y)
+    x, y = np.concatenate(a), np.concatenate(b)
+    new = roots[x] != roots[y]
+    return x[new], y[new]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[pa.RecordBatch, bool, bool]]:
+    """Whole buckets together, or a piece of about ``longest`` rows of one longer bucket, with whether it is one and whether it is its first."""
+    held: list[pa.RecordBatch] = []
+    size, running = 0, None
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, longest):
+            rows = batch.slice(at, longest)
+            held.append(rows)
+            size += rows.num_rows
+            if size <= longest:
+                continue
+            whole = joined()
+            keys = whole.column(0).to_numpy()
+            running = running if running == int(keys[0]) else None
+            cut = int(np.searchsorted(keys, keys[-1], "left"))
+            if cut:
+                ended = 0 if running is None else int(np.searchsorted(keys, keys[0], "right"))
+                if ended:
+                    yield whole.slice(0, ended), True, False
+                if cut > ended:
+                    yield whole.slice(ended, cut - ended), False, True
+                whole, running = whole.slice(cut), None
+            if whole.num_rows > longest or running is not None:
+                yield whole, True, running is None
+                running, held, size = int(keys[-1]), [], 0
+            else:
+                held, size = [whole], whole.num_rows
+    if held:
+        whole = joined()
+        keys = whole.column(0).to_numpy()
+        ended = int(np.searchsorted(keys, keys[0], "right")) if running == int(keys[0]) else 0
+        if ended:
+            yield whole.slice(0, ended), True, False
+        if whole.num_rows > ended:
+            yield whole.slice(ended), False, True
+
+
+def _early_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of whole buckets; of a longer one, each piece is compared with itself and with the bucket's first rows."""
+    first: pa.RecordBatch | None = None
+    for rows, long_, begins in _pieces(batches, BUCKET):
+        if long_:
+            if begins:
+                first = rows.slice(0, BUCKET // 8)
+            else:
+                rows = pa.Table.from_batches([first, rows]).combine_chunks().to_batches()[0]
+        x, y = _bucket_edges(rows)
+        nodes = rows.column(1).to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[x]), pa.array(nodes[y])], ["a", "b"])
+
+
+def _candidate_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges ``a, b`` of whole buckets, reduced to a forest; the rows of longer buckets go on as ``a`` (node), ``b`` (root) and ``key``."""
+    forest_ = Stars()
+
+    def reduced() -> pa.RecordBatch:
+        rows = forest_.take()
+        return rows.append_column("key", pa.nulls(rows.num_rows, pa.int64()))
+
+    for rows, long_, _ in _pieces(batches, BUCKET):
+        if long_:
+            yield pa.RecordBatch.from_arrays([rows.column(1), rows.column(4), rows.column(0)], ["a", "b", "key"])
+            continue
+        x, y = _bucket_edges(rows)
+        nodes = rows.column(1).to_numpy()
+        forest_.add(nodes[x], nodes[y])
+        if forest_.full:
+            yield reduced()
+    if forest_.size:
+        yield reduced()
 
 
 def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -380,45 +478,46 @@ def _sets(bitmap: str):
         for rows in batches:
             place = rows.column(0).to_numpy()
             hit = (bits[place // 64] >> (place % 64).astype(np.uint64)) & np.uint64(1)
-            for _, texts in common.documents_in_pieces([rows.filter(pa.array(hit.astype(bool)))], 1):
-                sets = [s for s in map(shingle_set, texts) if len(s)]
+            for kept, texts in common.documents_in_pieces([rows.filter(pa.array(hit.astype(bool)))], 1):
+                sets = list(map(shingle_set, texts))
                 keys = [set_keys(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["k1", "k2", "data"]
+                    [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), kept.column(2)], ["k1", "k2", "data", "lead_id"]
                 )
 
     return run
 
 
-def _tiles(items: DataFrame, tiles: DataFrame, joined) -> DataFrame:
-    """Links within ``tiles(grp, node, tile)`` of ``items``; a tile has at most about two blocks."""
-    placed = tiles.join(items.select("grp", "node", "n", "data"), ["grp", "node"]).select("tile", "node", "n", "data")
-    return placed.repartition("tile").sortWithinPartitions("tile").mapInArrow(joined, "a long, b long")
+def _in_order(placed: DataFrame, joined, name: str) -> DataFrame:
+    """Links within the tiles of ``placed(tile, node, n, data)``; a tile has at most about two blocks."""
+    return forest_edges(placed.select("tile", "node", "n", "data").repartition("tile").sortWithinPartitions("tile").mapInArrow(joined, "a long, b long"), name)
 
 
-def _links(items: DataFrame, weight: Column, block: int, joined, known: DataFrame | None = None) -> DataFrame:
-    """Links of ``items(grp, node, n, data)`` within their groups, enough of them to join what is linked.
+def _first_links(sets: DataFrame, weight: Column, block: int, joined) -> tuple[DataFrame, DataFrame]:
+    """Links found by comparing every block of a group with the group's block 0, and the groups of several blocks.
 
-    A group is cut into blocks of ``block`` weight. ``known`` edges count as found already, so that what they join is not compared.
+    A group is cut into blocks of ``block`` weight; a group of one block is compared whole.
+    """
+    groups = sets.groupBy("grp").agg(F.ceil(F.sum(weight) / block).cast("int").alias("blocks"))
+    large = common.settle(groups.where("blocks > 1"), "near-large")
+    blocks = F.coalesce("blocks", F.lit(1))
+    at = F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")
+    to = F.when(at == 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(at))
+    placed = sets.join(large, "grp", "left").select("grp", "node", "n", "data", F.explode(to).alias("j"))
+    return _in_order(placed.withColumn("tile", F.xxhash64("grp", "j", F.lit(0))), joined, "near-links"), large
+
+
+def _last_links(items: DataFrame, rooted: DataFrame, weight: Column, block: int, joined) -> DataFrame | None:
+    """Links between what is not in the largest component of its group and all of the group; none if no group has a rest.
+
+    ``rooted(grp, node, n, root)`` are the items to compare and their components so far. With ``_first_links`` this
+    compares every pair that could still join two components.
     """
-    groups = items.groupBy("grp").agg(F.ceil(F.sum(weight) / block).cast("int").alias("blocks"))
-    place = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
-    blocked = common.settle(items.select("grp", "node", "n").join(groups, "grp").withColumn("block", place), "near-blocks")
-    # first every block with block 0
-    to = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    first = blocked.select("grp", "node", F.explode(to).alias("j")).select("grp", "node", F.xxhash64("grp", "j", F.lit(0)).alias("tile"))
-    found = forest_edges(_tiles(items, first, joined), "near-links")
-    large = blocked.where("blocks > 1")
-    if large.isEmpty():
-        return found
-    # what is not yet in a group's main component, against all of the group
-    roots = components(found if known is None else found.union(known))
-    rooted = common.settle(large.join(roots, "node", "left").select("grp", "node", "n", F.coalesce("root", "node").alias("root")), "near-rooted")
     sums = rooted.groupBy("grp", "root").agg(F.count("*").alias("c"))
     main = sums.groupBy("grp").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    if main.isEmpty():
-        return found
-    sided = rooted.join(main, "grp").withColumn("rest", F.col("root") != F.col("main"))
+    sided = common.settle(rooted.join(main, "grp").withColumn("rest", F.col("root") != F.col("main")), "near-sided")
+    if sided.isEmpty():
+        return None
     counts = sided.groupBy("grp", "rest").agg(F.ceil(F.sum(weight) / block).cast("int").alias("k"))
     per = counts.groupBy("grp").agg(F.max(F.when(F.col("rest"), F.col("k"))).alias("rests"), F.max(F.when(~F.col("rest"), F.col("k"))).alias("mains"))
     spread = sided.join(per, "grp").withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mains"))).cast("int"))
@@ -426,25 +525,51 @@ def _links(items: DataFrame, weight: Column, block: int, joined, known: DataFram
     with_main = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda m: F.xxhash64("grp", F.lit(1), "own", m))
     within = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: F.xxhash64("grp", F.lit(2), F.least("own", r), F.greatest("own", r)))
     as_main = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: F.xxhash64("grp", F.lit(1), r, "own"))
-    second = spread.select("grp", "node", F.explode(F.when(F.col("rest"), F.concat(with_main, within)).otherwise(as_main)).alias("tile"))
-    return found.unionByName(forest_edges(_tiles(items, second, joined), "near-links"))
+    among = items.select("grp", "node", "n", "data").join(spread.drop("n"), ["grp", "node"])
+    placed = among.select("node", "n", "data", F.explode(F.when(F.col("rest"), F.concat(with_main, within)).otherwise(as_main)).alias("tile"))
+    return _in_order(placed, joined, "near-links")
+
+
+def _set_links(sets: DataFrame) -> DataFrame:
+    """Exact links of ``sets(grp, node, n, data)`` within their groups, enough of them to join what is linked."""
+    weight = F.greatest("n", F.lit(200))
+    found, large = _first_links(sets, weight, _BLOCK, _by_sets)
+    if large.isEmpty():
+        return found
+    # what is not yet in a group's main component, against all of the group
+    within = sets.select("grp", "node", "n").join(large, "grp", "left_semi")
+    rooted = within.join(components(found, reduced=True), "node", "left").select("grp", "node", "n", F.coalesce("root", "node").alias("root"))
+    more = _last_links(sets, common.settle(rooted, "near-rooted"), weight, _BLOCK, _by_sets)
+    return found if more is None else found.unionByName(more)
+
+
+_ROW = "key long, node long, n long, data binary, root long"
 
 
 def _groups(nodes: DataFrame) -> DataFrame:
-    """``node, root`` of the candidate groups of ``nodes(node, n, sig)``."""
-    bands = nodes.select("node", "sig").mapInArrow(_bands, "key long, node long")
-    shared = common.settle(bands.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long, at long"), "near-shared")
+    """``node, root`` of the candidate groups of ``nodes(node, n, sig)``.
+
+    A first pass over the twelve tables of equal places joins nearly all copies. The second takes all tables and decides:
+    buckets whose rows are joined already are passed over, so a large group does not cost its edges once a table;
+    others are compared whole, long ones in tiles.
+    """
+    some = tuple(range(0, COLLECTION * COLLECTION, COLLECTION + 1))
+    heads = nodes.select("node", "n", "sig").mapInArrow(_heads(some), _ROW).repartition("key").sortWithinPartitions("key")
+    found = forest_edges(heads.mapInArrow(_early_edges, "a long, b long"), "near-early")
+    roots = components(found, reduced=True)
     # one byte of each minhash: the lowest of its little-endian four
-    sketches = nodes.select("node", "n", "sig").mapInArrow(_sketch, "node long, n long, data binary")
-    long_ = shared.where(F.col("at") == BUCKET).select("key")  # one row for each longer bucket
-    some_long = not long_.isEmpty()
-    short = shared.join(long_, "key", "left_anti") if some_long else shared
-    buckets = short.join(sketches, "node").select("key", "node", "n", "data").repartition("key").sortWithinPartitions("key", "node")
-    edges = forest_edges(buckets.mapInArrow(_candidate_edges, "a long, b long"), "near-candidates")
-    if some_long:
-        rows = shared.join(long_, "key", "left_semi").join(sketches, "node").select(F.col("key").alias("grp"), "node", "n", "data")
-        edges = edges.union(_links(common.settle(rows, "near-buckets"), F.lit(1), BUCKET // 2, _by_sketches, edges))
-    return components(edges)
+    sketches = nodes.join(roots, "node", "left").select("node", "n", "sig", F.coalesce("root", "node").alias("root")).mapInArrow(_sketch, "node long, n long, data binary, root long")
+    bands = nodes.select("node", "sig").mapInArrow(_bands, "key long, node long")
+    shared = bands.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long")
+    buckets = shared.join(sketches, "node").select("key", "node", "n", "data", "root").repartition("key").sortWithinPartitions("key")
+    told = common.settle(buckets.mapInArrow(_candidate_edges, "a long, b long, key long"), "near-candidates")
+    found = found.unionByName(told.where("key is null").select("a", "b"))
+    long_ = told.where("key is not null").select(F.col("key").alias("grp"), F.col("a").alias("node"), F.col("b").alias("root"))
+    if not long_.isEmpty():
+        rows = common.settle(long_.join(sketches.drop("root"), "node"), "near-buckets")
+        last = _last_links(rows, rows.drop("data"), F.lit(1), BUCKET // 2, _by_sketches)
+        found = found if last is None else found.unionByName(last)
+    return components(found, reduced=True)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -462,9 +587,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bits = min(_MOST_BITS, max(10, (_BITS_A_ROW * grouped.count()).bit_length()))
     place = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << bits) - 1))
     bitmap = common.ship_bytes(spark, "near-filter.bin", place_bits(grouped.select(place.alias("place")), bits))
-    again = docs.select(place.alias("place"), "text").mapInArrow(_sets(bitmap), "k1 long, k2 long, data binary")
-    sets = common.settle(again.join(grouped.drop("doc_id"), ["k1", "k2"]).select("grp", "node", "n", "data"), "near-sets")
-    roots = components(_links(sets, F.greatest("n", F.lit(200)), _BLOCK, _by_sets))
+    again = docs.select(place.alias("place"), "text", F.col("doc_id").alias("lead_id")).mapInArrow(_sets(bitmap), "k1 long, k2 long, data binary, lead_id long")
+    # of equal sets only those of the lead's id come along, and of those one
+    placed = again.join(grouped, ["k1", "k2"]).where(F.col("doc_id").eqNullSafe(F.col("lead_id")))
+    sets = common.settle(placed.groupBy("k1", "k2", "grp", "node", "n").agg(F.first("data").alias("data")).select("grp", "node", "n", "data"), "near-sets")
+    roots = components(_set_links(sets), reduced=True)
     labelled = common.settle(nodes.select("k1", "k2", "node", "first").join(roots, "node", "left").select("k1", "k2", "first", F.coalesce("root", "node").alias("root")), "near-labels")
     # written first, so that neither side of the join is bound to the grouping and a large component can be split
     named = common.settle(labelled.groupBy("root").agg(F.min("first").alias("lead")), "near-leads")
@@ -494,8 +621,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
-        sig = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint8).reshape(-1, HASHES, 4)[:, :, 0]
-        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([s.tobytes() for s in sig], pa.binary())], ["node", "n", "data"])
+        sig = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint32).reshape(-1, HASHES)
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), _sketches(sig), rows.column(3)], ["node", "n", "data", "root"])
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
