@@ -5,9 +5,10 @@ Grades are ordered: 0 clean, 1 toxic, 2 strongly toxic. One weight vector is sha
 Features are the presence of words (lower-cased letters) that labels tie to toxicity; weights are not negative, so a
 long text is neither toxic for its length nor excused by it.
 
-The model is fitted on at most ``sample`` labelled documents (those of the lowest hashes of ``doc_id``); grades of
-toxic labels come from the labels themselves when they are graded, and for 0/1 labels toxic texts with at least as many
-distinguishing words as their median are grade 2. Scoring reads every whole text.
+The model is fitted on at most ``sample`` labelled documents (those of the lowest hashes of ``doc_id``). Grades come from
+the labels alone: a toxic label above 1 is taken as it is, and a toxic label of 1 is grade 2 where the same document is
+also labelled as of low quality. Without a quality label it is grade 1. This is an ordinal stand-in, as the labels have
+no severity of their own. Scoring reads every whole text.
 
 Defined cases: a null or empty text has no features and scores by the thresholds alone (clean); without any labels, or
 with labels of one grade only, every document is clean with severity 0; null labels and labels of unknown documents are
@@ -75,10 +76,6 @@ def fit(sets: list[set[str]], labels: list[int], vocabulary: int = 4096, least:
     if not chosen:
         return OrdinalModel()
     column = {w: i for i, w in enumerate(chosen)}
-    if y.max() == 1:  # grades within toxic from the share of distinguishing words
-        hits = np.array([sum(w in strength for w in words) for words in sets])
-        middle = max(2.0, float(np.median(hits[y > 0])))
-        y = np.where((y > 0) & (hits >= middle), 2, y)
     grades = int(y.max())
     rows = np.fromiter((i for i, words in enumerate(sets) for w in words if w in column), np.int64)
     cols = np.fromiter((column[w] for words in sets for w in words if w in column), np.int64)
@@ -118,7 +115,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> OrdinalModel:
     """Fit on at most ``sample`` labelled documents; their ids bound what is broadcast and their features what is gathered."""
-    kept = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where("doc_id is not null and label is not null and label >= 0").groupBy("doc_id").agg(F.max("label").alias("label"))
+    toxic = F.col("toxic").cast("int")
+    poor = (F.col("quality").cast("int") == 0) if "quality" in labels.columns else F.lit(False)
+    graded = F.when((toxic == 1) & F.coalesce(poor, F.lit(False)), 2).otherwise(toxic)
+    kept = labels.select("doc_id", graded.alias("label")).where("doc_id is not null and label is not null and label >= 0").groupBy("doc_id").agg(F.max("label").alias("label"))
     few = kept.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("label", "text").mapInArrow(_features, "label int, words array<string>")
     sets, grades = [], []
@@ -129,10 +129,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> OrdinalMode
 
 
 def severity(docs: DataFrame, model: OrdinalModel, reject: float = 0.5) -> DataFrame:
-    """All columns of ``docs`` with ``severity double, grade int, toxic boolean``; toxic is a severity of ``reject`` or more."""
-    clash = {"severity", "grade", "toxic"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are those of the result; rename them first")
+    """All columns of ``docs`` with ``severity double, grade int, toxic boolean``; toxic is a severity of ``reject`` or more.
+
+    Where ``docs`` has a column of such a name, the new one is called the same with underscores at its end.
+    """
+    names = common.fresh(docs.columns, "severity", "grade", "toxic")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,11 +141,13 @@ def severity(docs: DataFrame, model: OrdinalModel, reject: float = 0.5) -> DataF
             found = [model.severity(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [*rows.columns, pa.array([s for s, _ in found], pa.float64()), pa.array([g for _, g in found], pa.int32()), pa.array([s >= reject for s, _ in found], pa.bool_())],
-                [*rows.schema.names, "severity", "grade", "toxic"],
+                [*rows.schema.names, *names],
             )
 
     fields = docs.schema.fields
-    schema = type(docs.schema)([*fields]).add("severity", "double").add("grade", "integer").add("toxic", "boolean")
+    schema = type(docs.schema)([*fields])
+    for name, kind in zip(names, ("double", "integer", "boolean"), strict=True):
+        schema = schema.add(name, kind)
     return docs.mapInArrow(run, schema)
 
 
