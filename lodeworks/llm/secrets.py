@@ -153,7 +153,7 @@ def scan_corpus(docs: DataFrame, repo: str = "repo", owner: str = "owner", copie
     return _finish(scanned.join(per_row, "row", "left"))
 
 
-def _mark(batches: Iterator[pa.RecordBatch], at: int, with_candidates: bool) -> Iterator[pa.RecordBatch]:
+def _mark(batches: Iterator[pa.RecordBatch], at: int, with_candidates: bool, names: tuple[str, str] = ("candidates", "same")) -> Iterator[pa.RecordBatch]:
     """Rows with (or without) candidates; those with them carry their candidates."""
     shape = pa.list_(pa.struct([("hash", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("bits", pa.float64())]))
     for rows, texts in common.documents_in_pieces(batches, at):
@@ -167,7 +167,7 @@ def _mark(batches: Iterator[pa.RecordBatch], at: int, with_candidates: bool) ->
                 for (_, values), c in zip((f for f in found if f[1]), covered, strict=True)
             ]
             same = [_hash(t) for t, h in zip(texts, hit, strict=True) if h]
-            kept = pa.RecordBatch.from_arrays([*kept.columns, pa.array(cells, shape), pa.array(same, pa.string())], [*kept.schema.names, "candidates_", "same_"])
+            kept = pa.RecordBatch.from_arrays([*kept.columns, pa.array(cells, shape), pa.array(same, pa.string())], [*kept.schema.names, *names])
         yield kept
 
 
@@ -184,19 +184,17 @@ def _blank(text: str, spans: list[tuple[int, int]]) -> str:
 def redact(docs: DataFrame, repo: Column, owner: Column, copied_owners: int = 2, least_bits: float = LEAST_BITS, wide: float = WIDE) -> DataFrame:
     """``docs`` with live-looking values replaced by ``[SECRET]``; copied examples and all other rows stay as they are.
 
-    Only rows with candidates take part in joins, so texts without any are never shuffled.
+    Only rows with candidates take part in joins, so texts without any are never shuffled. Columns of any name stay.
     """
     columns, at = docs.columns, docs.columns.index("text")
-    clash = {"candidates_", "same_", "row_", "repo_", "owner_", "live_"} & set(columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are those of the scan; rename them first")
-    more = StructType([*docs.schema.fields]).add("candidates_", ArrayType(StructType().add("hash", "string").add("start", "long").add("end", "long").add("base", "boolean").add("bits", "double"))).add("same_", "string")
-    hit = common.settle(docs.mapInArrow(lambda b: _mark(b, at, True), more).withColumns({"row_": F.monotonically_increasing_id(), "repo_": repo.cast("string"), "owner_": owner.cast("string")}), "secret-rows")
-    flat = hit.select("row_", F.col("repo_").alias("repo"), F.col("owner_").alias("owner"), F.col("same_").alias("same"), F.explode("candidates_").alias("c")).select("row_", "repo", "owner", "same", "c.*")
+    candidates_, same_, row_, repo_, owner_, live_ = common.fresh(columns, "candidates", "same", "row", "repo", "owner", "live")
+    more = StructType([*docs.schema.fields]).add(candidates_, ArrayType(StructType().add("hash", "string").add("start", "long").add("end", "long").add("base", "boolean").add("bits", "double"))).add(same_, "string")
+    hit = common.settle(docs.mapInArrow(lambda b: _mark(b, at, True, (candidates_, same_)), more).withColumns({row_: F.monotonically_increasing_id(), repo_: repo.cast("string"), owner_: owner.cast("string")}), "secret-rows")
+    flat = hit.select(F.col(row_).alias("row"), F.col(repo_).alias("repo"), F.col(owner_).alias("owner"), F.col(same_).alias("same"), F.explode(candidates_).alias("c")).select("row", "repo", "owner", "same", "c.*")
     held = ownership(flat, docs.select(repo.cast("string").alias("repo"), owner.cast("string").alias("owner")))
     live = flat.join(held, "hash").where(~_copied(copied_owners, wide) & (F.col("base") | (F.col("bits") >= least_bits)))
-    spans = live.groupBy("row_").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("live_"))
-    joined = hit.join(spans, "row_", "left").select(*columns, F.coalesce("live_", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")).alias("live_"))
+    spans = live.groupBy(F.col("row").alias(row_)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(live_))
+    joined = hit.join(spans, row_, "left").select(*columns, F.coalesce(live_, F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")).alias(live_))
 
     def replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
