@@ -4,8 +4,8 @@ Candidate spans come from regular expressions: the four base kinds before valida
 vote +1, -1 or 0 on each candidate: the validator of its kind, its shape, a gazetteer, cue words before it, and its
 neighbours. Votes are counted per kind and pattern (at most ``3 ** 5`` patterns); expectation-maximisation over those
 counts estimates how reliable each labeler is and how likely each pattern is personal data. A naive Bayes classifier over
-context features is then trained on these soft labels, and decides which of the further candidates become spans. Base
-spans that pass their rules always stay.
+context features is then trained on these soft labels, and it alone decides which of the further candidates become
+spans. Base spans that pass their rules always stay.
 
 Defined cases: a null text is empty (no spans, digest of the empty string); repeated rows each get their result, rows
 being told apart by an internal number; ``doc_id`` may be null; texts are scanned whole, offsets are code points; with no
@@ -32,7 +32,15 @@ PATTERNS: dict[str, str] = {
 }
 BASE = ("email", "ip", "card", "phone")
 _NEEDS = {"email": "@", "ip": ".", "phone": "+", "national_id": "-", "person": ". "}
-#: Gazetteer: cue words that come before personal data, by kind.
+#: Gazetteers: common given and family names, large North American area codes, and numbers printed as examples.
+_NAMES = (
+    "James John Robert Michael William David Richard Joseph Thomas Charles Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Anna Maria Peter Paul Hans Klaus Ursula Petra Pierre Jean Marie Luc "
+    "Camille Carlos Juan Ana Carmen Jose Luis Smith Johnson Williams Brown Jones Garcia Miller Davis Rodriguez Martinez Wilson Anderson Taylor Moore Jackson Martin Lee Thompson White Lopez Lewis Clark Walker Young "
+    "Mueller Schmidt Schneider Fischer Weber Meyer Wagner Becker Dubois Bernard Durand Leroy Moreau Simon Laurent Fernandez Gonzalez Perez Sanchez Ramirez Torres"
+).split()
+_AREAS = "201 202 206 212 213 214 215 216 301 303 305 310 312 313 314 404 408 412 415 416 503 504 510 512 514 602 604 612 614 615 617 619 702 703 713 714 716 718 720 801 804 813 818 832 847 858 904 916 917 919 949 954 972".split()
+_EXAMPLES = "078-05-1120 219-09-9999 123-45-6789 111-11-1111 555-55-5555 987-65-4320".split()
+#: Cue words that come before personal data, by kind.
 _CUES = {
     "email": r"(?i)(mail|contact|courriel|correo|write to)",
     "ip": r"(?i)\b(ip|address|host|server|adresse)\b",
@@ -102,21 +110,26 @@ def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(kind == "ip", F.rlike("match", F.lit(rf"^{part}\.{part}\.{part}\.{part}$")))
         .when(kind == "card", F.when(n.between(16, 19), _luhn(digits)).otherwise(False))
         .when(kind == "phone", n.between(8, 15))
-        .otherwise(False)
+        .when(kind == "local_phone", F.rlike(digits, F.lit("^[2-9][0-9]{2}[2-9][0-9]{6}$")))
+        .when(kind == "national_id", ~F.rlike("match", F.lit("^(?:000|666|9)|-00-|-0000$")))
+        .otherwise(F.rlike("match", F.lit(r"\x20[A-Z][a-z]{2,}")))
     )
-    base = kind.isin(*BASE)
     shape = (
         F.when(kind == "email", F.when(F.rlike("match", F.lit(r"\.[A-Za-z]{2,12}$")), 1).otherwise(-1))
         .when(kind == "ip", F.when(F.rlike("match", F.lit(r"^(?:0|127)\.|(?:^|\.)0[0-9]")), -1).otherwise(1))
         .when(kind == "card", F.when(n.between(16, 19), 1).otherwise(-1))
         .when(kind == "phone", F.when(n.between(10, 13), 1).otherwise(-1))
-        .when(kind == "national_id", F.when(F.rlike("match", F.lit(r"^(?:000|666|9)|-00-|-0000$")), -1).otherwise(1))
-        .otherwise(1)
+        .when(kind == "local_phone", F.when(F.rlike("match", F.lit(r"^[0-9]{3}([.-])[0-9]{3}\1|^\([0-9]{3}\)\x20?[0-9]{3}-")) & ~F.rlike(digits, F.lit(r"([0-9])\1{5}")), 1).otherwise(-1))
+        .when(kind == "national_id", F.when(F.rlike(digits, F.lit(r"([0-9])\1{4}")), -1).otherwise(1))
+        .otherwise(F.when(F.rlike("match", F.lit(r"\x20[A-Z][a-z]+\x20[A-Z][a-z]+$")), 1).otherwise(0))
     )
     gazetteer = (
         F.when(kind == "phone", F.when(F.rlike("match", F.lit(r"^\+(?:1|7|2[07]|3[0-46-9]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])")), 1).otherwise(-1))
         .when(kind == "card", F.when(F.rlike("match", F.lit("^[3-6]")), 1).otherwise(-1))
         .when(kind == "email", F.when(F.rlike("match", F.lit(r"(?i)@(?:mail|gmail|outlook|yahoo|proton|web|gmx)")), 1).otherwise(0))
+        .when(kind == "local_phone", F.when(F.left(digits, F.lit(3)).isin(*_AREAS), 1).when(F.rlike(digits, F.lit("^(?:[0-9]11|555|000)")), -1).otherwise(0))
+        .when(kind == "national_id", F.when(F.col("match").isin(*_EXAMPLES), -1).otherwise(0))
+        .when(kind == "person", F.when(F.arrays_overlap(F.split("match", r"[.\x20]+"), F.array(*map(F.lit, _NAMES))), 1).otherwise(0))
         .otherwise(0)
     )
     cue = F.lit(False)
@@ -126,7 +139,7 @@ def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     joined = F.rlike("before", F.lit(r"[A-Za-z0-9_/=.-]$")) | F.rlike("after", F.lit(r"^[A-Za-z0-9_/=-]"))
     votes = placed.select(
         "row", "kind", "start", "end", "before", "after", n.alias("digits"), valid.alias("valid"),
-        F.array(F.when(valid, 1).when(base, -1).otherwise(0), shape, gazetteer, context, F.when(joined, -1).otherwise(1)).alias("votes"),
+        F.array(F.when(valid, 1).otherwise(-1), shape, gazetteer, context, F.when(joined, -1).otherwise(1)).alias("votes"),
     )
     return rows.select("row", "doc_id"), common.settle(votes, "pii-candidates")
 
@@ -205,8 +218,7 @@ def classify(cands: DataFrame) -> DataFrame:
     )
     table = weights.groupBy("kind").agg(F.map_from_entries(F.collect_list(F.struct("f", "w"))).alias("w"), F.first("bias").alias("bias"))
     told = F.aggregate("features", F.col("bias"), lambda s, f: s + F.coalesce(F.element_at(F.col("w"), f), F.lit(0.0)))
-    votes = F.log((F.col("chance") + 1e-6) / (1 - F.col("chance") + 1e-6))
-    return soft.join(F.broadcast(table), "kind").withColumn("score", told + votes).drop("w", "bias", "features")
+    return soft.join(F.broadcast(table), "kind").withColumn("score", told).drop("w", "bias", "features")
 
 
 def find(docs: DataFrame, threshold: float = 0.0) -> DataFrame:
