@@ -129,7 +129,17 @@ def ablations(table: DataFrame, policies: Mapping[str, tuple[str, ...]] = POLICI
     )
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger as a table in the shared folder, read back: policies and ablations read it, never the texts again."""
+    return common.settle(ledger(docs), "quality-ledger")
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy version rejects, over all documents."""
+    return ablations(stored(common.table(spark, sf_dir, "documents")))
+
+
 def op5(spark: SparkSession, sf_dir: str, policy: str = "v2") -> DataFrame:
-    table = apply_policy(ledger(common.table(spark, sf_dir, "documents")), policy)
+    table = apply_policy(stored(common.table(spark, sf_dir, "documents")), policy).withColumn("policy", F.lit(policy))
     failed = F.col("fail_mask").bitwiseAND(F.lit(bits(POLICIES["base"]))) != 0
-    return table.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "n_lines", "fail_mask")
+    return table.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "n_lines", "fail_mask", "policy")

@@ -17,6 +17,7 @@ QUERIES = {
     "op9_embeddings": embeddings.op9,
     "op10_pii": pii.op10,
     "pipeline": corpus_pipeline.run,
+    "quality_ablations": quality.quality_ablations,
 }
 
 #: DuckDB SQL where SQL can express the whole result.
