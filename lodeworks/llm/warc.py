@@ -45,9 +45,9 @@ def url_key(url: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f%]", lambda c: f"%{ord(c[0]):02x}", key)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str) -> bytes:
-    """One WARC record as a gzip member; a revisit keeps the HTTP head but not the payload."""
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str, size: int | None = None) -> bytes:
+    """One WARC record as a gzip member; a revisit keeps the HTTP head, with the payload's ``size``, but not the payload."""
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload) if size is None else size}\r\n\r\n".encode()
     block = head if revisit else head + payload
     target = re.sub(r"[\r\n]", "", url or "")
     lines = [
@@ -96,13 +96,17 @@ def parse(member: bytes) -> dict:
 
 def typed(pages: DataFrame) -> DataFrame:
     """Pages with digest, record type and the page that a revisit refers to."""
-    facts = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256)).withColumn("bytes", F.octet_length("html"))
-    light = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html")).select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("bytes"))
-    first = light.where(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    # a row without a partner keeps its place; equal payloads are a hot key that the adaptive skew join can split
-    # (the merge hint keeps one plan at every size)
-    return facts.join(first.hint("merge"), "digest", "left").select("page_id", "url", "html", "digest", F.when(revisit, F.col("first")).alias("refers_to"), F.coalesce(revisit, F.lit(False)).alias("revisit"))
+    html = F.coalesce("html", F.lit(""))
+    facts = pages.select("page_id", "url", html.alias("html")).withColumn("digest", F.sha2("html", 256))
+    # the search for copies sees ids and digests only; a revisit record holds no payload, so payloads of copies go nowhere
+    large = pages.where(F.octet_length("html") >= LEAST_REVISIT).select("page_id", "url", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("bytes"))
+    first = common.settle(large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "warc-copied")
+    copies = common.settle(large.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))), "warc-revisits")
+    done = copies.select(F.col("page_id").alias("done_id"), F.col("digest").alias("done_digest")).distinct()
+    # by page and digest: a key that a page, not a payload, has
+    rest = facts.join(done, F.col("page_id").eqNullSafe(F.col("done_id")) & (F.col("digest") == F.col("done_digest")), "left_anti")
+    responses = rest.select("page_id", "url", "html", "digest", F.octet_length("html").alias("bytes"), F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("revisit"))
+    return responses.unionByName(copies.select("page_id", "url", F.lit("").alias("html"), "digest", "bytes", F.col("first").cast("long").alias("refers_to"), F.lit(True).alias("revisit")))
 
 
 _CAPTURES = "array<struct<key:string,page_id:bigint,offset:bigint,length:bigint>>"
@@ -128,7 +132,7 @@ def _write(date: str):
         for rows in batches:
             for i in range(0, rows.num_rows, 256):
                 for r in rows.slice(i, 256).to_pylist():
-                    member = record(r["page_id"], r["url"], r["html"].encode(), r["digest"], r["refers_to"], r["revisit"], date)
+                    member = record(r["page_id"], r["url"], r["html"].encode(), r["digest"], r["refers_to"], r["revisit"], date, r["bytes"])
                     captures.append({"key": url_key(r["url"]), "page_id": r["page_id"], "offset": size, "length": len(member)})
                     held.append(member)
                     size += len(member)
@@ -221,32 +225,46 @@ def read_all(archives: DataFrame, index: DataFrame) -> DataFrame:
 def lookup(archives: DataFrame, index: DataFrame, urls: list[str]) -> list[dict]:
     """Captures of a bounded list of URLs, by bisection in the directory and range reads of segments.
 
-    The first level read is one row per writing task; of the directory only the tasks' blocks that can hold a key are
-    read, and of the index only the blocks found.
+    Three plans in all, however many captures there are: the directory rows whose keys span a wanted one, the blocks that
+    the directory names, and the segments that those name, in which only the wanted ranges are read.
     """
+    spark = index.sparkSession
     keys = sorted({url_key(u) for u in urls})
-    parts = sorted((r["lo"], r["hi"], r["part"]) for r in index.groupBy("part").agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi")).collect())
-    wanted = sorted({p for lo, hi, p in parts if (i := bisect.bisect_left(keys, lo)) < len(keys) and keys[i] <= hi})
-    directory = sorted((r["first_key"], r["last_key"], r["part"], r["block"]) for r in index.where(F.col("part").isin(wanted)).select("first_key", "last_key", "part", "block").collect())
-    found: list[dict] = []
-    for key in keys:
-        at = max(bisect.bisect_left(directory, (key,)) - 1, 0)
-        blocks = []
-        while at < len(directory) and directory[at][0] <= key:
-            if directory[at][1] >= key:
-                blocks.append(directory[at])
-            at += 1
-        for _, _, part, block in blocks:
-            blob = index.where((F.col("part") == part) & (F.col("block") == block)).select("lines").first()[0]
-            lines = zlib.decompress(blob).decode().split("\n")
-            i = bisect.bisect_left(lines, f"{key} ")
-            while i < len(lines) and lines[i].startswith(f"{key} "):
-                _, _, archive, segment, offset, length = lines[i].split(" ")
-                start, size = int(offset) + 1, int(length)
-                piece = archives.where((F.col("archive") == archive) & (F.col("segment") == int(segment))).select(F.substring("content", start, size)).first()[0]
-                found.append(parse(bytes(piece)) | {"key": key})
-                i += 1
-    return found
+    wanted = spark.createDataFrame([(k,) for k in keys], "key string")
+    spans = index.select("part", "block", "first_key", "last_key").join(F.broadcast(wanted), (F.col("first_key") <= F.col("key")) & (F.col("key") <= F.col("last_key"))).select("part", "block").distinct()
+    found = index.join(F.broadcast(spans), ["part", "block"]).select("lines").mapInArrow(_bisected(keys), "key string, archive string, segment int, offset long, length long")
+    ranges = found.groupBy("archive", "segment").agg(F.collect_list(F.struct("key", "offset", "length")).alias("ranges"))
+    placed = archives.select("archive", "segment", "content").join(ranges, ["archive", "segment"]).select("content", "ranges")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for content, own in zip(rows.column(0), rows.column(1), strict=True):
+                data = memoryview(content.as_buffer())
+                for r in own.as_py():
+                    yield pa.RecordBatch.from_arrays([pa.array([r["key"]]), pa.array([bytes(data[r["offset"] : r["offset"] + r["length"]])], pa.binary())], ["key", "member"])
+
+    return sorted((parse(bytes(r["member"])) | {"key": r["key"]} for r in placed.mapInArrow(read, "key string, member binary").toLocalIterator()), key=lambda x: (x["key"], x["page_id"] is not None, x["page_id"] or 0))
+
+
+def _bisected(keys: list[str]):
+    """The captures of ``keys`` in blocks, each found by bisection of the block's sorted lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for blob in rows.column(0):
+                lines = zlib.decompress(blob.as_py()).decode().split("\n")
+                hits = []
+                for key in keys:
+                    i = bisect.bisect_left(lines, f"{key} ")
+                    while i < len(lines) and lines[i].startswith(f"{key} "):
+                        hits.append(lines[i].split(" "))
+                        i += 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([h[0] for h in hits], pa.string()), pa.array([h[2] for h in hits], pa.string()), pa.array([int(h[3]) for h in hits], pa.int32()), pa.array([int(h[4]) for h in hits], pa.int64()), pa.array([int(h[5]) for h in hits], pa.int64())],
+                    ["key", "archive", "segment", "offset", "length"],
+                )
+
+    return run
 
 
 def export_archive(archives: DataFrame, archive: str, path: str) -> None:
