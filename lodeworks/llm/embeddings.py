@@ -4,7 +4,8 @@ Vectors of equal content are one node. Nodes are sorted by the grid cells (of th
 leading principal coordinates, and the sorted sequence is cut into blocks with bounding boxes. Intervals of blocks are
 joined recursively: a pair of intervals whose boxes are farther apart than the distance is skipped with all pairs of
 its parts; what is left are pairs of blocks, which are compared by a matrix product. Pairs near the threshold are
-decided again in double precision from the stored values.
+decided again in double precision from the stored values. Pairs are grouped by bands of eight blocks on either side, so
+a block is sent once for each band that it meets.
 
 Principal axes are fitted on at most ``sample`` vectors; any orthonormal axes give the same links, only more slowly.
 
@@ -64,7 +65,7 @@ def _place(axes: dict[int, np.ndarray], eps: float):
 _BLOCKS = "part int, block int, dim int, n long, lo array<double>, hi array<double>, nodes binary, copies binary, vectors binary"
 
 
-def _cut(axes: dict[int, np.ndarray], kind: str):
+def _cut(axes: dict[int, np.ndarray], kind: str, most: int = _BLOCK):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
@@ -92,7 +93,7 @@ def _cut(axes: dict[int, np.ndarray], kind: str):
             for i in range(0, rows.num_rows, 1024):
                 piece = rows.slice(i, 1024)
                 for item in zip(*(piece.column(k).to_pylist() for k in range(3)), strict=True):
-                    if held and (len(held) >= _BLOCK or len(held[-1][2]) != len(item[2])):
+                    if held and (len(held) >= most or len(held[-1][2]) != len(item[2])):
                         yield close()
                     held.append(item)
         if held:
@@ -132,50 +133,83 @@ def _block_pairs(boxes: DataFrame, count: int, eps: float) -> DataFrame:
     return pairs
 
 
+def _pair_edges(i: dict, j: dict, kind: str, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Vectors of a pair of blocks with the node that each is joined to and the number of its links here; None without any."""
+    same = i["seq"] == j["seq"]
+    cos = i["unit"] @ j["unit"].T
+    near = cos >= least
+    a, b = np.nonzero(np.abs(cos - least) < 1e-4)
+    for s in range(0, len(a), 65536):
+        p, q = (_raw(x, kind)[at[s : s + 65536]].astype(np.float64) for x, at in ((i, a), (j, b)))
+        p, q = p / np.abs(p).max(axis=1, keepdims=True), q / np.abs(q).max(axis=1, keepdims=True)
+        exact = (p * q).sum(axis=1) / (np.sqrt((p * p).sum(axis=1)) * np.sqrt((q * q).sum(axis=1)))
+        near[a[s : s + 65536], b[s : s + 65536]] = exact >= least
+    if same:
+        np.fill_diagonal(near, False)
+    of_i, of_j = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    if not len(of_i):
+        return None
+    small = near[np.ix_(of_i, of_j)]
+    if same:
+        own, links = i["nodes"][of_i], small @ j["copies"][of_j]
+        m, root = forest(small)
+    else:
+        own = np.concatenate([i["nodes"][of_i], j["nodes"][of_j]])
+        links = np.concatenate([small @ j["copies"][of_j], small.T @ i["copies"][of_i]])
+        both = np.zeros((len(own), len(own)), bool)
+        both[: len(of_i), len(of_i) :] = small
+        both[len(of_i) :, : len(of_i)] = small.T
+        m, root = forest(both)
+    to = own.copy()
+    to[m] = own[root]
+    return own, to, links.astype(np.int64)
+
+
+def _raw(block: dict, kind: str) -> np.ndarray:
+    return np.frombuffer(block["vectors"], kind).reshape(len(block["nodes"]), -1)
+
+
 def _compare(kind: str, least: float):
+    """The pairs of sorted ``tile, seq, partners, nodes, copies, vectors`` rows; a tile has the blocks of two bands, 16 at most."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, {}
+
+        def compared() -> Iterator[pa.RecordBatch]:
+            for block in held.values():
+                for other in block["partners"]:
+                    if found := _pair_edges(block, held[other], kind, least):
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "links"])
+
         for rows in batches:
             for k in range(rows.num_rows):
                 r = {name: rows.column(name)[k].as_py() for name in rows.schema.names}
-                nodes = [np.frombuffer(r[f"nodes_{s}"], np.int64) for s in "ij"]
-                copies = [np.frombuffer(r[f"copies_{s}"], np.int64) for s in "ij"]
-                x = [np.frombuffer(r[f"vectors_{s}"], kind).reshape(len(n), -1).astype(np.float64) for s, n in zip("ij", nodes, strict=True)]
-                u = [_unit(v).astype(np.float32) for v in x]
-                cos = u[0] @ u[1].T
-                near = cos >= least
-                a, b = np.nonzero(np.abs(cos - least) < 1e-4)
-                for s in range(0, len(a), 65536):
-                    p, q = x[0][a[s : s + 65536]], x[1][b[s : s + 65536]]
-                    p, q = p / np.abs(p).max(axis=1, keepdims=True), q / np.abs(q).max(axis=1, keepdims=True)
-                    exact = (p * q).sum(axis=1) / (np.sqrt((p * p).sum(axis=1)) * np.sqrt((q * q).sum(axis=1)))
-                    near[a[s : s + 65536], b[s : s + 65536]] = exact >= least
-                if r["i"] == r["j"]:
-                    np.fill_diagonal(near, False)
-                of_i, of_j = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
-                if not len(of_i):
-                    continue
-                small = near[np.ix_(of_i, of_j)]
-                if r["i"] == r["j"]:
-                    own, links = nodes[0][of_i], small @ copies[1][of_j]
-                    m, root = forest(small)
-                else:
-                    own = np.concatenate([nodes[0][of_i], nodes[1][of_j]])
-                    links = np.concatenate([small @ copies[1][of_j], small.T @ copies[0][of_i]])
-                    both = np.zeros((len(own), len(own)), bool)
-                    both[: len(of_i), len(of_i) :] = small
-                    both[len(of_i) :, : len(of_i)] = small.T
-                    m, root = forest(both)
-                to = own.copy()
-                to[m] = own[root]
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(to), pa.array(links.astype(np.int64))], ["a", "b", "links"])
+                if r["tile"] != tile:
+                    yield from compared()
+                    tile, held = r["tile"], {}
+                block = {"seq": r["seq"], "partners": r["partners"], "nodes": np.frombuffer(r["nodes"], np.int64), "copies": np.frombuffer(r["copies"], np.int64), "vectors": r["vectors"]}
+                block["unit"] = _unit(_raw(block, kind).astype(np.float64)).astype(np.float32)
+                held[r["seq"]] = block
+        yield from compared()
 
     return run
 
 
+def _tiled(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Blocks with their partners by tile: all pairs of two bands of eight blocks, so that a block goes once to each band that it meets."""
+    banded = pairs.withColumn("tile", F.xxhash64(F.floor(F.col("i") / _FAN), F.floor(F.col("j") / _FAN)))
+    # at most eight partners a row
+    active = banded.groupBy("tile", F.col("i").alias("seq")).agg(F.collect_list("j").alias("partners"))
+    passive = banded.select("tile", F.col("j").alias("seq"), F.expr("cast(array() as array<bigint>)").alias("partners"))
+    rows = active.unionByName(passive).groupBy("tile", "seq").agg(F.flatten(F.collect_list("partners")).alias("partners"))
+    placed = rows.join(blocks.select("seq", "nodes", "copies", "vectors"), "seq").select("tile", "seq", "partners", "nodes", "copies", "vectors")
+    return placed.repartition("tile").sortWithinPartitions("tile")
+
+
 def near_vectors(vectors: DataFrame, least: float = 0.9, sample: int = 4096) -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept``."""
     spark = vectors.sparkSession
-    wide = vectors.schema["embedding"].dataType.elementType.typeName() == "double"
+    wide = vectors.schema["embedding"].dataType.elementType.typeName() != "float"  # integers and decimals are taken as doubles
     element, kind = ("double", "<f8") if wide else ("float", "<f4")
     eps = float(np.sqrt(2 - 2 * least))
     e = F.col("embedding")
@@ -204,13 +238,13 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, sample: int = 4096) ->
     begins = parts.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("begin"))
     numbered = blocks.join(F.broadcast(begins), "part").withColumn("seq", F.col("begin") + F.col("block"))
     pairs = _block_pairs(numbered.select("seq", "dim", "lo", "hi"), max(1, blocks.count()), eps)
-    side = lambda s: numbered.select(F.col("seq").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("nodes", "copies", "vectors")))
-    tiles = pairs.join(side("i"), "i").join(side("j"), "j")
-    found = common.settle(tiles.mapInArrow(_compare(kind, least), "a long, b long, links long"), "vector-links")
+    found = common.settle(_tiled(common.settle(pairs, "vector-pairs"), numbered).mapInArrow(_compare(kind, least), "a long, b long, links long"), "vector-links")
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(found)
     info = nodes.select("h1", "h2", "node", "copies", "first").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = info.groupBy("root").agg(F.min("first").alias("lead"))
+    info = common.settle(info, "vector-labels")
+    # written first, so that neither side of the join is bound to the grouping and a large component can be split
+    named = common.settle(info.groupBy("root").agg(F.min("first").alias("lead")), "vector-leads")
     by_content = info.join(named, "root").select("h1", "h2", F.lit(True).alias("good"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.col("lead.vec_id").alias("lead"))
     joined = rows.select("vec_id", "h1", "h2", "good").join(by_content, ["h1", "h2", "good"], "left")
     component = F.when(F.col("good"), F.col("lead")).otherwise(F.col("vec_id"))
