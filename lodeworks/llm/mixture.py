@@ -4,13 +4,15 @@ Sizes are words. Each source's target comes from its weight; a document's expect
 its own weight and bounded by ``most`` copies, with one factor per source so that expected words equal the target. Whole
 copies are certain. The remaining fraction is the inclusion probability ``p``; documents of a source are ranked by
 ``(u / (1 - u)) / (p / (1 - p))`` with ``u`` a hash of the document, and the lowest ranks are taken up to the words that
-are still wanted. The size of the sample is thus fixed in words, to within half a document.
+are still wanted. The size of the sample is thus fixed in words, to within half a document; where the last documents are
+large, up to three later ones that fill the words still missing are taken besides.
 
 No source is ever ordered as a whole: ranks are counted in 4096 bins, the bin in which the target falls is cut into
 4096 again, and only the documents of that last bin are put in order.
 
 Defined cases: a null text has size 0 and takes 0; a null source is a source of its own, last in order; documents of
-equal rank follow ``doc_id`` (null first) and a hash of the text, and rows equal in all of these are taken together; an empty table gives no
+equal rank follow ``doc_id`` (null first) and a hash of the text, and of rows equal in all of these just as many are taken
+as are still wanted (which of them makes no difference to the mix); columns of any name stay; an empty table gives no
 rows; reruns agree because nothing but the rows' values enters the ranks; other columns are not read.
 """
 
@@ -118,31 +120,68 @@ def plan_mix(sized: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int =
     fine = _cut(inside.groupBy("source", "fine").agg(F.sum("size").alias("n")), "fine", {s: left for s, (_, left) in coarse.items()})
     last = spark.createDataFrame([(s, *fine[s]) for s in fine], "s3 string, cut_fine int, words double")
     edge = inside.join(F.broadcast(last), F.col("source").eqNullSafe(F.col("s3")) & (F.col("fine") == F.col("cut_fine")))
+    # rows equal in all that ranks them are one step with a count
+    steps = edge.groupBy("source", "order", "doc_id", "tie", "size", "words").agg(F.count("*").alias("rows"))
     w = Window.partitionBy("source").orderBy("order", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    taken = edge.withColumn("fits", F.sum("size").over(w) - F.col("size") / 2 <= F.col("words")).where("fits")
-    ends = {r["source"]: r["m"] for r in taken.groupBy("source").agg(F.max(F.struct("order", "doc_id", "tie")).alias("m")).collect()}
+    left = F.col("words") - (F.sum(F.col("size") * F.col("rows")).over(w) - F.col("size") * F.col("rows"))
+    fit = F.least(F.col("rows"), F.floor(left / F.greatest("size", F.lit(1)) + 0.5)).cast("long")
+    taken = steps.withColumn("fit", fit).where("fit > 0")
+    last = F.max(F.struct("order", "doc_id", "tie", "fit", "rows"))
+    ends = {r["source"]: r["m"] for r in taken.groupBy("source").agg(last.alias("m")).collect()}
 
-    def end(source: str | None) -> tuple[float, int | None, int | None]:
+    def end(source: str | None) -> tuple[float, int | None, int | None, int, int]:
         if source in ends:
-            return ends[source]["order"], ends[source]["doc_id"], ends[source]["tie"]
+            return tuple(ends[source])
         if source in fine:  # nothing of the last bin: up to where it begins
-            return (coarse[source][0] + fine[source][0] / _BINS) / _BINS, None, None
+            return (coarse[source][0] + fine[source][0] / _BINS) / _BINS, None, None, 0, 0
         if source in coarse:
-            return (coarse[source][0] + 1) / _BINS, None, None
-        return 2.0, None, None
-
-    return spark.createDataFrame([(*n, *end(n[0])) for n in named], "source string, source_size long, target double, factor double, cut_order double, cut_doc long, cut_tie long")
+            return (coarse[source][0] + 1) / _BINS, None, None, 0, 0
+        return 2.0, None, None, 0, 0
+
+    shape = "source string, source_size long, target double, factor double, cut_order double, cut_doc long, cut_tie long, cut_fit long, cut_rows long"
+    plan = spark.createDataFrame([(*n, *end(n[0])) for n in named], shape).withColumn("more", F.expr("cast(array() as array<bigint>)"))
+    return _filled(sized, plan, most, seed)
+
+
+def _filled(sized: DataFrame, plan: DataFrame, most: int, seed: int, rounds: int = 3) -> DataFrame:
+    """``plan`` with ``more``: hashes of up to ``rounds`` documents a source beyond the cut, each the largest that still fits."""
+    key = F.xxhash64("doc_id", "tie", F.lit(1))
+    for _ in range(rounds):
+        mixed = apply_mix(sized, plan, most, seed)
+        short = mixed.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("short")).where("short >= 1")
+        # a document that is not among its rows' repeats, has a chance, and is not taken for it yet
+        free = mixed.where("size > 0 and expected > copies and copies < ceil(expected)").groupBy("source", "doc_id", "tie", "size").agg(F.count("*").alias("rows")).where("rows = 1")
+        fits = free.withColumnRenamed("source", "s_").join(F.broadcast(short), F.col("source").eqNullSafe(F.col("s_"))).where("size <= short")
+        best = fits.groupBy("source").agg(F.max_by(key, F.struct("size", key)).alias("one")).collect()
+        if not best:
+            break
+        more = sized.sparkSession.createDataFrame([(r["source"], r["one"]) for r in best], "s_ string, one long")
+        plan = plan.join(F.broadcast(more), F.col("source").eqNullSafe(F.col("s_")), "left").withColumn("more", F.array_compact(F.concat("more", F.array("one")))).drop("s_", "one")
+        plan = sized.sparkSession.createDataFrame(plan.collect(), plan.schema)  # one row a source
+    return plan
 
 
 def apply_mix(rows: DataFrame, plan: DataFrame, most: int = 3, seed: int = 0) -> DataFrame:
-    """``rows`` with ``source_size, target, expected, copies``; each row is decided by itself, so nothing is shuffled."""
+    """``rows`` with ``source_size, target, expected, copies``.
+
+    Each row is decided by itself; only rows equal to the very last one of a source, where not all of them are taken, are
+    numbered, by one window over those rows alone.
+    """
     ranked = _ranked(rows, plan, most, seed)
     order, doc, tie = F.col("order"), F.coalesce("doc_id", F.lit(-(1 << 63))), F.col("tie")
     cut_doc = F.coalesce("cut_doc", F.lit(-(1 << 63)))  # as the window orders them, nulls first
-    same = order == F.col("cut_order")
-    within = (order < F.col("cut_order")) | (same & F.col("cut_tie").isNotNull() & ((doc < cut_doc) | ((doc == cut_doc) & (tie <= F.col("cut_tie")))))
-    copies = F.col("certain") + F.coalesce(F.when(F.col("p") > 0, within.cast("long")), F.lit(0))
-    return ranked.withColumn("copies", copies).drop("certain", "p", "order", "factor", "cut_order", "cut_doc", "cut_tie")
+    same = F.coalesce((order == F.col("cut_order")) & (doc == cut_doc) & (tie == F.col("cut_tie")), F.lit(False))
+    before = (order < F.col("cut_order")) | ((order == F.col("cut_order")) & F.col("cut_tie").isNotNull() & ((doc < cut_doc) | ((doc == cut_doc) & (tie <= F.col("cut_tie")))))
+    besides = F.array_contains("more", F.xxhash64("doc_id", "tie", F.lit(1)))
+    beyond = F.coalesce(F.when(F.col("p") > 0, (before | besides).cast("long")), F.lit(0))
+    gone = ("certain", "p", "order", "factor", "cut_order", "cut_doc", "cut_tie", "cut_fit", "cut_rows", "more")
+    if plan.where("cut_fit < cut_rows").isEmpty():
+        return ranked.withColumn("copies", F.col("certain") + beyond).drop(*gone)
+    at_cut = same & (F.col("cut_fit") < F.col("cut_rows"))
+    plain = ranked.where(~at_cut).withColumn("copies", F.col("certain") + beyond)
+    number = F.row_number().over(Window.partitionBy("source", "doc_id", "tie").orderBy("order"))
+    last = ranked.where(at_cut).withColumn("copies", F.col("certain") + (number <= F.col("cut_fit")).cast("long"))
+    return plain.unionByName(last).drop(*gone)
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3, weight: Column | None = None, seed: int = 0) -> DataFrame:
@@ -160,13 +199,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3, we
 def take(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3, seed: int = 0) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with their own columns only."""
     columns = docs.columns
-    clash = {"size", "weight", "tie", "s", "source_size", "target", "factor", "expected", "copies"} & set(columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are those of the mix; rename them first")
-    rows = _sized(docs, None, seed)
+    own = [F.col(c).alias(c) for c in ("doc_id", "text", "source")]
+    kept = F.struct(*(F.col(c) for c in columns if c != "text")).alias("kept")  # out of the way of the mix's own names
+    rows = _sized(docs.select(*own, kept), None, seed)
     sized = common.settle(rows.select("doc_id", "source", "size", "weight", "tie"), "mix-sizes")
-    mixed = apply_mix(rows, plan_mix(sized, weights, most, seed), most, seed)
-    return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+    mixed = apply_mix(rows, plan_mix(sized, weights, most, seed), most, seed).where("copies > 0")
+    each = mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return each.select(*(F.col("text") if c == "text" else F.col("kept").getField(c).alias(c) for c in columns))
 
 
 def _cut(bins: DataFrame, name: str, wanted: dict) -> dict:
