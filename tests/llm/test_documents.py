@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodeworks.llm import minhash, mixture, pii, quality, secrets, toxicity, warc
 
@@ -196,8 +197,8 @@ def test_toxicity_edges(spark):
     assert not any(r.toxic for r in toxicity.severity(d, toxicity.train(d, none)).collect())
     one = spark.createDataFrame([(1, 0, 1), (None, 0, 1), (3, 0, None)], "doc_id long, quality int, toxic int")
     assert toxicity.train(d, one).thresholds == []
-    with pytest.raises(ValueError):
-        toxicity.severity(d.withColumnRenamed("kind", "grade"), toxicity.OrdinalModel())
+    clash = toxicity.severity(d.withColumnRenamed("kind", "grade"), toxicity.OrdinalModel())
+    assert clash.columns[-3:] == ["severity", "grade_", "toxic"] and {r.grade for r in clash.collect()} == {"x"}
 
 
 # mixing -------------------------------------------------------------------------------------------------------------
@@ -231,11 +232,30 @@ def test_targets_stop_at_three_times(spark):
 def test_take_follows_the_plan(spark):
     d = docs(spark, [(i, "w " * (i % 50), "ab"[i % 2]) for i in range(400)])
     copies = {r.doc_id: r.copies for r in mixture.mix(d).collect()}
-    with pytest.raises(ValueError):
-        mixture.take(d.withColumnRenamed("kind", "size"))
+    odd = mixture.take(d.withColumnRenamed("kind", "size").withColumnRenamed("row", "Weight"))
+    assert odd.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "Weight"] and {r.size for r in odd.collect()} == {"x"}
     assert collections.Counter(r.doc_id for r in mixture.take(d).collect()) == collections.Counter({k: v for k, v in copies.items() if v})
 
 
+def test_repeated_rows_are_taken_up_to_the_target(spark):
+    rows = [(7, "w " * 80, "a")] * 500 + [(i, "v " * 40, "b") for i in range(100)]
+    got = mixture.mix(docs(spark, rows)).collect()
+    for source in "ab":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 80, source
+    assert {r.copies for r in got if r.source == "a"} == {0, 1}
+    assert mixture.take(docs(spark, rows)).where("source = 'a'").count() == sum(r.copies for r in got if r.source == "a")
+
+
+def test_large_last_documents_leave_no_gap(spark):
+    rnd = random.Random(9)
+    rows = [(i, "w " * rnd.choice([40, 60, 90, 2500]), "abc"[i % 3]) for i in range(150)]
+    got = mixture.mix(docs(spark, rows)).collect()
+    for source in "abc":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.05 * own[0].target, source
+
+
 # WARC ---------------------------------------------------------------------------------------------------------------
 
 
@@ -315,3 +335,66 @@ def test_label_model_learns_reliabilities(spark):
     model = pii.label_model(spark.createDataFrame(rows, "kind string, votes array<int>")).first()
     good, poor = model.reliability[5], model.reliability[4 * 6 + 5]  # P(+1 | y = 1) of the first and last labeler
     assert abs(model.prior - 0.4) < 0.05 and abs(good - 0.95) < 0.05 and abs(poor - 0.6) < 0.06
+
+
+def test_planted_personal_data_is_found_and_decoys_are_not(spark):
+    """Further kinds, in contexts that the model never saw labelled."""
+    rnd = random.Random(11)
+    areas, names = ["212", "312", "415", "617", "713"], ["James Miller", "Maria Garcia", "Hans Weber", "Pierre Dubois"]
+    rows, planted, decoys = [], [], []
+    for i in range(900):
+        area, mid, end = rnd.choice(areas), rnd.randint(200, 899), rnd.randint(1000, 9999)
+        if i % 3 == 0:
+            what = [f"please call {area}-{mid}-{end} today", f"her ssn {rnd.randint(100, 660):03d}-{rnd.randint(10, 99)}-{rnd.randint(1000, 9999)} was on file", f"dear Mr. {rnd.choice(names)} thank you"][i // 3 % 3]
+            planted.append(i)
+        else:
+            what = [f"build #{rnd.randint(100, 199)}-{rnd.randint(0, 199):03d}-{end}x ok", f"part no. 000-00-{end} in stock", "plain words only here"][i % 7 % 3]
+            if "plain" not in what:
+                decoys.append(i)
+        rows.append((i, f"some text before it {what} and after", "s"))
+    spans = {r.doc_id: r.spans for r in pii.find(docs(spark, rows)).collect()}
+    assert sum(bool(spans[i]) for i in planted) >= 0.9 * len(planted)
+    assert sum(bool(spans[i]) for i in decoys) <= 0.1 * len(decoys)
+
+
+def test_planted_tokens_of_one_owner_are_live_and_shared_ones_are_not(spark):
+    rnd = random.Random(12)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    token = lambda: "aA1" + "".join(rnd.choice(alphabet) for _ in range(29))
+    shared, own = token(), {i: token() for i in range(0, 400, 4)}
+    rows = [(i, f"text {i} holds {own.get(i, shared if i % 4 == 1 else 'nothing')} inside", f"owner{i % 20}") for i in range(400)]
+    d = docs(spark, rows)
+    got = {r.doc_id: r for r in secrets.scan_corpus(d, "source", "source").collect()}
+    assert all(got[i].spans.startswith("live:") and got[i].n_live == 1 for i in own)
+    assert all(got[i].n_live == 0 and got[i].n_copied == 1 and got[i].spans == "" for i in range(1, 400, 4))
+    assert secrets.scan_corpus(d.limit(0), "source", "source").count() == 0
+    renamed = d.withColumnRenamed("kind", "candidates").withColumnRenamed("row", "Live")
+    kept = secrets.redact(renamed, F.col("source"), F.col("source"))
+    assert kept.columns == renamed.columns and sum("[SECRET]" in r.text for r in kept.collect()) == len(own)
+
+
+def test_severity_grades_come_from_both_labels(spark):
+    rnd = random.Random(13)
+    words = [f"w{i}" for i in range(60)]
+    rows, marks = [], []
+    for i in range(900):
+        grade = i % 3
+        text = rnd.choices(words, k=30) + ["vile"] * (grade > 0) + ["awful"] * (grade > 0) + ["horrid"] * (grade == 2)
+        rnd.shuffle(text)
+        rows.append((i, " ".join(text), "s"))
+        marks.append((i, 0 if grade == 2 else 1, int(grade > 0)))
+    d = docs(spark, rows)
+    model = toxicity.train(d.where("doc_id < 600"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    got = toxicity.severity(d.where("doc_id >= 600"), model).collect()
+    assert sum(r.grade == r.doc_id % 3 for r in got) >= 0.9 * len(got)
+    assert sum(r.toxic == (r.doc_id % 3 > 0) for r in got) >= 0.97 * len(got)
+
+
+def test_stored_ledger_and_ablations_equal_brute_force(spark):
+    rnd = random.Random(14)
+    texts = ["".join(rnd.choice("ab CD\n#$ ") for _ in range(rnd.randint(0, 150))) for _ in range(200)] + [None]
+    table = quality.stored(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]))
+    masks = [r.fail_mask for r in table.collect()]
+    for r in quality.ablations(table).collect():
+        rules, bit = quality.bits(quality.POLICIES[r.policy]), quality.bits((r.rule,))
+        assert (r.failing, r.only_by_this, r.rejected_by_policy) == (sum(bool(m & rules & bit) for m in masks), sum(m & rules == bit for m in masks), sum(bool(m & rules) for m in masks))

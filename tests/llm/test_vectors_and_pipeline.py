@@ -42,6 +42,17 @@ def test_vectors_equal_brute_force(spark):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_in_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(60, 6))
+    vs = [(base[rng.integers(60)] + rng.normal(size=6) * 0.3).tolist() for _ in range(700)]
+    df = spark.createDataFrame(list(enumerate(vs)), "vec_id long, embedding array<double>")
+    cut = embeddings._cut
+    monkeypatch.setattr(embeddings, "_cut", lambda axes, kind: cut(axes, kind, 20))
+    got = embeddings.near_vectors(df.repartition(4)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == exact(list(range(700)), vs)
+
+
 def test_block_pairs_skip_only_far_blocks(spark):
     boxes = spark.createDataFrame([(i, 2, [i * 0.5] + [0.0] * 6, [i * 0.5 + 0.1] + [0.0] * 6) for i in range(30)], "seq long, dim int, lo array<double>, hi array<double>")
     got = {(r.i, r.j) for r in embeddings._block_pairs(boxes, 30, 0.45).collect()}
