@@ -49,11 +49,8 @@ def topics(question: Column) -> Column:
     def clean(topic: Column) -> Column:
         return F.trim(F.regexp_replace(F.trim(F.regexp_replace(topic, TOPIC_ENDS, "")), TOPIC_LEADS, ""))
 
-    found = F.expr(_STRINGS)
-    for pattern in reversed(TOPICS):
-        pair = F.filter(F.array(*(clean(F.regexp_extract(text, pattern, i)) for i in (1, 2))), lambda t: F.length(t) >= 2)
-        found = once(pair, lambda p, later=found: F.when(F.size(p) == 2, p).otherwise(later))
-    return found
+    pairs = [F.filter(F.array(*(clean(F.regexp_extract(text, pattern, i)) for i in (1, 2))), lambda t: F.length(t) >= 2) for pattern in TOPICS]
+    return F.coalesce(F.get(F.filter(F.array(*pairs), lambda p: F.size(p) == 2), F.lit(0)), F.expr(_STRINGS))
 
 
 def query_plan(question: Column, proposed: Column) -> Column:
@@ -146,7 +143,7 @@ def valid_indices(values: Column, bound: Column) -> Column:
 def agent_index(response: Column, agents: int, fallback: int = 0) -> Column:
     """Struct ``index, fallback, reason`` of exactly one one-based number in a response."""
     said = F.trim(F.coalesce(response, F.lit("")))
-    number = F.when(F.rlike(said, F.lit("^[0-9]+$")), F.coalesce(F.expr("try_cast(null as bigint)"), said.try_cast("bigint"), F.lit(1 << 62))) - 1
+    number = F.when(F.rlike(said, F.lit("^[0-9]+$")), F.coalesce(said.try_cast("bigint"), F.lit(1 << 62))) - 1
     reason = F.when(number.isNull(), "invalid_index_format").when((number < 0) | (number >= agents), "index_out_of_range")
     return F.struct(F.when(reason.isNull(), number.cast("int")).otherwise(fallback).alias("index"), reason.isNotNull().alias("fallback"), reason.alias("reason"))
 

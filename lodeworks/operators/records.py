@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: How an answer says that it has none.
 REFUSALS = (
-    "没有找到", "未找到", "无法回答", "无法确定", "没有相关", "未提及", "没有提到", "信息不足", "资料不足", "证据不足",
-    "not found", "no relevant", "cannot answer", "unable to answer", "insufficient", "not mentioned",
+    "没有相关信息", "未找到相关", "资料中未提及", "文档中未提及", "无法从", "无法给出有充分依据的回答", "no relevant information", "not mentioned",
+    "not provided", "cannot determine", "没有负载测试数据", "没有给出具体数值", "未提供具体数值", "未明确规定", "not specified", "no evidence",
 )
 
 
