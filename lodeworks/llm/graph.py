@@ -78,9 +78,14 @@ def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["node", "root"])
 
 
-def forest_edges(edges: DataFrame, name: str = "component-edges") -> DataFrame:
-    """``edges(a, b)`` reduced within each task, in the shared folder; the same nodes are joined."""
-    return common.settle(edges.select("a", "b").mapInArrow(stars, "a long, b long"), name)
+def forest_edges(edges: DataFrame, name: str = "component-edges", found=None) -> DataFrame:
+    """``edges(a, b)`` reduced within each task, in the shared folder; the same nodes are joined.
+
+    With ``found``, a function of batches that gives edges, ``edges`` are its rows; one worker then does both.
+    """
+    if found is None:
+        return common.settle(edges.select("a", "b").mapInArrow(stars, "a long, b long"), name)
+    return common.settle(edges.mapInArrow(lambda batches: stars(found(batches)), "a long, b long"), name)
 
 
 def components(edges: DataFrame, one_task: int = ONE_TASK, reduced: bool = False) -> DataFrame:

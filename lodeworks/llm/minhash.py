@@ -59,7 +59,7 @@ class _Words(dict):
     """Hashes of words, forgotten when too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = xxhash.xxh64_intdigest(word, 7)
         if len(word) <= 64:
@@ -490,7 +490,7 @@ def _sets(bitmap: str):
 
 def _in_order(placed: DataFrame, joined, name: str) -> DataFrame:
     """Links within the tiles of ``placed(tile, node, n, data)``; a tile has at most about two blocks."""
-    return forest_edges(placed.select("tile", "node", "n", "data").repartition("tile").sortWithinPartitions("tile").mapInArrow(joined, "a long, b long"), name)
+    return forest_edges(placed.select("tile", "node", "n", "data").repartition("tile").sortWithinPartitions("tile"), name, joined)
 
 
 def _first_links(sets: DataFrame, weight: Column, block: int, joined) -> tuple[DataFrame, DataFrame]:
@@ -555,7 +555,7 @@ def _groups(nodes: DataFrame) -> DataFrame:
     """
     some = tuple(range(0, COLLECTION * COLLECTION, COLLECTION + 1))
     heads = nodes.select("node", "n", "sig").mapInArrow(_heads(some), _ROW).repartition("key").sortWithinPartitions("key")
-    found = forest_edges(heads.mapInArrow(_early_edges, "a long, b long"), "near-early")
+    found = forest_edges(heads, "near-early", _early_edges)
     roots = components(found, reduced=True)
     # one byte of each minhash: the lowest of its little-endian four
     sketches = nodes.join(roots, "node", "left").select("node", "n", "sig", F.coalesce("root", "node").alias("root")).mapInArrow(_sketch, "node long, n long, data binary, root long")
