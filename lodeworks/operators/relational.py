@@ -15,19 +15,36 @@ def inventory(bases: DataFrame, key: str, counts: dict[str, tuple[DataFrame, Col
     return out
 
 
-def accessible(users: DataFrame, bases: DataFrame, by_department: DataFrame, direct: DataFrame) -> DataFrame:
-    """Distinct ``user, base``: company-wide bases, those of the user's department, and direct grants; admins see all.
+def access_rules(users: DataFrame, by_department: DataFrame, direct: DataFrame) -> DataFrame:
+    """What active users may see: ``user, base, rule``.
 
-    ``users(user, department, role, active)``, ``bases(base, company_wide)``, ``by_department(department, base)``,
-    ``direct(user, base)``. The disjunction is a union of three equi-joins, so each part can be hashed or broadcast by
-    its size. What everyone may see is a list per base and user only where a user asks for it.
+    ``users(user, department, role, active)``, ``by_department(department, base)``, ``direct(user, base)``. An admin has one
+    row ``all``, any other user one row ``company_wide``, both without a base, and a row ``granted`` for each base of the
+    department or of their own. Users are never multiplied by the bases that everyone may see.
     """
     live = users.where("active")
-    wide = live.where("role <> 'admin'").select("user", F.lit(True).alias("k")).join(bases.where("company_wide").select("base", F.lit(True).alias("k")), "k").select("user", "base")
-    admin = live.where("role = 'admin'").select("user", F.lit(True).alias("k")).join(bases.select("base", F.lit(True).alias("k")), "k").select("user", "base")
-    department = live.where("role <> 'admin'").join(by_department, "department").select("user", "base")
-    own = live.where("role <> 'admin'").join(direct, "user").select("user", "base")
-    return wide.unionByName(admin).unionByName(department).unionByName(own).distinct()
+    plain = live.where("role <> 'admin'")
+    general = live.select("user", F.lit(None).cast(direct.schema["base"].dataType).alias("base"), F.when(F.col("role") == "admin", "all").otherwise("company_wide").alias("rule"))
+    granted = plain.join(by_department, "department").select("user", "base").unionByName(plain.join(direct, "user").select("user", "base")).distinct()
+    return general.unionByName(granted.withColumn("rule", F.lit("granted")))
+
+
+def may_access(asked: DataFrame, bases: DataFrame, rules: DataFrame) -> DataFrame:
+    """``asked(user, base)`` with ``allowed``; ``bases(base, company_wide)``. A base that does not exist is allowed to nobody."""
+    general = rules.where("base is null").select("user", (F.col("rule") == "all").alias("all_"))
+    granted = rules.where("base is not null").select("user", "base", F.lit(True).alias("granted_"))
+    joined = asked.join(bases, "base", "left").join(general, "user", "left").join(granted, ["user", "base"], "left")
+    seen = F.col("company_wide").isNotNull() & F.col("all_").isNotNull()
+    return joined.select("user", "base", (seen & (F.coalesce("all_", F.lit(False)) | F.coalesce("company_wide", F.lit(False)) | F.coalesce("granted_", F.lit(False)))).alias("allowed"))
+
+
+def members_per_base(bases: DataFrame, rules: DataFrame) -> DataFrame:
+    """``base, members``: how many users may see each base, counted from the rules; bases that nobody may see do not appear."""
+    general = rules.where("base is null").agg(F.count_if(F.col("rule") == "all").alias("all_"), F.count("*").alias("live_"))  # one row
+    granted = rules.where("base is not null").groupBy("base").agg(F.count("*").alias("granted_"))
+    every = bases.join(granted, "base", "left").crossJoin(F.broadcast(general))
+    members = F.when(F.col("company_wide"), F.col("live_")).otherwise(F.col("all_") + F.coalesce("granted_", F.lit(0)))
+    return every.select("base", members.alias("members")).where("members > 0")
 
 
 def personal_extra(users: DataFrame, by_department: DataFrame, direct: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.operators import evaluation, health, relational, retrieval
 from lodeworks.plans.registry import register
-from lodeworks.plans.retrieval import QUERY_IDS, _vectors
+from lodeworks.plans.retrieval import _vectors
 from lodeworks.session import table
 
 # documents: source is the base, doc_id the document; status follows from the text and the label
@@ -159,11 +159,11 @@ def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "health_distribution",
-    f"""WITH {_SNAP}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kb ORDER BY moment DESC, id DESC) AS n FROM sn) WHERE n = 1), b AS (SELECT c_custkey AS kb FROM customer WHERE c_custkey < 400),
+    f"""WITH {_SNAP}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kb ORDER BY moment DESC, id DESC) AS n FROM sn) WHERE n = 1), b AS (SELECT c_custkey AS kb FROM customer),
 x AS (SELECT b.kb, CASE WHEN l.kb IS NULL THEN 'unknown' WHEN score IS NULL THEN 'partial' WHEN score < 40 THEN 'critical' WHEN score < 60 THEN 'warning' ELSE 'healthy' END AS bucket FROM b LEFT JOIN l ON b.kb = l.kb) SELECT bucket, count(*) AS n FROM x GROUP BY bucket""",
 )
 def health_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bases = table(spark, sf_dir, "customer").where("c_custkey < 400").select(F.col("c_custkey").alias("kb"))
+    bases = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("kb"))
     return health.health_distribution(bases, _snapshots(spark, sf_dir))
 
 
@@ -213,11 +213,24 @@ def _acl(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFr
 
 @register(
     "accessible_scope",
-    f"""WITH {_ACL} SELECT DISTINCT usr AS user, base FROM (SELECT u.usr, b.base FROM u, b WHERE active AND (role = 'admin' OR wide) UNION ALL SELECT u.usr, dep.base FROM u JOIN dep USING (dept) WHERE active AND role <> 'admin'
-UNION ALL SELECT u.usr, dir.base FROM u JOIN dir USING (usr) WHERE active AND role <> 'admin')""",
+    f"""WITH {_ACL} SELECT usr AS user, NULL::BIGINT AS base, CASE WHEN role = 'admin' THEN 'all' ELSE 'company_wide' END AS rule FROM u WHERE active
+UNION ALL SELECT DISTINCT usr, base, 'granted' FROM (SELECT u.usr, dep.base FROM u JOIN dep USING (dept) WHERE active AND role <> 'admin' UNION ALL SELECT u.usr, dir.base FROM u JOIN dir USING (usr) WHERE active AND role <> 'admin')""",
 )
 def accessible_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.accessible(*_acl(spark, sf_dir))
+    users, _, department, direct = _acl(spark, sf_dir)
+    return relational.access_rules(users, department, direct)
+
+
+@register(
+    "access_checks",
+    f"""WITH {_ACL}, x AS (SELECT DISTINCT usr, base FROM (SELECT u.usr, b.base FROM u, b WHERE active AND (role = 'admin' OR wide) UNION ALL SELECT u.usr, dep.base FROM u JOIN dep USING (dept) WHERE active AND role <> 'admin'
+UNION ALL SELECT u.usr, dir.base FROM u JOIN dir USING (usr) WHERE active AND role <> 'admin')), q AS (SELECT u.usr, b.base FROM u JOIN b ON u.usr % 50 = b.base % 50)
+SELECT q.usr AS user, q.base, x.usr IS NOT NULL AS allowed FROM q LEFT JOIN x ON q.usr = x.usr AND q.base = x.base""",
+)
+def access_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users, bases, department, direct = _acl(spark, sf_dir)
+    asked = users.select("user", (F.col("user") % 50).alias("k")).join(bases.select("base", (F.col("base") % 50).alias("k")), "k").select("user", "base")
+    return relational.may_access(asked, bases, relational.access_rules(users, department, direct))
 
 
 @register("personal_extra", f"WITH {_ACL} SELECT usr AS user, base FROM dir EXCEPT SELECT u.usr, dep.base FROM u JOIN dep USING (dept)")
@@ -232,7 +245,8 @@ def personal_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT u.usr, dir.base FROM u JOIN dir USING (usr) WHERE active AND role <> 'admin')) SELECT base, count(DISTINCT usr) AS members FROM x GROUP BY base""",
 )
 def access_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.accessible(*_acl(spark, sf_dir)).groupBy("base").agg(F.countDistinct("user").alias("members"))
+    users, bases, department, direct = _acl(spark, sf_dir)
+    return relational.members_per_base(bases, relational.access_rules(users, department, direct))
 
 
 @register(
@@ -368,14 +382,14 @@ def nearest_rank_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
 # vectors of a query's label are its gold targets
 def _ranked(spark: SparkSession, sf_dir: str, metric: str = "cosine") -> tuple[DataFrame, DataFrame]:
     corpus = _vectors(spark, sf_dir)
-    hits = retrieval.dense_topk(retrieval.query_vectors(corpus, QUERY_IDS), corpus, 10, metric)
+    hits = retrieval.dense_topk_rows(corpus.where("id % 50 = 0"), corpus, 10, metric)
     labels = corpus.select("id", F.col("label").alias("same"))
     ranked = hits.withColumnRenamed("id", "target").join(labels.withColumnRenamed("id", "target"), "target")
-    mine = corpus.where(F.col("id").isin(list(QUERY_IDS))).select(F.col("id").alias("qid"), "label")
+    mine = corpus.where("id % 50 = 0").select(F.col("id").alias("qid"), "label")
     return ranked, corpus.join(mine, "label").select("qid", F.col("id").alias("target"))
 
 
-_RM = f"""WITH v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), q AS (SELECT id AS qid, e, label AS ql FROM v WHERE id IN {QUERY_IDS}),
+_RM = f"""WITH v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), q AS (SELECT id AS qid, e, label AS ql FROM v WHERE id % 50 = 0),
 p AS (SELECT q.qid, v.id, v.label, v.label = q.ql AS gold, round(list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(q.e, lambda x: x * x))) * sqrt(list_sum(list_transform(v.e, lambda x: x * x)))), 6) AS s FROM q CROSS JOIN v),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank FROM p), g AS (SELECT qid, count(*) AS n FROM p WHERE gold GROUP BY qid),
 m AS (SELECT r.qid, count(*) FILTER (WHERE gold) / any_value(g.n) AS recall, count(*) FILTER (WHERE gold) / 10 AS precision, coalesce(1.0 / min(rank) FILTER (WHERE gold), 0) AS reciprocal_rank, count(*) FILTER (WHERE gold) > 0 AS hit, count(*) - count(DISTINCT label) AS duplicates FROM r JOIN g ON r.qid = g.qid WHERE rank <= 10 GROUP BY r.qid)"""

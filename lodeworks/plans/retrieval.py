@@ -10,12 +10,11 @@ from lodeworks.operators.text import token_estimate
 from lodeworks.plans.registry import register
 from lodeworks.session import ship_package, table
 
-QUERY_IDS = (0, 7, 21, 42, 99)
 K = 10
 _DOT = "list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))"
 _VECTORS = f"""
 WITH v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
-q AS (SELECT id AS qid, e FROM v WHERE id IN {QUERY_IDS}),
+q AS (SELECT id AS qid, e FROM v WHERE id % 50 = 0),
 pairs AS (SELECT q.qid, c.id, c.label, {_DOT} AS dot, sqrt(list_sum(list_transform(q.e, lambda x: x * x))) AS nq,
   sqrt(list_sum(list_transform(c.e, lambda x: x * x))) AS nc,
   list_sum(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS sq,
@@ -37,7 +36,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _topk(spark: SparkSession, sf_dir: str, metric: str, **more) -> DataFrame:
     corpus = _vectors(spark, sf_dir)
-    return retrieval.dense_topk(retrieval.query_vectors(corpus, QUERY_IDS), corpus, more.pop("k", K), metric, **more)
+    return retrieval.dense_topk_rows(corpus.where("id % 50 = 0"), corpus, more.pop("k", K), metric, **more)
 
 
 @register("dense_topk_cosine", _topk_sql("dot / (nq * nc)", "DESC"))
@@ -90,13 +89,7 @@ SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY label, rank) AS IN
 )
 def multi_collection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = _vectors(spark, sf_dir).where("label is not null")
-    queries = retrieval.query_vectors(_vectors(spark, sf_dir), QUERY_IDS)
-    # one search per collection (labels are few), in one plan
-    labels = [r[0] for r in corpus.select("label").distinct().orderBy("label").collect()]
-    parts = [retrieval.dense_topk(queries, corpus.where(F.col("label") == x), 3).withColumn("label", F.lit(x)) for x in labels]
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
+    hits = retrieval.dense_topk_rows(_vectors(spark, sf_dir).where("id % 50 = 0"), corpus, 3, by="label")
     return retrieval.per_collection(hits.drop("rank"), "label", "label", 3).select("qid", "pos", "label", "rank", "id", "score")
 
 
@@ -108,7 +101,7 @@ _TERMS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'
     f"""WITH d AS (SELECT doc_id AS id, {_TERMS} AS t FROM documents), c AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
 p AS (SELECT id, len(t) AS l, term, count(*) AS tf FROM (SELECT id, t, unnest(t) AS term FROM d) GROUP BY id, len(t), term),
 f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-q AS (SELECT DISTINCT item_id AS qid, unnest({_TERMS}) AS term FROM benchmark WHERE item_id < 20),
+q AS (SELECT DISTINCT item_id AS qid, unnest({_TERMS}) AS term FROM benchmark),
 s AS (SELECT q.qid, p.id, round(sum(ln(1 + (c.n - f.df + 0.5) / (f.df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (1 - 0.75 + 0.75 * p.l / c.avgdl))), 6) AS score
   FROM q JOIN p USING (term) JOIN f USING (term) CROSS JOIN c GROUP BY q.qid, p.id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM s)
@@ -116,7 +109,7 @@ SELECT qid, rank, id, score FROM r WHERE rank <= 10""",
 )
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    queries = table(spark, sf_dir, "benchmark").where("item_id < 20").select(F.col("item_id").alias("qid"), "text")
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
     return retrieval.bm25_topk(docs, queries, K)
 
 
@@ -165,15 +158,14 @@ def weighted_score_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three result groups for one question: the top ten of three query vectors."""
+    """Three result groups for each question: the top forty of three query vectors that follow one another."""
     corpus = _vectors(spark, sf_dir)
-    hits = retrieval.dense_topk(retrieval.query_vectors(corpus, (0, 7, 21)), corpus, 40, "l2")
-    grp = F.when(F.col("qid") == 0, 0).when(F.col("qid") == 7, 1).otherwise(2)
-    return hits.select(F.lit(1).cast("long").alias("qid"), grp.alias("grp"), "rank", "id")
+    hits = retrieval.dense_topk_rows(corpus.where("id % 50 = 0"), corpus, 40, "l2")
+    return hits.select(F.floor(F.col("qid") / 150).alias("qid"), (F.floor(F.col("qid") / 50) % 3).cast("int").alias("grp"), "rank", "id")
 
 
-_GROUPS = f"""{_VECTORS}, g0 AS (SELECT qid, id, round(sqrt(sq), 6) + 0.0 AS score FROM pairs WHERE qid IN (0, 7, 21)),
-g AS (SELECT CAST(1 AS BIGINT) AS qid, CASE qid WHEN 0 THEN 0 WHEN 7 THEN 1 ELSE 2 END AS grp, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS rank FROM g0) WHERE rank <= 40)"""
+_GROUPS = f"""{_VECTORS}, g0 AS (SELECT qid, id, round(sqrt(sq), 6) + 0.0 AS score FROM pairs),
+g AS (SELECT CAST(qid // 150 AS BIGINT) AS qid, CAST(qid // 50 % 3 AS INTEGER) AS grp, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS rank FROM g0) WHERE rank <= 40)"""
 
 
 @register(

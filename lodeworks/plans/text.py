@@ -176,7 +176,7 @@ def _rx(pattern: str) -> str:
 
 
 _RISK_SQL = f"""{_Q}, t AS (SELECT conv_id, turn, substring(q, 1, 4000) AS s FROM q), m AS (SELECT *, {', '.join(f'{_rx(p)} AS d{i}' for i, (_, _, p) in enumerate(understanding.DOMAINS))},
-{_rx(understanding.DECISION)} AS decision, {_rx(understanding.QUANTITATIVE)} AS quantity, {_rx(understanding.IMMEDIATE)} AS immediate, ({' OR '.join(map(_rx, understanding.CREDENTIAL))}) AS credential, ({' OR '.join(map(_rx, understanding.PRODUCTION))}) AS production FROM t),
+{_rx(understanding.DECISION)} AS decision, {_rx(understanding.QUANTITATIVE)} AS quantity, {_rx(understanding.IMMEDIATE)} AS immediate, ({' OR '.join(map(_rx, understanding.CREDENTIAL))}) AS credential, {_rx(understanding.PRODUCTION)} AS production FROM t),
 h AS (SELECT *, credential OR production OR ((d0 OR d1 OR d2 OR d3) AND (decision OR immediate)) AS high FROM m)
 SELECT conv_id, turn, CASE WHEN high THEN 'high' ELSE 'medium' END AS risk_level, CASE WHEN d0 THEN 'health_safety' WHEN d1 THEN 'financial_policy' WHEN d2 THEN 'legal_compliance' WHEN d3 OR credential THEN 'access_control' ELSE 'general_knowledge' END AS query_type,
 CASE WHEN high AND quantity THEN 2 ELSE 1 END AS min_sources, CASE WHEN credential THEN 'reject' WHEN production THEN 'review' ELSE 'allow' END AS preflight FROM h"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.operators import grounding, provenance, trust
 from lodeworks.plans.registry import register
-from lodeworks.session import ship_package, table
+from lodeworks.session import ship_package, table, work_folder
 from lodeworks.streaming import incremental, state
 
 # answers are conversation turns of the assistant with markers put in by rule, evidence is what their number allows
@@ -132,13 +132,13 @@ def validity_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "freshness_check",
-    """WITH x AS (SELECT o_custkey AS claim_id, o_orderstatus AS family, CAST(o_orderdate AS DATE) AS eff, o_orderkey % 3 = 0 AS cited FROM orders WHERE o_orderstatus = 'F' OR o_custkey % 4 = 0), n AS (SELECT *, max(CASE WHEN eff <= DATE '2025-01-01' THEN eff END) OVER (PARTITION BY claim_id, family) AS newest FROM x),
+    """WITH x AS (SELECT o_custkey AS claim_id, o_orderstatus AS family, CAST(o_orderdate AS DATE) AS eff, o_orderkey % 3 = 0 AS cited FROM orders), n AS (SELECT *, max(CASE WHEN eff <= DATE '2025-01-01' THEN eff END) OVER (PARTITION BY claim_id, family) AS newest FROM x),
 p AS (SELECT claim_id, count(DISTINCT family) AS fams, bool_or(eff > DATE '2025-01-01') AS inactive, bool_or(eff = newest) AS has FROM n WHERE cited GROUP BY claim_id),
 r AS (SELECT claim_id, CASE WHEN inactive THEN 'FRESHNESS_EVIDENCE_NOT_ACTIVE' WHEN fams > 1 THEN 'FRESHNESS_VERSION_FAMILY_AMBIGUOUS' WHEN NOT coalesce(has, false) THEN 'FRESHNESS_NEWER_EVIDENCE_AVAILABLE' END AS reason FROM p)
 SELECT claim_id, CASE WHEN reason IS NULL THEN 'consistent' WHEN reason IN ('FRESHNESS_EVIDENCE_NOT_ACTIVE', 'FRESHNESS_NEWER_EVIDENCE_AVAILABLE') THEN 'inconsistent' ELSE 'unknown' END AS status, reason FROM r""",
 )
 def freshness_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F' or o_custkey % 4 = 0")
+    o = table(spark, sf_dir, "orders")
     none = F.lit(None).cast("date")
     ev = o.select(F.col("o_custkey").alias("claim_id"), F.col("o_orderstatus").alias("family"), F.col("o_orderdate").cast("date").alias("effective"), none.alias("superseded"), none.alias("published"), (F.col("o_orderkey") % 3 == 0).alias("cited"), F.lit(False).alias("web"))
     return trust.freshness(ev, F.lit("latest_effective"), F.lit("2025-01-01").cast("date"))
@@ -390,14 +390,25 @@ def container_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, sf_dir: str, build, mode: str, name: str) -> DataFrame:
-    """Run a streaming twin to the end of what is there and return what it wrote."""
+    """Run a streaming twin to the end of what is there and return what it wrote: Parquet files, one folder per batch.
+
+    In complete mode the last batch holds everything.
+    """
     import uuid
 
     schema = table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    sink = f"{name}_{uuid.uuid4().hex[:8]}"
-    build(source).writeStream.format("memory").queryName(sink).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(sink)
+    folder = f"{work_folder(spark)}/lodeworks/{name}-{uuid.uuid4().hex}"
+    result = build(source)
+    batches: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/{number}")
+        batches.append(number)
+
+    result.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    wanted = sorted(set(batches))[-1:] if mode == "complete" else sorted(set(batches))
+    return spark.read.schema(result.schema).parquet(*(f"{folder}/rows/{n}" for n in wanted)) if wanted else spark.createDataFrame([], result.schema)
 
 
 @register("streaming_tumbling_counts", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -31,6 +31,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
+def work_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``, for what one job writes and the next reads.
+
+    Where that is unset, a local session takes a temporary folder of its own; on a cluster it is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = _own.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='lodeworks-')}")
+    return named.rstrip("/")
+
+
 _shipped: set[str] = set()
 
 

@@ -46,17 +46,19 @@ def sessions(events: DataFrame, gap: str, at: str = "ts") -> DataFrame:
     return stamped.groupBy("user_id", F.session_window(at, gap).alias("s")).agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-def config_chain(versions: DataFrame, head: str, most: int = 64) -> DataFrame:
-    """``depth, id`` from ``head`` to the root over ``versions(id, parent)``: one join per link, of a chain that is short by use."""
-    spark = versions.sparkSession
-    step = spark.createDataFrame([(0, head)], "depth int, id string")
-    out = step
-    for depth in range(1, most + 1):
-        step = step.join(versions, "id").where("parent is not null").select(F.lit(depth).alias("depth"), F.col("parent").alias("id"))
-        if step.isEmpty():
-            break
-        out = out.unionByName(step)
-    return out
+def config_chain(versions: DataFrame, head: str) -> DataFrame:
+    """``depth, id`` from ``head`` to the root over ``versions(id, parent)``, one filtered look-up per link.
+
+    A version that is missing ends the chain; a version that comes again is an error.
+    """
+    chain, at = [], head
+    while at is not None:
+        if at in chain:
+            raise ValueError(f"version {at} is its own ancestor")
+        chain.append(at)
+        found = versions.where(F.col("id") == at).select("parent").first()
+        at = found["parent"] if found else None
+    return versions.sparkSession.createDataFrame(list(enumerate(chain)), "depth int, id string")
 
 
 def summary_window(turns: DataFrame, start: int = 12, keep: int = 6) -> DataFrame:
