@@ -137,7 +137,7 @@ def _lexicon(path: str) -> Lexicon:
 
 def _count(max_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in common.documents_in_pieces(batches, 0, 12_000_000):
+        for _, texts in common.documents_in_pieces(batches, 0, 6_000_000):
             found: Counter[str] = Counter()
             for text in texts:
                 found.update(split_words(text))
@@ -175,7 +175,7 @@ def compile_lexicon(docs: DataFrame, vocab_path: str, most: int = 131_072) -> by
 class Encoder:
     """Encodes lists of texts with a lexicon; remembers at most ``remember`` merged words between calls."""
 
-    def __init__(self, vocab: Vocabulary, lexicon: Lexicon, remember: int = 200_000) -> None:
+    def __init__(self, vocab: Vocabulary, lexicon: Lexicon, remember: int = 100_000) -> None:
         self.vocab, self.lexicon, self.remember = vocab, lexicon, remember
         self.merged: dict[str, bytes] = {}
         self.table, self.single = MergeTable(vocab.merges), np.array(vocab.single, np.int32)

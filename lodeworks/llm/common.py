@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -88,7 +90,17 @@ def ship_bytes(spark: SparkSession, name: str, data: bytes) -> str:
     return leaf
 
 
-def documents_in_pieces(batches: Iterator[pa.RecordBatch], text_at: int, chars: int = 3_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def release() -> None:
+    """Give freed memory back to the system: workers are used again, and what one stage leaves adds to the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this kind of C library
+        pass
+
+
+def documents_in_pieces(batches: Iterator[pa.RecordBatch], text_at: int, chars: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Arrow batches cut into runs of rows holding about ``chars`` characters, with their texts (null: empty).
 
     A single longer text is a run of its own; nothing is cut inside a text.
@@ -104,3 +116,4 @@ def documents_in_pieces(batches: Iterator[pa.RecordBatch], text_at: int, chars:
             held += n or 0
         if start < batch.num_rows:
             yield batch.slice(start), [x or "" for x in column.slice(start).to_pylist()]
+    release()

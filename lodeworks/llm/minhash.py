@@ -119,6 +119,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [rows.column(0), rows.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sig, pa.binary())],
             ["doc_id", "h", "n", "k1", "k2", "sig"],
         )
+    _words.clear()
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
