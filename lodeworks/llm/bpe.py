@@ -125,12 +125,12 @@ class Vocabulary:
         return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _lexicon(path: str) -> Lexicon:
     return Lexicon.open(path)
 
@@ -212,7 +212,7 @@ class Encoder:
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _encoder(vocab_path: str, lexicon_path: str) -> Encoder:
     return Encoder(_vocabulary(vocab_path), _lexicon(lexicon_path))
 

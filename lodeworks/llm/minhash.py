@@ -467,7 +467,7 @@ _by_sets = _in_tiles(lambda sizes, data: set_forest([np.frombuffer(d, np.uint64)
 _by_sketches = _in_tiles(lambda sizes, data: sketch_forest(np.frombuffer(b"".join(data), np.uint8).reshape(-1, HASHES), sizes))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _bitmap(path: str) -> np.ndarray:
     with open(path, "rb") as f:
         return np.frombuffer(f.read(), np.uint64)

@@ -270,7 +270,7 @@ class WordTokenizer:
         return [known[c] for c in chunks]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
