@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,8 +20,16 @@ SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch, where the session does not name its own: whole documents vary from bytes to megabytes, and
+#: a batch lies in memory on both sides of each worker.
+BATCH_BYTES = 4 << 20
+_BATCHES, _UNSET = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864", "67108864b", "64m", "64MB")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
+    if spark.conf.get(_BATCHES) in _UNSET:
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -100,6 +109,17 @@ def release() -> None:
         pass
 
 
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` over a task's batches, with ``release`` after the last."""
+
+    @functools.wraps(run)
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return tidy
+
+
 def documents_in_pieces(batches: Iterator[pa.RecordBatch], text_at: int, chars: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Arrow batches cut into runs of rows holding about ``chars`` characters, with their texts (null: empty).
 

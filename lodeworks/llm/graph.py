@@ -60,6 +60,7 @@ class Stars:
         return pa.RecordBatch.from_arrays([pa.array(roots[apart]), pa.array(nodes[apart])], ["a", "b"])
 
 
+@common.releasing
 def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edges of a task, or of each million of them, as a forest."""
     forest = Stars()
@@ -71,6 +72,7 @@ def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield forest.take()
 
 
+@common.releasing
 def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = [(rows.column(0).to_numpy(), rows.column(1).to_numpy()) for rows in batches]
     if held:

@@ -122,6 +122,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     _words.clear()
 
 
+@common.releasing
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
         for at in range(0, rows.num_rows, 2000):
@@ -179,6 +180,7 @@ def _runs(tables: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.RecordB
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+@common.releasing
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of keys that more than one row has; one row is held between batches."""
     last: tuple[int, int] | None = None
@@ -308,6 +310,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[p
             yield whole.slice(ended), False, True
 
 
+@common.releasing
 def _early_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of whole buckets; of a longer one, each piece is compared with itself and with the bucket's first rows."""
     first: pa.RecordBatch | None = None
@@ -322,6 +325,7 @@ def _early_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[x]), pa.array(nodes[y])], ["a", "b"])
 
 
+@common.releasing
 def _candidate_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges ``a, b`` of whole buckets, reduced to a forest; the rows of longer buckets go on as ``a`` (node), ``b`` (root) and ``key``."""
     forest_ = Stars()
@@ -446,6 +450,7 @@ def set_forest(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def _in_tiles(joined):
     """Forest of links in each tile of sorted ``tile, node, n, data`` rows; ``joined(sizes, data)`` links the rows of one tile."""
 
+    @common.releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches):
             tiles, nodes, sizes = rows.column(0).to_numpy(), rows.column(1).to_numpy(), rows.column(2).to_numpy()
@@ -476,15 +481,19 @@ def _bitmap(path: str) -> np.ndarray:
 def _sets(bitmap: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = _bitmap(SparkFiles.get(bitmap))
-        for rows in batches:
+
+        def grouped(rows: pa.RecordBatch) -> pa.RecordBatch:
             place = rows.column(0).to_numpy()
             hit = (bits[place // 64] >> (place % 64).astype(np.uint64)) & np.uint64(1)
-            for kept, texts in common.documents_in_pieces([rows.filter(pa.array(hit.astype(bool)))], 1):
-                sets = list(map(shingle_set, texts))
-                keys = [set_keys(s) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), kept.column(2)], ["k1", "k2", "data", "lead_id"]
-                )
+            return rows.filter(pa.array(hit.astype(bool)))
+
+        for kept, texts in common.documents_in_pieces(map(grouped, batches), 1):
+            sets = list(map(shingle_set, texts))
+            keys = [set_keys(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), kept.column(2)], ["k1", "k2", "data", "lead_id"]
+            )
+        _words.clear()
 
     return run
 
