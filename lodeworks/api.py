@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.operators import chunking, fusion, grounding, retrieval, trust
+from lodeworks.operators import chunking, entailment, fusion, grounding, retrieval, trust
 from lodeworks.plugins import Embedder, HashingEmbedder, embed_chunks
-from lodeworks.session import ship_package
+from lodeworks.session import ship_package, work_folder
 from lodeworks.sources.collections import CollectionStore
 from lodeworks.sources.loaders import LoaderRegistry
 
@@ -53,13 +55,56 @@ def naive_retrieve(store: CollectionStore, name: str, question: str, k: int = 8)
     return retrieve(store, name, [(0, question)], k, "dense")
 
 
-def finalize(answers: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Answers with grounding state, policy and the text that the policy allows: ``answer_id, state, action, answer``."""
+REFUSAL = "No relevant information found"
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """Written to the work folder and read back: two passes and the text extraction in Python are then done once."""
+    path = f"{work_folder(df.sparkSession)}/lodeworks/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def assess(answers: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Claims of ``answers(answer_id, answer)`` with ``status``, ``exact`` and ``effective_status``.
+
+    ``evidence(answer_id, evidence_id)`` may have a ``text``: then a claim whose dates, versions, quantities or bounds none
+    of its cited texts has is unsupported, and ``exact`` tells whether a cited text says just the claim. A claim with no
+    text to hold it against keeps its status; null texts are empty; repeated evidence rows change nothing.
+    """
     found = grounding.claim_status(grounding.claims(answers), evidence)
-    state = grounding.grounding_state(found)
-    kept = trust.rewrite_answer(found)
-    joined = answers.select("answer_id", F.col("answer").alias("original")).join(state, "answer_id", "left").join(kept, "answer_id", "left")
-    s = F.coalesce("state", F.lit("insufficient_evidence"))
-    action = trust.policy(s, F.lit(True))
-    text = F.when(action.isin("allow", "disclose_conflict"), F.col("original")).otherwise(F.coalesce("answer", F.lit("No relevant information found")))
-    return joined.select("answer_id", s.alias("state"), action.alias("action"), text.alias("answer"))
+    if "text" not in evidence.columns:
+        return found.withColumns({"exact": F.lit(False), "effective_status": F.col("status")})
+    key = ["answer_id", "claim_index"]
+    kinds = ("dates", "versions", "quantities", "ranges")
+    told = evidence.select("answer_id", "evidence_id", F.coalesce("text", F.lit("")).alias("said")).distinct().withColumn("has", trust.values("said"))
+    pairs = found.select(*key, "text", F.explode("evidence_ids").alias("evidence_id")).join(told, ["answer_id", "evidence_id"]).withColumn("span", grounding.citation_span("text", "said"))
+    exact = entailment.exact_clause(F.col("text"), F.col("said"), F.col("span.start"), F.col("span.end"))
+    per = pairs.groupBy(*key).agg(F.bool_or(exact).alias("exact"), *(F.flatten(F.collect_list(f"has.{k}")).alias(k) for k in kinds))
+    joined = found.withColumn("own", trust.values("text")).join(per, key, "left")
+    lacks = [F.size(trust.missing_values(F.col(f"own.{k}"), F.col(k))) > 0 for k in kinds]
+    consistency = F.when(F.coalesce(reduce(Column.__or__, lacks), F.lit(False)), "inconsistent").otherwise("consistent")
+    return joined.withColumns({"exact": F.coalesce("exact", F.lit(False)), "effective_status": trust.effective_status(F.col("status"), consistency)}).drop("own", *kinds)
+
+
+def finalize(answers: DataFrame, evidence: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+    """Answers as they may be delivered: ``answer_id, original_state, action, answer, state``.
+
+    First pass: claims are assessed against ``evidence(answer_id, evidence_id[, text])`` and a checker's ``findings``
+    (``answer_id, claim_index, verdict, confidence``), and the policy decides on the state. Second pass: the text that the
+    policy leaves is cut into claims and assessed anew, with the findings of the first pass carried over to equal claims;
+    ``state`` is that of the delivered text. An answer without claims is refused; null answers are empty.
+    """
+    ship_package(answers.sparkSession)
+
+    def states(claims: DataFrame) -> DataFrame:
+        return grounding.grounding_state(claims.select("answer_id", F.col("effective_status").alias("status"))).select("answer_id", "state")
+
+    first = _kept(entailment.entail(assess(answers, evidence), findings), "assessed")
+    joined = answers.select("answer_id", F.col("answer").alias("original")).join(states(first), "answer_id", "left").join(trust.rewrite_answer(first.drop("status").withColumnRenamed("effective_status", "status"), REFUSAL), "answer_id", "left")
+    state = F.coalesce("state", F.lit("insufficient_evidence"))
+    action = trust.policy(state, F.lit(True))
+    text = F.when(action.isin("allow", "disclose_conflict"), F.col("original")).when(action == "downgrade", F.col("answer")).otherwise(REFUSAL)
+    given = _kept(joined.select("answer_id", state.alias("original_state"), action.alias("action"), text.alias("answer")), "delivered")
+    second = entailment.propagate(assess(given, evidence), first)
+    return given.join(states(second), "answer_id", "left").withColumn("state", F.coalesce("state", F.lit("insufficient_evidence")))

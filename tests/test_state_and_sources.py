@@ -94,10 +94,31 @@ def test_collection_lifecycle(spark, tmp_path):
 
 
 def test_finalize(spark):
-    answers = spark.createDataFrame([(1, "A [E1]. B."), (2, "Nothing.")], "answer_id long, answer string")
+    answers = spark.createDataFrame([(1, "A [E1]. B."), (2, "Nothing."), (3, None)], "answer_id long, answer string")
     evidence = spark.createDataFrame([(1, "E1")], "answer_id long, evidence_id string")
-    got = {r["answer_id"]: (r["action"], r["answer"]) for r in api.finalize(answers, evidence).collect()}
-    assert got[1] == ("downgrade", "A .") and got[2] == ("refuse", "No relevant information found")
+    got = {r["answer_id"]: (r["original_state"], r["action"], r["answer"], r["state"]) for r in api.finalize(answers, evidence).collect()}
+    refused = ("insufficient_evidence", "refuse", api.REFUSAL, "insufficient_evidence")
+    assert got == {1: ("partially_grounded", "downgrade", "A.[E1]", "fully_grounded"), 2: refused, 3: refused}
+
+
+def test_finalize_holds_claims_against_texts_and_findings(spark):
+    answers = spark.createDataFrame(
+        [(1, "Version 2.3.1 is out [E1]. It needs 5 GB [E2]."), (2, "The limit is 9 GB [E1]."), (3, "Old and new differ [CONFLICT:E1,E2]. Plain."), (4, "Up is down [E1]. Kept as is [E2].")],
+        "answer_id long, answer string",
+    )
+    evidence = spark.createDataFrame(
+        [(1, "E1", "Version 2.3.1 is out."), (1, "E1", "Version 2.3.1 is out."), (1, "E2", "It needs 7 GB."), (2, "E1", None), (3, "E1", "old"), (3, "E2", "new"), (4, "E1", "Up is up"), (4, "E2", "Kept as is.")],
+        "answer_id long, evidence_id string, text string",
+    )
+    findings = spark.createDataFrame([(4, 1, "contradicted", 0.9)], "answer_id long, claim_index int, verdict string, confidence double")
+    exact = {(r["answer_id"], r["claim_index"]): (r["exact"], r["effective_status"]) for r in api.assess(answers, evidence).collect()}
+    assert exact[1, 1] == (True, "supported") and exact[1, 2] == (False, "unsupported") and exact[4, 2] == (True, "supported")
+    got = {r["answer_id"]: (r["action"], r["answer"], r["state"]) for r in api.finalize(answers, evidence, findings).collect()}
+    assert got[1] == ("downgrade", "Version 2.3.1 is out.[E1]", "fully_grounded")
+    assert got[2] == ("refuse", api.REFUSAL, "insufficient_evidence")
+    assert got[3][0] == "disclose_conflict" and got[3][2] == "conflicting_evidence"
+    assert got[4] == ("downgrade", "Kept as is.[E2]", "fully_grounded")
+    assert api.finalize(answers.limit(0), evidence).count() == 0
 
 
 def test_entry(spark):
