@@ -22,7 +22,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of an Arrow batch, where the session does not name its own: whole documents vary from bytes to megabytes, and
 #: a batch lies in memory on both sides of each worker.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 5 << 20
 _BATCHES, _UNSET = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864", "67108864b", "64m", "64MB")
 
 
