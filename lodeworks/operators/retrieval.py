@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeworks.operators.tiles import Block, blocks, firsts, front, meet
+
 #: Which metric names order upwards (distances) and which downwards (similarities).
 DISTANCES = ("L2", "EUCLID", "EUCLIDEAN", "MANHATTAN", "JACCARD", "HAMMING")
 SIMILARITIES = ("COSINE", "IP", "INNER_PRODUCT", "DOT", "DOT_PRODUCT")
@@ -81,83 +83,48 @@ def dense_topk(
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "id", (F.col("score") + 0.0).alias("score"))
 
 
-_PACK = "qids binary, queries binary, width int"
-
-
-def _packed(size: int):
-    """Rows ``id, vector`` as packs of up to ``size`` vectors of one length, as doubles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[int, list[float]]]] = {}
-
-        def pack(width: int) -> pa.RecordBatch:
-            own = held.pop(width)
-            return pa.RecordBatch.from_arrays([pa.array([np.array([i for i, _ in own], np.int64).tobytes()], pa.binary()), pa.array([np.array([v for _, v in own], np.float64).tobytes()], pa.binary()), pa.array([width], pa.int32())], ["qids", "queries", "width"])
-
-        for rows in batches:
-            for i, v in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                if i is not None and v and None not in v:
-                    held.setdefault(len(v), []).append((i, v))
-                    if len(held[len(v)]) >= size:
-                        yield pack(len(v))
-        for width in list(held):
-            yield pack(width)
-
-    return run
-
-
 def dense_topk_rows(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", vector_col: str = "embedding", by: str | None = None, max_distance: float | None = None, digits: int = 6) -> DataFrame:
-    """``qid, rank, id, score`` (and ``by``) of every row of ``queries`` against every row of ``corpus``, in blocks.
+    """``qid, rank, id, score`` (and ``by``) of every row of ``queries`` against every row of ``corpus``, in tiles.
 
-    Queries are packed 1024 to a row and the corpus stays as it is partitioned; each pair of packs is one matrix product
-    that keeps ``k`` rows per query (and value of ``by``), so neither side is gathered and products are never shuffled.
-    Ranks are within a query, or within a query and value of ``by``.
+    Both sides are packed into blocks and dealt out by pairs of groups of blocks (``tiles.meet``); each pair of blocks is
+    one matrix product and a tile gives ``k`` rows per query (and value of ``by``), so no side is gathered or broadcast
+    and products are never shuffled. Ranks are within a query, or within a query and value of ``by``. Scores are rounded
+    before they are ranked; ties go to the lower id. Rows without an id, a vector or a value of ``by``, vectors of
+    another width and undefined scores are left out; a repeated query id gives one ranking of all its vectors' hits.
     """
     lower = metric not in ("cosine", "ip")
-    asked = queries.select(F.col(id_col).cast("long"), vector_col).repartition(8).mapInArrow(_packed(1024), _PACK)
-    group = F.col(by).cast("string") if by else F.lit("")
-    packs = corpus.select(group.alias("g"), F.col(id_col).cast("long").alias("i"), F.col(vector_col).alias("v")).mapInArrow(_corpus_packs, "gs array<string>, ids binary, vectors binary, width int")
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for r in range(rows.num_rows):
-                cell = {n: rows.column(n)[r].as_py() for n in ("qids", "queries", "gs", "ids", "vectors", "width")}
-                qids, ids = np.frombuffer(cell["qids"], np.int64), np.frombuffer(cell["ids"], np.int64)
-                q, x = (np.frombuffer(cell[n], np.float64).reshape(-1, cell["width"]) for n in ("queries", "vectors"))
-                s = np.round(_scores(metric, q, x), digits)
-                groups, of = np.unique(np.array(cell["gs"], object).astype(str), return_inverse=True)
-                none = np.array([g is None for g in cell["gs"]])
-                out: list[tuple] = []
-                for row in range(len(qids)):
-                    ok = np.isfinite(s[row])
-                    if max_distance is not None:
-                        ok &= s[row] < max_distance
-                    at = np.flatnonzero(ok & ~none)
-                    at = at[np.lexsort((ids[at], s[row][at] if lower else -s[row][at], of[at]))]
-                    start = np.searchsorted(of[at], of[at], "left")
-                    at = at[np.arange(len(at)) - start < k]
-                    out.append((np.full(len(at), qids[row]), groups[of[at]], ids[at], s[row][at]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out]), t) for c, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.float64()))], ["qid", "g", "id", "score"])
-
-    # rows of these tables are packs of a thousand vectors or more
-    found = packs.join(asked.withColumnRenamed("width", "w"), F.col("width") == F.col("w")).drop("w").mapInArrow(best, "qid long, g string, id long, score double")
+    own = [by] if by else []
+    left = blocks(queries.where(F.col(id_col).isNotNull()), vector_col, [id_col], size=512, name="queries")
+    right = blocks(corpus.where(F.col(id_col).isNotNull()).dropna(subset=own) if own else corpus.where(F.col(id_col).isNotNull()), vector_col, [id_col], own, name="corpus")
+
+    def best(held: list[Block], others: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, ...]] = []
+        for other in others:
+            order = np.argsort(other.numbers[0], kind="stable")
+            ids, x = other.numbers[0][order], other.vectors[order]
+            names = np.array(other.texts[0], object)[order] if own else np.full(len(ids), "", object)
+            parts = [(g, np.flatnonzero(names == g)) for g in sorted(set(names))]
+            for block in held:
+                if block.width != other.width:
+                    continue
+                s = np.round(_scores(metric, block.vectors, x), digits)
+                s[~np.isfinite(s) | (s >= max_distance if max_distance is not None else False)] = np.inf if lower else -np.inf
+                s = -s if lower else s
+                for g, at in parts:
+                    rows, columns = firsts(s[:, at], k)
+                    found.append((block.numbers[0][rows], np.full(len(rows), g, object), ids[at][columns], s[rows, at[columns]]))
+        if found:
+            qids, gs, ids, s = (np.concatenate(c) for c in zip(*found, strict=True))
+            at = front([qids, np.unique(gs.astype(str), return_inverse=True)[1]], [-s, ids], k)
+            yield pa.RecordBatch.from_arrays([pa.array(qids[at]), pa.array(gs[at], pa.string()), pa.array(ids[at]), pa.array(-s[at] if lower else s[at])], ["qid", "g", "id", "score"])
+
+    found = meet(left, right, best, "qid long, g string, id long, score double")
     value = F.col("score") if lower else -F.col("score")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid", "g").orderBy(value, "id"))).where(F.col("rank") <= k)
     columns = ["qid", "rank", "id", (F.col("score") + 0.0).alias("score")]
     return ranked.select(*columns, F.col("g").cast(corpus.schema[by].dataType).alias(by)) if by else ranked.select(*columns)
 
 
-def _corpus_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in batches:
-        for at in range(0, rows.num_rows, 8192):
-            by_width: dict[int, list[tuple]] = {}
-            for item in zip(*(rows.column(c).slice(at, 8192).to_pylist() for c in range(3)), strict=True):
-                if item[1] is not None and item[2] and None not in item[2]:
-                    by_width.setdefault(len(item[2]), []).append(item)
-            for width, own in by_width.items():
-                yield pa.RecordBatch.from_arrays([pa.array([[g for g, _, _ in own]], pa.list_(pa.string())), pa.array([np.array([i for _, i, _ in own], np.int64).tobytes()], pa.binary()), pa.array([np.array([v for _, _, v in own], np.float64).tobytes()], pa.binary()), pa.array([width], pa.int32())], ["gs", "ids", "vectors", "width"])
-
-
 def per_collection(hits: DataFrame, collection: str, position: str, k: int, score: str = "score", lower: bool = False) -> DataFrame:
     """Top-k of every collection, concatenated in collection order without sorting across collections."""
     value = F.col(score) if lower else -F.col(score)

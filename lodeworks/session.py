@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -47,6 +48,14 @@ def work_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet below the work folder and read it back, so that what follows has no lineage behind it."""
+    ship_package(df.sparkSession)
+    path = f"{work_folder(df.sparkSession)}/lodeworks/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _shipped: set[str] = set()
 
 
