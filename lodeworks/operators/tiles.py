@@ -122,7 +122,7 @@ def meet(left: DataFrame, right: DataFrame, compare: Callable[[list[Block], Iter
             for _ in others:  # what compare left unread
                 pass
 
-    dealt = tiles.repartition(min(groups * cells, 8192), "tile").sortWithinPartitions("tile", "side", "seq")
+    dealt = tiles.repartitionByRange(min(groups * cells, 8192), "tile").sortWithinPartitions("tile", "side", "seq")
     return dealt.mapInArrow(run, schema)
 
 
