@@ -1,14 +1,15 @@
 """Exact top-k search over integer vectors by MaxScore.
 
-A component becomes ``floor(256 * x)``, and a row is a document of terms: one for each dimension and sign, with the
-component's size as impact. Rows are packed into shards; a shard's index has a list of row numbers and impacts for each
-term, and its greatest impact. A query's terms of the same signs raise a score, those of the opposite signs lower it.
+A component becomes ``floor(256 * x)``, a dimension is a term, and a row is in the lists of the terms of which it has a
+component, with that as its impact. Rows are packed into shards; a shard's index has a list of row numbers and impacts
+for each term, and the greatest and the least impact of each.
 
-Per query and shard the raising terms are ordered by their bounds (weight times greatest impact). Those at the end whose
-bounds together stay under the score of the k-th best row so far are non-essential: a row that is in none of the other,
-essential lists can't compete. Essential lists are traversed; the rows found there are probed in the other lists, the
-weightiest first, while what they have plus the bounds still open reaches that score. A shard whose bounds together stay
-under it is passed over. While fewer than k rows are held, or the k-th score isn't positive, every row competes.
+What a term can add to a query's score is bounded by its weight times one of the two. Per query and shard the terms are
+ordered by these bounds. Those at the end whose bounds together stay under the score of the k-th best row so far are
+non-essential: a row that is in none of the other, essential lists can't compete. Essential lists are traversed, for a
+block of queries at a time; the rows whose score there, with the bounds still open, reaches the k-th score are probed in
+the other lists, the weightiest first, and dropped once they no longer can. A shard whose bounds together stay under the
+k-th score is passed over. While fewer than k rows are held, or the k-th score isn't positive, every row competes.
 
 Queries are all rows asked for, in blocks that are sent to every cell of shards (``tiles.meet``); each tile carries a
 query's best k from shard to shard, and tiles are merged by taking the best k again.
@@ -16,8 +17,8 @@ query's best k from shard to shard, and tiles are merged by taking the best k ag
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part; vectors of different
 lengths never meet; a row is never its own candidate, but a repeated row is, and two equal queries have each their own
 results; a candidate without an id comes after all others in ties and is given out as null; an empty table gives no
-rows; columns besides ``vec_id`` and ``embedding`` are not read; sums beyond a long are taken in Python's integers, and
-a result beyond a long is an error.
+rows; columns besides ``vec_id`` and ``embedding`` are not read; where scores can pass 2^53, every row of the shard
+competes and sums are taken in Python's integers, and a score beyond a long is an error.
 """
 
 from __future__ import annotations
@@ -30,87 +31,104 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeworks.llm import common
-from lodeworks.llm.negatives import numbered_rows
-from lodeworks.operators.tiles import Block, blocks, front, meet
+from lodeworks.llm.negatives import longs, numbered_rows, products
+from lodeworks.operators.tiles import Block, blocks, firsts, front, meet
 
 TOP = 5
 _QUERIES, _SHARD = 256, 4096
 
 
 class Shard:
-    """Posting lists over the rows of one block: term ``2 d`` has the rows whose component ``d`` is positive, ``2 d + 1`` the negative ones."""
+    """Lists of the rows of one block: of each dimension the rows with a component there, and the components."""
 
     def __init__(self, block: Block):
         self.width = block.width
-        self.row, self.key, self.none, self.starts, self.places, self.impacts, self.most = block.numbers
+        self.row, self.key, self.none, self.starts, self.places, self.impacts = block.numbers
+        self.most, self.least = (self._extreme(f) for f in (np.maximum, np.minimum))
+        self.full = None
+        if 8 * len(self.places) > len(self.row) * self.width:  # lists that hold most rows are kept at full length
+            self.full = np.zeros((self.width, len(self.row)), np.int64)
+            self.full[np.repeat(np.arange(self.width), np.diff(self.starts)), self.places] = self.impacts
+
+    def _extreme(self, f: np.ufunc) -> np.ndarray:
+        """The greatest or least impact of each list, 0 being that of rows outside it."""
+        out = np.zeros(self.width, np.int64)
+        f.at(out, np.repeat(np.arange(self.width), np.diff(self.starts)), self.impacts)
+        return out
 
     @staticmethod
-    def arrays(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Where each term's list begins, the lists' row numbers and impacts, and the greatest impact of each term."""
+    def arrays(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each list begins, and the lists' row numbers and impacts."""
         dimension, place = np.nonzero(vectors.T)
-        value = vectors[place, dimension]
-        term = 2 * dimension + (value < 0)
-        order = np.argsort(term, kind="stable")
-        term, place, impact = term[order], place[order], np.abs(value[order])
-        starts = np.searchsorted(term, np.arange(2 * vectors.shape[1] + 1))
-        most = np.zeros(2 * vectors.shape[1], np.int64)
-        np.maximum.at(most, term, impact)
-        return starts, place, impact, most
-
-    def list_of(self, term: int) -> tuple[np.ndarray, np.ndarray]:
-        span = slice(self.starts[term], self.starts[term + 1])
-        return self.places[span], self.impacts[span]
-
-
-def competitors(shard: Shard, query: np.ndarray, floor: int | None, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Places and exact scores of all rows of ``shard`` that reach ``floor`` (all rows where it is None).
-
-    ``counts`` gathers list entries in all, list entries read, and shards passed over.
+        return np.searchsorted(dimension, np.arange(vectors.shape[1] + 1)), place, vectors[place, dimension]
+
+    def traverse(self, weights: np.ndarray) -> np.ndarray:
+        """Scores of all rows (columns) from the lists in which each query (rows) has a weight."""
+        if self.full is not None:
+            return products(weights, self.full.T)
+        exact = float(np.abs(weights).max(initial=0)) * float(max(self.most.max(initial=0), -self.least.min(initial=0))) * self.width < 2.0**53
+        out = np.zeros((len(weights), len(self.row)), np.float64 if exact else object)
+        for d in np.flatnonzero(weights.any(axis=0)).tolist():
+            span = slice(self.starts[d], self.starts[d + 1])
+            asking = np.flatnonzero(weights[:, d])
+            out[np.ix_(asking, self.places[span])] += weights[asking, d, None].astype(out.dtype) * self.impacts[span].astype(out.dtype)
+        return out if exact else longs(out)
+
+    def probe(self, d: int, rows: np.ndarray) -> np.ndarray:
+        """The impacts of some rows in one list, 0 outside it."""
+        if self.full is not None:
+            return self.full[d, rows]
+        places, impacts = self.places[self.starts[d] : self.starts[d + 1]], self.impacts[self.starts[d] : self.starts[d + 1]]
+        if not len(places):
+            return np.zeros(len(rows), np.int64)
+        at = np.minimum(np.searchsorted(places, rows), len(places) - 1)
+        return np.where(places[at] == rows, impacts[at], 0)
+
+
+def competitors(shard: Shard, queries: np.ndarray, floors: np.ndarray, k: int, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries, places and exact scores of the rows of ``shard`` that reach their query's floor; of a query without one, its best ``k``.
+
+    A query has no floor if that isn't positive. ``counts`` gathers list entries in all, entries read, pairs of query and
+    shard, and of these the ones passed over.
     """
-    used = np.flatnonzero(query)
-    weight = np.abs(query[used])
-    sum_type = np.int64 if float(np.abs(query.astype(np.float64)).max(initial=0)) * float(shard.most.max(initial=0)) * max(1, shard.width) < 2.0**62 else object
-    weight = weight.astype(sum_type)
-    raising, lowering = 2 * used + (query[used] < 0), 2 * used + (query[used] > 0)
-    bound = weight * shard.most[raising].astype(sum_type)
-    by_bound = np.argsort(-bound.astype(np.float64), kind="stable")
-    left = np.append(np.cumsum(bound[by_bound][::-1])[::-1], 0)  # what the terms from here on can add
-    n = len(shard.row)
+    high = queries * shard.most
+    exact = float(np.abs(queries.astype(np.float64)).max(initial=0)) * float(max(shard.most.max(initial=0), -shard.least.min(initial=0))) * shard.width < 2.0**53
+    sizes = np.diff(shard.starts)
+    everyone = (floors <= 0) if exact else np.ones(len(queries), bool)
+    bound = np.maximum(np.maximum(high, queries * shard.least), 0) if exact else np.zeros(queries.shape, np.int64)
+    by_bound = np.argsort(-bound, axis=1, kind="stable")
+    left = np.zeros((len(queries), shard.width + 1), np.int64)  # what the terms from here on can add
+    left[:, :-1] = np.cumsum(np.take_along_axis(bound, by_bound, axis=1)[:, ::-1], axis=1)[:, ::-1]
+    essential = np.where(everyone, shard.width, (left >= floors[:, None]).sum(axis=1))
+    rank = np.empty_like(by_bound)
+    np.put_along_axis(rank, by_bound, np.arange(shard.width)[None, :], axis=1)
+    asked = np.flatnonzero(essential > 0)
+    score = shard.traverse(np.where(rank < essential[:, None], queries, 0)[asked])
     if counts is not None:
-        counts[0] += sum(int(shard.starts[t + 1] - shard.starts[t]) for t in (*raising, *lowering))
-    everyone = floor is None or floor <= 0
-    if not everyone and left[0] < floor:
-        if counts is not None:
-            counts[2] += 1
-        return np.zeros(0, np.int64), np.zeros(0, sum_type)
-    essential = len(used) if everyone else int(np.flatnonzero(left < floor)[0])
-    score, seen = np.zeros(n, sum_type), np.full(n, everyone)
-    for t in by_bound[:essential]:
-        places, impacts = shard.list_of(raising[t])
-        score[places] += weight[t] * impacts
-        seen[places] = True
-        if counts is not None:
-            counts[1] += len(places)
-    open_bound = left[essential]
-    now = np.flatnonzero(seen if everyone else seen & (score + open_bound >= floor))
-    probes = [(weight[t] * int(shard.most[lowering[t]]), lowering[t], -weight[t], 0) for t in range(len(used))]
-    probes += [(bound[t], raising[t], weight[t], bound[t]) for t in by_bound[essential:]]
-    for _, term, factor, spent in sorted(probes, key=lambda p: -p[0]):
-        places, impacts = shard.list_of(term)
-        if len(now) > len(places):
-            score[places] += factor * impacts  # as many rows compete as the list has: read it through
-        elif len(places):
-            at = np.minimum(np.searchsorted(places, now), len(places) - 1)
-            hit = places[at] == now
-            score[now[hit]] += factor * impacts[at[hit]]
-        if counts is not None:
-            counts[1] += min(len(now), len(places))
-        open_bound -= spent
-        if not everyone or floor is not None:
-            now = now[score[now] + open_bound >= floor]
-        if not len(now):
-            break
-    return now, score[now]
+        counts += [int((sizes * (queries != 0)).sum()), int((sizes * ((rank < essential[:, None]) & (queries != 0))).sum()), len(queries), len(queries) - len(asked)]
+    out = []
+    free = np.flatnonzero(everyone[asked])
+    if len(free):
+        i, j = firsts(score[free], k)
+        out.append((asked[free][i], j, score[free[i], j].astype(np.int64)))
+    for at in np.flatnonzero(~everyone[asked]).tolist():
+        q = int(asked[at])
+        open_bound, floor = int(left[q, essential[q]]), int(floors[q])
+        now = np.flatnonzero(score[at] + open_bound >= floor)
+        own = score[at, now].astype(np.int64)
+        for t in range(int(essential[q]), shard.width):
+            if not len(now):
+                break
+            d = by_bound[q, t]
+            if queries[q, d]:
+                own = own + queries[q, d] * shard.probe(d, now)
+                if counts is not None:
+                    counts[1] += len(now)
+                reach = own + int(left[q, t + 1]) >= floor
+                now, own = now[reach], own[reach]
+        if len(now):
+            out.append((np.full(len(now), q), now, own))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,30 +143,25 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _search(k: int):
     def run(held: list[Block], others: Iterator[Block]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list[np.ndarray]] = {}  # by the query's row: score, key, row, none
+        best = [[np.zeros(0, np.int64)] * 5 for _ in held]  # by block: query, score, key, row, none
         for other in others:
             shard = Shard(other)
-            for block in held:
+            for b, block in enumerate(held):
                 if block.width != shard.width:
                     continue
-                for query, asker in zip(block.vectors, block.numbers[0].tolist(), strict=True):
-                    had = best.get(asker)
-                    floor = int(had[0][k - 1]) if had is not None and len(had[0]) >= k else None
-                    at, score = competitors(shard, query, floor)
-                    other_rows = shard.row[at] != asker
-                    at, score = at[other_rows], score[other_rows]
-                    if len(at):
-                        new = [score, shard.key[at], shard.row[at], shard.none[at]]
-                        new = new if had is None else [np.concatenate(c) for c in zip(had, new, strict=True)]
-                        if new[0].dtype == object:
-                            order = np.array(sorted(range(len(new[0])), key=lambda i: (-new[0][i], new[1][i], new[2][i]))[:k], int)
-                        else:
-                            order = front([np.zeros(len(new[0]), np.int8)], [-new[0], new[1], new[2]], k)
-                        best[asker] = [c[order] for c in new]
-        if best:
-            askers = np.concatenate([np.full(len(c[0]), asker) for asker, c in best.items()])
-            columns = [np.concatenate([c[i] for c in best.values()]) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(askers), pa.array(columns[0].tolist(), pa.int64()), *(pa.array(c) for c in columns[1:])], ["asker", "score", "key", "row", "none"])
+                floors = np.zeros(len(block.vectors), np.int64)
+                q, score = best[b][:2]
+                held_rows = np.bincount(q, minlength=len(floors))
+                full = held_rows >= k
+                floors[full] = score[(np.cumsum(held_rows) - 1)[full]]  # in order of query, the best first
+                i, at, value = competitors(shard, block.vectors, floors, k + 1)  # a query may find itself
+                apart = shard.row[at] != block.numbers[0][i]
+                i, at, value = i[apart], at[apart], value[apart]
+                new = [np.concatenate(c) for c in zip(best[b], (i, value, shard.key[at], shard.row[at], shard.none[at]), strict=True)]
+                first = front([new[0]], [-new[1], new[2], new[3]], k)
+                best[b] = [c[first] for c in new]
+        for (q, score, key, row, none), block in zip(best, held, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (block.numbers[0][q], score, key, row, none)], ["asker", "score", "key", "row", "none"])
 
     return run
 

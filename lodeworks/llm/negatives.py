@@ -45,8 +45,12 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     most = float(np.abs(a.astype(np.float64)).max(initial=0)) * float(np.abs(b.astype(np.float64)).max(initial=0)) * a.shape[1]
     if most < _EXACT:
         return a.astype(np.float64) @ b.astype(np.float64).T
-    exact = a.astype(object) @ b.astype(object).T
-    out = exact.astype(np.int64)  # an OverflowError beyond a long
+    return longs(a.astype(object) @ b.astype(object).T)
+
+
+def longs(exact: np.ndarray) -> np.ndarray:
+    """Python's integers as longs; one beyond a long (or the least of them, which has no opposite) is an OverflowError."""
+    out = exact.astype(np.int64)
     if (out == np.iinfo(np.int64).min).any():
         raise OverflowError("a score is beyond a long")
     return out

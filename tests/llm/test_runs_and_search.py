@@ -147,11 +147,12 @@ def test_maxscore_reads_few_lists_of_sparse_vectors():
     for at in range(0, 6000, 1000):
         block = type("B", (), {"width": 64, "numbers": [np.arange(at, at + 1000)] * 3 + list(maxscore.Shard.arrays(x[at : at + 1000]))})()
         shards.append(maxscore.Shard(block))
-    counts = np.zeros(3, np.int64)
-    for q in range(0, 6000, 50):
-        best: list[int] = []
-        for shard in shards:
-            _, score = maxscore.competitors(shard, x[q], best[-5] if len(best) >= 5 else None, counts)
-            best = sorted(best + score.tolist())[-5:]
-        assert best == np.sort(x @ x[q])[-5:].tolist()
+    counts = np.zeros(4, np.int64)
+    asked = x[::50]
+    best = [[] for _ in asked]
+    for shard in shards:
+        floors = np.array([b[-5] if len(b) >= 5 else 0 for b in best], np.int64)
+        for q, _, s in zip(*(c.tolist() for c in maxscore.competitors(shard, asked, floors, 5, counts)), strict=True):
+            best[q] = sorted([*best[q], s])[-5:]
+    assert best == [np.sort(x @ q)[-5:].tolist() for q in asked]
     assert counts[1] < 0.9 * counts[0]
