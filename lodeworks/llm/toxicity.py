@@ -1,14 +1,18 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse text features.
 
-Grades are ordered: 0 clean, 1 toxic, 2 strongly toxic. One weight vector is shared by all thresholds,
-``P(grade > k) = sigmoid(x . w - t_k)`` with ``t_0 < t_1``, and the expected severity is the sum of these over ``k``.
-Features are the presence of words (lower-cased letters) that labels tie to toxicity; weights are not negative, so a
-long text is neither toxic for its length nor excused by it.
+Grades are ordered: 0 clean, then mild to severe. One weight vector is shared by all thresholds,
+``P(grade > k) = sigmoid(x . w - t_k)`` with ``t_0 < t_1 < …``, and the expected severity is the sum of these over ``k``.
+Features are the presence of words (lower-cased letters) and of four letters in a row within words (a word's begin counts
+as a letter) that go with toxic or with clean labels; weights have either sign.
 
-The model is fitted on at most ``sample`` labelled documents (those of the lowest hashes of ``doc_id``). Grades come from
-the labels alone: a toxic label above 1 is taken as it is, and a toxic label of 1 is grade 2 where the same document is
-also labelled as of low quality. Without a quality label it is grade 1. This is an ordinal stand-in, as the labels have
-no severity of their own. Scoring reads every whole text.
+Labels say only whether a text is toxic, so the order among toxic texts comes from evidence that the model to be fitted
+does not see: labelled texts fall into folds by a hash of their id, a model of two grades fitted on the other folds gives
+each text its log-odds, and toxic texts are graded by the quantiles of these (``grades`` classes of equal numbers; a
+toxic label above 1 is taken as it is). Folds without both kinds of label keep two grades. The severity from which a text
+is rejected is chosen on held-out folds too: the lowest at which the clean texts kept are at least ``keep`` of all.
+
+The model is fitted on at most ``sample`` labelled documents (those of the lowest hashes of ``doc_id``, one text an id).
+Scoring reads every whole text.
 
 Defined cases: a null or empty text has no features and scores by the thresholds alone (clean); without any labels, or
 with labels of one grade only, every document is clean with severity 0; null labels and labels of unknown documents are
@@ -17,7 +21,9 @@ left out; repeated documents each get a row; other columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,116 +35,241 @@ from pyspark.sql import functions as F
 from lodeworks.llm import common
 
 _letters = re.compile(r"[^\W\d_]+").findall
+_GRAM = 4
+_GRADES = 2
 
 
-def features(text: str) -> set[str]:
+def words_of(text: str) -> set[str]:
     return set(_letters(text.lower()))
 
 
+def _parts(word: str) -> set[str]:
+    """A word as a feature, and its runs of four letters, the begin marked."""
+    marked = "^" + word
+    return {word, *("~" + marked[i : i + _GRAM] for i in range(len(marked) - _GRAM + 1))}
+
+
+class _Known(dict):
+    """Which features of a model a word has; forgotten when too many."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights = weights
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        if len(self) > 200_000:
+            self.clear()
+        own = tuple(f for f in _parts(word) if f in self.weights)
+        if len(word) <= 64:
+            self[word] = own
+        return own
+
+
 @dataclass
 class OrdinalModel:
-    """Shared weights of words and ordered thresholds."""
+    """Shared weights of features and ordered thresholds."""
 
     weights: dict[str, float] = field(default_factory=dict)
     thresholds: list[float] = field(default_factory=list)
+    reject: float = 0.5  # the expected severity from which a text is rejected
+
+    def odds(self, words: set[str], known: dict | None = None) -> float:
+        """What the words say, before any threshold; ``known`` keeps what is known of a word from text to text."""
+        known = _Known(self.weights) if known is None else known
+        return sum(self.weights[f] for f in sorted({f for w in words for f in known[w]}))
+
+    def above(self, odds: float) -> list[float]:
+        """The chance of each threshold to be passed."""
+        return [1 / (1 + math.exp(-min(60.0, max(-60.0, odds - t)))) for t in self.thresholds]
 
-    def severity(self, text: str) -> tuple[float, int]:
-        """Expected severity and the most likely grade."""
+    def severity(self, text: str, known: dict | None = None) -> tuple[float, int]:
+        """Expected severity, and the grade: 0 below ``reject``, otherwise the likeliest from 1 up."""
         if not self.thresholds:
             return 0.0, 0
-        get = self.weights.get
-        score = sum(w for x in features(text) if (w := get(x)) is not None)
-        above = [1 / (1 + np.exp(-np.clip(score - t, -60, 60))) for t in self.thresholds]
-        chances = -np.diff([1.0, *above, 0.0])
-        return float(sum(above)), int(np.argmax(chances))
+        above = self.above(self.odds(words_of(text), known))
+        chances = [a - b for a, b in zip(above, [*above[1:], 0.0], strict=True)]
+        expected = sum(above)
+        return expected, 1 + chances.index(max(chances)) if expected >= self.reject else 0
+
+
+@dataclass
+class Bag:
+    """Features of texts: ``rows`` and ``columns`` of those present, in order of the rows."""
+
+    rows: np.ndarray
+    columns: np.ndarray
+    names: list[str]
+    texts: int
+
+    @classmethod
+    def of(cls, sets: list[set[str]], least: int = 3) -> Bag:
+        """All features that at least ``least`` texts have."""
+        words = sorted(set().union(*sets))
+        number = {w: i for i, w in enumerate(words)}
+        parts = [sorted(_parts(w)) for w in words]
+        names = sorted(set().union(*parts))
+        place = {f: i for i, f in enumerate(names)}
+        flat = np.fromiter((place[f] for p in parts for f in p), np.int64)
+        size = np.array([len(p) for p in parts], np.int64)
+        begin = np.cumsum(size) - size
+        text = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        word = np.fromiter((number[w] for s in sets for w in s), np.int64)
+        long = size[word]
+        at = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
+        pairs = np.unique(np.repeat(text, long) * max(1, len(names)) + flat[np.repeat(begin[word], long) + at])
+        rows, columns = pairs // max(1, len(names)), pairs % max(1, len(names))
+        often = np.bincount(columns, minlength=len(names)) >= least
+        kept = often[columns]
+        return cls(rows[kept], (np.cumsum(often) - 1)[columns[kept]], [n for n, o in zip(names, often.tolist(), strict=True) if o], len(sets))
+
+    def among(self, texts: np.ndarray) -> Bag:
+        """The texts of a mask."""
+        kept = texts[self.rows]
+        return Bag((np.cumsum(texts) - 1)[self.rows[kept]], self.columns[kept], self.names, int(texts.sum()))
+
+    def odds(self, model: OrdinalModel) -> np.ndarray:
+        weight = np.array([model.weights.get(n, 0.0) for n in self.names])
+        return np.bincount(self.rows, weight[self.columns], self.texts) if len(self.rows) else np.zeros(self.texts)
+
 
+def fit(sets: list[set[str]], labels: list[int]) -> OrdinalModel:
+    """A model of texts given as sets of words."""
+    return fit_bag(Bag.of(sets), np.array(labels, np.int64))
 
-def fit(sets: list[set[str]], labels: list[int], vocabulary: int = 4096, least: int = 5, ridge: float = 0.01, steps: int = 400) -> OrdinalModel:
+
+def fit_bag(bag: Bag, y: np.ndarray, vocabulary: int = 4096, least: int = 3, ridge: float = 0.5, steps: int = 400) -> OrdinalModel:
     """Fit by gradient steps on the likelihood with a ridge on the weights."""
-    y = np.array(labels, np.int64)
     n, toxic = len(y), int((y > 0).sum())
-    if not toxic or toxic == n:
+    if not toxic or toxic == n or not len(bag.rows):
         return OrdinalModel()
-    seen: dict[str, list[int]] = {}
-    for words, label in zip(sets, labels, strict=True):
-        for w in words:
-            seen.setdefault(w, [0, 0])[label > 0] += 1
-
-    def contrast(c: list[int]) -> float:
-        """Signed root of the likelihood ratio of a word against independence."""
-        a, b = c[1], c[0]
-        k, rate = a + b, toxic / n
-        g = sum(o * np.log(o / e) for o, e in ((a, k * rate), (b, k * (1 - rate)), (toxic - a, toxic * (1 - k / n)), (n - toxic - b, (n - toxic) * (1 - k / n))) if o > 0 and e > 0)
-        return float(np.sign(a / k - rate) * np.sqrt(max(2 * g, 0)))
-
-    strength = {w: s for w, c in seen.items() if sum(c) >= least and 2 * c[1] >= sum(c) and (s := contrast(c)) > 4.0}
-    chosen = sorted(strength, key=lambda w: (-strength[w], w))[:vocabulary]
+    k = np.bincount(bag.columns, minlength=len(bag.names)).astype(float)
+    a = np.bincount(bag.columns, (y > 0)[bag.rows], len(bag.names))
+    rate = toxic / n
+    # signed root of the likelihood ratio of a feature against independence
+    tables = ((a, k * rate), (k - a, k * (1 - rate)), (toxic - a, toxic * (1 - k / n)), (n - toxic - k + a, (n - toxic) * (1 - k / n)))
+    g = sum(np.where((o > 0) & (e > 0), o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0.0) for o, e in tables)
+    strength = np.where(k >= least, np.sqrt(np.maximum(2 * g, 0)), 0.0)
+    chosen = [i for i in np.lexsort((np.arange(len(k)), -strength)).tolist()[:vocabulary] if strength[i] > 3.5]
     if not chosen:
         return OrdinalModel()
-    column = {w: i for i, w in enumerate(chosen)}
+    column = np.full(len(bag.names), -1)
+    column[chosen] = np.arange(len(chosen))
+    inside = column[bag.columns] >= 0
+    rows, cols = bag.rows[inside], column[bag.columns[inside]]
     grades = int(y.max())
-    rows = np.fromiter((i for i, words in enumerate(sets) for w in words if w in column), np.int64)
-    cols = np.fromiter((column[w] for words in sets for w in words if w in column), np.int64)
     w = np.zeros(len(chosen))
     share = np.array([(y > k).mean() for k in range(grades)])
     t = -np.log(np.clip(share, 1e-4, 1 - 1e-4) / (1 - np.clip(share, 1e-4, 1 - 1e-4)))
     gap = np.log(np.maximum(np.diff(t), 0.1))  # thresholds: the first, then positive gaps
     first = t[0]
     state = [np.zeros(len(w) + grades), np.zeros(len(w) + grades)]
+    at = np.arange(n)
     for step in range(1, steps + 1):
         t = first + np.concatenate([[0.0], np.cumsum(np.exp(gap))])
         score = np.bincount(rows, w[cols], n)
         s = 1 / (1 + np.exp(-np.clip(score[:, None] - t[None, :], -30, 30)))
         cumulative = np.hstack([np.ones((n, 1)), s, np.zeros((n, 1))])
         slope = np.hstack([np.zeros((n, 1)), s * (1 - s), np.zeros((n, 1))])
-        at = np.arange(n)
         chance = np.maximum(cumulative[at, y] - cumulative[at, y + 1], 1e-9)
         d_score = (slope[at, y] - slope[at, y + 1]) / chance
-        d_t = np.zeros(grades)
-        for k in range(grades):
-            d_t[k] = (-(slope[:, k + 1] / chance)[y == k + 1].sum() + (slope[:, k + 1] / chance)[y == k].sum())
-        g_w = np.bincount(cols, d_score[rows], len(w)) / n - ridge * w / n * 10
+        ratio = slope / chance[:, None]
+        d_t = np.array([ratio[y == k, k + 1].sum() - ratio[y == k + 1, k + 1].sum() for k in range(grades)])
+        g_w = np.bincount(cols, d_score[rows], len(w)) / n - ridge * w / n
         g_t = np.concatenate([[d_t.sum()], [np.exp(gap[j]) * d_t[j + 1 :].sum() for j in range(grades - 1)]]) / n
         g = np.concatenate([g_w, g_t])
         state[0] = 0.9 * state[0] + 0.1 * g
         state[1] = 0.99 * state[1] + 0.01 * g * g
         move = 0.1 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)
-        w, first, gap = np.maximum(w + move[: len(w)], 0.0), first + move[len(w)], gap + move[len(w) + 1 :]
+        w, first, gap = w + move[: len(w)], first + move[len(w)], gap + move[len(w) + 1 :]
     t = first + np.concatenate([[0.0], np.cumsum(np.exp(gap))])
-    return OrdinalModel({x: float(v) for x, v in zip(chosen, w, strict=True)}, [float(x) for x in t])
+    return OrdinalModel({bag.names[i]: float(v) for i, v in zip(chosen, w, strict=True)}, [float(x) for x in t])
+
+
+def graded(bag: Bag, labels: np.ndarray, fold: np.ndarray, grades: int = _GRADES) -> np.ndarray:
+    """Labels with each toxic one (1) as a grade from 1 up, by quantiles of its log-odds under models of the other folds."""
+    odds = np.full(len(labels), np.nan)
+    for f in np.unique(fold).tolist():
+        own, others = fold == f, fold != f
+        model = fit_bag(bag.among(others), (labels[others] > 0).astype(np.int64))
+        if model.thresholds:
+            odds[own] = bag.among(own).odds(model) - model.thresholds[0]
+    known = (labels == 1) & ~np.isnan(odds)
+    out = labels.copy()
+    if known.any():
+        cuts = np.quantile(odds[known], [k / grades for k in range(1, grades)])
+        out[known] = 1 + np.searchsorted(cuts, odds[known], "right")
+    return out
+
+
+def held_out(bag: Bag, labels: np.ndarray, fold: np.ndarray, grades: int = _GRADES) -> np.ndarray:
+    """Each text's expected severity under a model fitted on the other folds alone, grading included."""
+    out = np.zeros(len(labels))
+    for f in np.unique(fold).tolist():
+        own, others = fold == f, fold != f
+        known = bag.among(others)
+        model = fit_bag(known, graded(known, labels[others], fold[others], grades))
+        out[own] = [sum(model.above(x)) for x in bag.among(own).odds(model).tolist()]
+    return out
+
+
+def cut_for(severities: np.ndarray, labels: np.ndarray, keep: float) -> float:
+    """The lowest severity at which at least ``keep`` of the clean texts stay: half-way to the next higher one."""
+    clean = np.sort(severities[labels == 0])
+    if not len(clean):
+        return 0.5
+    last = float(clean[max(0, math.ceil(keep * len(clean)) - 1)])
+    above = severities[severities > last]
+    return (last + float(above.min())) / 2 if len(above) else last + 0.5
+
+
+def folds_of(ids: list[int], folds: int = 4) -> np.ndarray:
+    return np.array([zlib.crc32(str(i).encode()) % folds for i in ids], np.int64)
+
+
+def learn(sets: list[set[str]], labels: list[int], ids: list[int], keep: float = 0.995) -> OrdinalModel:
+    """Fit on all the labelled texts, with grades and the cut for rejection from held-out folds."""
+    if not sets:
+        return OrdinalModel()
+    bag, y, fold = Bag.of(sets), np.array(labels, np.int64), folds_of(ids)
+    model = fit_bag(bag, graded(bag, y, fold))
+    if model.thresholds:
+        model.reject = cut_for(held_out(bag, y, fold), y, keep)
+    return model
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, texts in common.documents_in_pieces(batches, 1):
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([sorted(features(t)) for t in texts], pa.list_(pa.string()))], ["label", "words"])
+    for rows, texts in common.documents_in_pieces(batches, 2):
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([sorted(words_of(t)) for t in texts], pa.list_(pa.string()))], ["doc_id", "label", "words"])
+
+
+def labelled(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> tuple[list[set[str]], list[int], list[int]]:
+    """Words, labels and ids of at most ``sample`` labelled documents, in the order of the ids; one text for each id."""
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where("doc_id is not null and label is not null and label >= 0")
+    few = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # sample rows at most
+    once = chosen.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = once.mapInArrow(_features, "doc_id long, label int, words array<string>").toArrow()
+    rows = sorted(((i, y, set(w)) for batch in found.to_batches(500) for i, y, w in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)), key=lambda r: r[0])
+    return [w for _, _, w in rows], [y for _, y, _ in rows], [i for i, _, _ in rows]
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> OrdinalModel:
-    """Fit on at most ``sample`` labelled documents; their ids bound what is broadcast and their features what is gathered."""
-    toxic = F.col("toxic").cast("int")
-    poor = (F.col("quality").cast("int") == 0) if "quality" in labels.columns else F.lit(False)
-    graded = F.when((toxic == 1) & F.coalesce(poor, F.lit(False)), 2).otherwise(toxic)
-    kept = labels.select("doc_id", graded.alias("label")).where("doc_id is not null and label is not null and label >= 0").groupBy("doc_id").agg(F.max("label").alias("label"))
-    few = kept.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("label", "text").mapInArrow(_features, "label int, words array<string>")
-    sets, grades = [], []
-    for batch in chosen.toArrow().to_batches(500):
-        grades += batch.column(0).to_pylist()
-        sets += [set(x) for x in batch.column(1).to_pylist()]
-    return fit(sets, grades)
-
-
-def severity(docs: DataFrame, model: OrdinalModel, reject: float = 0.5) -> DataFrame:
-    """All columns of ``docs`` with ``severity double, grade int, toxic boolean``; toxic is a severity of ``reject`` or more.
+    """Fit on at most ``sample`` labelled documents; their number bounds what is broadcast and what is gathered."""
+    return learn(*labelled(docs, labels, sample))
+
+
+def severity(docs: DataFrame, model: OrdinalModel, reject: float | None = None) -> DataFrame:
+    """All columns of ``docs`` with ``severity double, grade int, toxic boolean``; toxic is a severity of ``reject`` (the model's own) or more.
 
     Where ``docs`` has a column of such a name, the new one is called the same with underscores at its end.
     """
     names = common.fresh(docs.columns, "severity", "grade", "toxic")
+    reject = model.reject if reject is None else reject
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known(model.weights)
         for rows, texts in common.documents_in_pieces(batches, at):
-            found = [model.severity(t) for t in texts]
+            found = [model.severity(t, known) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [*rows.columns, pa.array([s for s, _ in found], pa.float64()), pa.array([g for _, g in found], pa.int32()), pa.array([s >= reject for s, _ in found], pa.bool_())],
                 [*rows.schema.names, *names],

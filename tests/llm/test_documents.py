@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +192,34 @@ def test_ordinal_model_on_held_out_texts():
     assert right >= 490
 
 
+def test_held_out_labels_are_caught_and_grades_follow_the_odds(spark):
+    folder = "/root/testdata/sf0.1"
+    words, labels, ids = toxicity.labelled(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    bag, y, fold = toxicity.Bag.of(words), np.array(labels), toxicity.folds_of(ids)
+    found = toxicity.held_out(bag, y, fold)
+    cut = toxicity.cut_for(found, y, 0.995)
+    assert (found[y > 0] >= cut).mean() >= 0.9 and (found[y == 0] < cut).mean() >= 0.99
+    # grades in which the folds agree: the severity of a text held out rises with the grade that other folds give it
+    graded = toxicity.graded(bag, y, fold)
+    means = [found[graded == g].mean() for g in range(3)]
+    assert means[0] < 0.1 < means[1] < means[2]
+    assert abs((graded == 1).sum() - (graded == 2).sum()) <= 1
+
+
+def test_repeated_ids_are_learned_from_once(spark):
+    d = docs(spark, [(1, "scum scum", "s")] * 50 + [(2, "fine", "s"), (3, None, "s")])
+    marks = spark.createDataFrame([(1, 0, 1), (1, 0, 0), (2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.labelled(d, marks) == ([{"scum"}, {"fine"}, set()], [1, 0, 0], [1, 2, 3])
+    assert [len(x) for x in toxicity.labelled(d, marks, sample=2)] == [2, 2, 2]
+
+
+def test_long_text_and_no_documents(spark):
+    model = toxicity.OrdinalModel({"scum": 5.0}, [2.0, 4.0])
+    d = docs(spark, [(1, "plain words " * 200_000 + "scum", "s"), (2, "plain", "s")])
+    assert {r.doc_id: r.grade for r in toxicity.severity(d, model).collect()} == {1: 2, 2: 0}
+    assert toxicity.severity(d.limit(0), model).count() == 0
+
+
 def test_toxicity_edges(spark):
     d = docs(spark, [(1, None, "s"), (2, "", "s"), (3, "fine words", "s")])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
