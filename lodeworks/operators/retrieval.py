@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeworks.operators.tiles import Block, blocks, firsts, front, meet
+from lodeworks.session import settle
 
 #: Which metric names order upwards (distances) and which downwards (similarities).
 DISTANCES = ("L2", "EUCLID", "EUCLIDEAN", "MANHATTAN", "JACCARD", "HAMMING")
@@ -137,30 +138,40 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, digits: int = 6) -> DataFrame:
-    """``qid, rank, id, score`` by BM25 over ``docs(id, text)`` and ``queries(qid, text)``.
+def bm25_impacts(docs: DataFrame, vocabulary: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """``term, id, s``: an inverted index of ``docs(id, text)`` over the terms of ``vocabulary(term)``, with BM25 impacts.
 
-    Postings are pre-aggregated to ``(id, term, tf)`` inside each row, so a term costs one row per document; only terms of
-    the queries are joined, and scores are summed with partial aggregation. ``k1`` and ``b`` are the usual defaults.
+    One pass over the texts: each gives a row under the empty term, which carries its length, and rows for the terms that
+    are asked for. The vocabulary is written first, so that Spark knows its size when it chooses how to join; postings
+    are written before they are read as counts and as impacts. A null text has no terms and length 0.
     """
-    toks = docs.select("id", terms(F.coalesce("text", F.lit(""))).alias("t")).withColumn("len", F.size("t"))
-    # lengths alone need no tokens
-    corpus = docs.select(F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+")).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    wanted = queries.select("qid", F.explode(F.array_distinct(terms(F.coalesce("text", F.lit(""))))).alias("term")).distinct()
-    vocabulary = wanted.select("term").distinct()
-    postings = toks.select("id", "len", F.explode("t").alias("term")).join(vocabulary, "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    one = F.broadcast(corpus)  # a single row
-    scored = (
-        postings.join(df, "term")
-        .join(wanted, "term")
-        .crossJoin(one)
-        .withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        .withColumn("s", F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl"))))
-    )
-    totals = scored.groupBy("qid", "id").agg(F.round(F.sum("s"), digits).alias("score"))
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return totals.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "id", "score")
+    wanted = settle(vocabulary.select("term").where("term is not null").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "term string")), "bm25-vocabulary")
+    toks = docs.select("id", terms(F.coalesce("text", F.lit(""))).alias("t"))
+    exploded = toks.select("id", F.size("t").alias("len"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
+    postings = settle(exploded.join(wanted, "term", "left_semi").groupBy("term", "id", "len").agg(F.count("*").alias("tf")), "bm25-postings")
+    corpus = postings.where("term = ''").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+    terms_only = postings.where("term <> ''")
+    df = terms_only.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    s = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
+    return terms_only.join(df.crossJoin(F.broadcast(corpus)), "term").select("term", "id", s.alias("s"))  # corpus is a single row
+
+
+def query_terms(queries: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, term``: each term of a query's ``text`` once."""
+    return queries.select(*keys, F.explode(F.array_distinct(terms(F.coalesce("text", F.lit(""))))).alias("term")).distinct()
+
+
+def bm25_search(impacts: DataFrame, asked: DataFrame, keys: Sequence[str], k: int, digits: int = 6) -> DataFrame:
+    """``keys, rank, id, score``: the ``k`` best texts for each query of ``asked(keys, term)``; sums are partial, ties go to the lower id."""
+    totals = impacts.join(asked, "term").groupBy(*keys, "id").agg(F.round(F.sum("s"), digits).alias("score"))
+    return totals.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k).select(*keys, "rank", "id", "score")
+
+
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, digits: int = 6) -> DataFrame:
+    """``qid, rank, id, score`` by BM25 over ``docs(id, text)`` and ``queries(qid, text)``; ``k1`` and ``b`` are the usual defaults."""
+    asked = query_terms(queries, ["qid"])
+    return bm25_search(bm25_impacts(docs, asked, k1, b), asked, ["qid"], k, digits)
 
 
 def evidence_source_count(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
