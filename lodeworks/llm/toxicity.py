@@ -12,7 +12,8 @@ toxic label above 1 is taken as it is). Folds without both kinds of label keep t
 is rejected is chosen on held-out folds too: the lowest at which the clean texts kept are at least ``keep`` of all.
 
 The model is fitted on at most ``sample`` labelled documents (those of the lowest hashes of ``doc_id``, one text an id).
-Scoring reads every whole text.
+Features (64-bit hashes) are counted by fold and label on the executors; only those that go with a label in some set of
+folds on which a model is fitted, and the texts that have them, come to the driver. Scoring reads every whole text.
 
 Defined cases: a null or empty text has no features and scores by the thresholds alone (clean); without any labels, or
 with labels of one grade only, every document is clean with severity 0; null labels and labels of unknown documents are
@@ -21,14 +22,15 @@ left out; repeated documents each get a row; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,51 +39,61 @@ from lodeworks.llm import common
 _letters = re.compile(r"[^\W\d_]+").findall
 _GRAM = 4
 _GRADES = 2
+#: A feature counts if so many texts have it, and if its likelihood ratio's signed root is so large.
+_OFTEN, _STRONG = 3, 3.5
+_FOLDS = 4
 
 
 def words_of(text: str) -> set[str]:
     return set(_letters(text.lower()))
 
 
-def _parts(word: str) -> set[str]:
+def parts(word: str) -> set[str]:
     """A word as a feature, and its runs of four letters, the begin marked."""
     marked = "^" + word
     return {word, *("~" + marked[i : i + _GRAM] for i in range(len(marked) - _GRAM + 1))}
 
 
+def _code(feature: str) -> int:
+    h = xxhash.xxh64_intdigest(feature.encode())
+    return h - (1 << 64) if h >> 63 else h
+
+
 class _Known(dict):
-    """Which features of a model a word has; forgotten when too many."""
+    """The features of words, of all or of those with a weight; forgotten when too many."""
 
-    def __init__(self, weights: dict[str, float]):
+    def __init__(self, weights: dict[int, float] | None = None):
         self.weights = weights
 
-    def __missing__(self, word: str) -> tuple[str, ...]:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) > 200_000:
             self.clear()
-        own = tuple(f for f in _parts(word) if f in self.weights)
+        own = tuple(c for f in parts(word) if (c := _code(f)) is not None and (self.weights is None or c in self.weights))
         if len(word) <= 64:
             self[word] = own
         return own
 
+    def of(self, words: set[str]) -> list[int]:
+        return sorted({c for w in words for c in self[w]})
+
 
 @dataclass
 class OrdinalModel:
     """Shared weights of features and ordered thresholds."""
 
-    weights: dict[str, float] = field(default_factory=dict)
+    weights: dict[int, float] = field(default_factory=dict)
     thresholds: list[float] = field(default_factory=list)
     reject: float = 0.5  # the expected severity from which a text is rejected
 
-    def odds(self, words: set[str], known: dict | None = None) -> float:
+    def odds(self, words: set[str], known: _Known | None = None) -> float:
         """What the words say, before any threshold; ``known`` keeps what is known of a word from text to text."""
-        known = _Known(self.weights) if known is None else known
-        return sum(self.weights[f] for f in sorted({f for w in words for f in known[w]}))
+        return sum(self.weights[c] for c in (known or _Known(self.weights)).of(words))
 
     def above(self, odds: float) -> list[float]:
         """The chance of each threshold to be passed."""
         return [1 / (1 + math.exp(-min(60.0, max(-60.0, odds - t)))) for t in self.thresholds]
 
-    def severity(self, text: str, known: dict | None = None) -> tuple[float, int]:
+    def severity(self, text: str, known: _Known | None = None) -> tuple[float, int]:
         """Expected severity, and the grade: 0 below ``reject``, otherwise the likeliest from 1 up."""
         if not self.thresholds:
             return 0.0, 0
@@ -97,61 +109,50 @@ class Bag:
 
     rows: np.ndarray
     columns: np.ndarray
-    names: list[str]
+    codes: np.ndarray
     texts: int
 
     @classmethod
-    def of(cls, sets: list[set[str]], least: int = 3) -> Bag:
-        """All features that at least ``least`` texts have."""
-        words = sorted(set().union(*sets))
-        number = {w: i for i, w in enumerate(words)}
-        parts = [sorted(_parts(w)) for w in words]
-        names = sorted(set().union(*parts))
-        place = {f: i for i, f in enumerate(names)}
-        flat = np.fromiter((place[f] for p in parts for f in p), np.int64)
-        size = np.array([len(p) for p in parts], np.int64)
-        begin = np.cumsum(size) - size
-        text = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        word = np.fromiter((number[w] for s in sets for w in s), np.int64)
-        long = size[word]
-        at = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
-        pairs = np.unique(np.repeat(text, long) * max(1, len(names)) + flat[np.repeat(begin[word], long) + at])
-        rows, columns = pairs // max(1, len(names)), pairs % max(1, len(names))
-        often = np.bincount(columns, minlength=len(names)) >= least
-        kept = often[columns]
-        return cls(rows[kept], (np.cumsum(often) - 1)[columns[kept]], [n for n, o in zip(names, often.tolist(), strict=True) if o], len(sets))
+    def of(cls, rows: np.ndarray, codes: np.ndarray, texts: int) -> Bag:
+        """From pairs of a text's number and a feature, each once."""
+        own, columns = np.unique(codes, return_inverse=True)
+        order = np.lexsort((columns, rows))
+        return cls(rows[order], columns[order], own, texts)
 
     def among(self, texts: np.ndarray) -> Bag:
         """The texts of a mask."""
         kept = texts[self.rows]
-        return Bag((np.cumsum(texts) - 1)[self.rows[kept]], self.columns[kept], self.names, int(texts.sum()))
+        return Bag((np.cumsum(texts) - 1)[self.rows[kept]], self.columns[kept], self.codes, int(texts.sum()))
 
     def odds(self, model: OrdinalModel) -> np.ndarray:
-        weight = np.array([model.weights.get(n, 0.0) for n in self.names])
+        weight = np.array([model.weights.get(c, 0.0) for c in self.codes.tolist()])
         return np.bincount(self.rows, weight[self.columns], self.texts) if len(self.rows) else np.zeros(self.texts)
 
 
 def fit(sets: list[set[str]], labels: list[int]) -> OrdinalModel:
     """A model of texts given as sets of words."""
-    return fit_bag(Bag.of(sets), np.array(labels, np.int64))
+    known = _Known()
+    codes = [known.of(x) for x in sets]
+    rows = np.repeat(np.arange(len(sets)), [len(c) for c in codes])
+    return fit_bag(Bag.of(rows, np.fromiter((c for own in codes for c in own), np.int64), len(sets)), np.array(labels, np.int64))
 
 
-def fit_bag(bag: Bag, y: np.ndarray, vocabulary: int = 4096, least: int = 3, ridge: float = 0.5, steps: int = 400) -> OrdinalModel:
+def fit_bag(bag: Bag, y: np.ndarray, vocabulary: int = 4096, least: int = _OFTEN, ridge: float = 0.5, steps: int = 400) -> OrdinalModel:
     """Fit by gradient steps on the likelihood with a ridge on the weights."""
     n, toxic = len(y), int((y > 0).sum())
     if not toxic or toxic == n or not len(bag.rows):
         return OrdinalModel()
-    k = np.bincount(bag.columns, minlength=len(bag.names)).astype(float)
-    a = np.bincount(bag.columns, (y > 0)[bag.rows], len(bag.names))
+    k = np.bincount(bag.columns, minlength=len(bag.codes)).astype(float)
+    a = np.bincount(bag.columns, (y > 0)[bag.rows], len(bag.codes))
     rate = toxic / n
     # signed root of the likelihood ratio of a feature against independence
     tables = ((a, k * rate), (k - a, k * (1 - rate)), (toxic - a, toxic * (1 - k / n)), (n - toxic - k + a, (n - toxic) * (1 - k / n)))
     g = sum(np.where((o > 0) & (e > 0), o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0.0) for o, e in tables)
     strength = np.where(k >= least, np.sqrt(np.maximum(2 * g, 0)), 0.0)
-    chosen = [i for i in np.lexsort((np.arange(len(k)), -strength)).tolist()[:vocabulary] if strength[i] > 3.5]
+    chosen = [i for i in np.lexsort((np.arange(len(k)), -strength)).tolist()[:vocabulary] if strength[i] > _STRONG]
     if not chosen:
         return OrdinalModel()
-    column = np.full(len(bag.names), -1)
+    column = np.full(len(bag.codes), -1)
     column[chosen] = np.arange(len(chosen))
     inside = column[bag.columns] >= 0
     rows, cols = bag.rows[inside], column[bag.columns[inside]]
@@ -181,7 +182,7 @@ def fit_bag(bag: Bag, y: np.ndarray, vocabulary: int = 4096, least: int = 3, rid
         move = 0.1 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)
         w, first, gap = w + move[: len(w)], first + move[len(w)], gap + move[len(w) + 1 :]
     t = first + np.concatenate([[0.0], np.cumsum(np.exp(gap))])
-    return OrdinalModel({bag.names[i]: float(v) for i, v in zip(chosen, w, strict=True)}, [float(x) for x in t])
+    return OrdinalModel({int(bag.codes[i]): float(v) for i, v in zip(chosen, w, strict=True)}, [float(x) for x in t])
 
 
 def graded(bag: Bag, labels: np.ndarray, fold: np.ndarray, grades: int = _GRADES) -> np.ndarray:
@@ -221,40 +222,68 @@ def cut_for(severities: np.ndarray, labels: np.ndarray, keep: float) -> float:
     return (last + float(above.min())) / 2 if len(above) else last + 0.5
 
 
-def folds_of(ids: list[int], folds: int = 4) -> np.ndarray:
-    return np.array([zlib.crc32(str(i).encode()) % folds for i in ids], np.int64)
-
-
-def learn(sets: list[set[str]], labels: list[int], ids: list[int], keep: float = 0.995) -> OrdinalModel:
+def learn(bag: Bag, y: np.ndarray, fold: np.ndarray, keep: float = 0.995) -> OrdinalModel:
     """Fit on all the labelled texts, with grades and the cut for rejection from held-out folds."""
-    if not sets:
+    if not bag.texts:
         return OrdinalModel()
-    bag, y, fold = Bag.of(sets), np.array(labels, np.int64), folds_of(ids)
     model = fit_bag(bag, graded(bag, y, fold))
     if model.thresholds:
         model.reject = cut_for(held_out(bag, y, fold), y, keep)
     return model
 
 
+@common.releasing
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, texts in common.documents_in_pieces(batches, 2):
-        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([sorted(words_of(t)) for t in texts], pa.list_(pa.string()))], ["doc_id", "label", "words"])
+    known = _Known()
+    for rows, texts in common.documents_in_pieces(batches, 3):
+        yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array([known.of(words_of(t)) for t in texts], pa.list_(pa.int64()))], ["doc_id", "label", "fold", "codes"])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> tuple[list[set[str]], list[int], list[int]]:
-    """Words, labels and ids of at most ``sample`` labelled documents, in the order of the ids; one text for each id."""
+def labelled(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> DataFrame:
+    """``doc_id, label, fold, codes`` of at most ``sample`` labelled documents, one text for each id, settled."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where("doc_id is not null and label is not null and label >= 0")
     few = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # sample rows at most
     once = chosen.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    found = once.mapInArrow(_features, "doc_id long, label int, words array<string>").toArrow()
-    rows = sorted(((i, y, set(w)) for batch in found.to_batches(500) for i, y, w in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)), key=lambda r: r[0])
-    return [w for _, _, w in rows], [y for _, y, _ in rows], [i for i, _, _ in rows]
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(_FOLDS)).cast("int")
+    return common.settle(once.select("doc_id", "label", fold.alias("fold"), "text").mapInArrow(_features, "doc_id long, label int, fold int, codes array<long>"), "toxicity-features")
+
+
+def gathered(texts: DataFrame, most: int = 4096) -> tuple[Bag, np.ndarray, np.ndarray]:
+    """The labelled texts as a bag, with labels and folds: of features that count in some set of folds, the strongest ``most``.
+
+    Models are fitted on all folds and on all but one or two of them; a feature's strength is the greatest of these.
+    """
+    heads = texts.select("doc_id", "label", "fold").toArrow()  # one row a text, at most the sample
+    ids, labels, folds = (heads.column(c).to_numpy() for c in range(3))
+    order = np.argsort(ids)
+    ids, labels, folds = ids[order], labels[order].astype(np.int64), folds[order].astype(np.int64)
+    toxic = [[int(((folds == f) & ((labels > 0) == bad)).sum()) for bad in (False, True)] for f in range(_FOLDS)]
+    exploded = texts.select("doc_id", "label", "fold", F.explode("codes").alias("code"))
+    count = exploded.groupBy("code").agg(*(F.count_if((F.col("fold") == f) & ((F.col("label") > 0) == F.lit(bad))).alias(f"n{f}{int(bad)}") for f in range(_FOLDS) for bad in (False, True)))
+    subsets = [s for left_out in range(3) for s in itertools.combinations(range(_FOLDS), _FOLDS - left_out)]
+    strengths = []
+    for own in subsets:
+        n, t = float(sum(sum(toxic[f]) for f in own)), float(sum(toxic[f][1] for f in own))
+        if not 0 < t < n:
+            continue
+        a, c = (sum((F.col(f"n{f}{bad}") for f in own), F.lit(0)).cast("double") for bad in (1, 0))
+        k = a + c
+        cells = ((a, k * t / n), (c, k * (n - t) / n), (t - a, t * (1 - k / n)), ((n - t) - c, (n - t) * (1 - k / n)))
+        ratio = sum((F.when((o > 0) & (e > 0), o * F.log(o / e)).otherwise(0.0) for o, e in cells), F.lit(0.0))
+        strengths.append(F.when(k >= _OFTEN, F.sqrt(F.greatest(2 * ratio, F.lit(0.0)))).otherwise(0.0))
+    found = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    if strengths:
+        strength = F.array_max(F.array(*strengths))
+        strong = count.select("code", strength.alias("strength")).where(F.col("strength") > _STRONG).orderBy(F.desc("strength"), "code").limit(most).select("code")
+        pairs = exploded.select("doc_id", "code").join(F.broadcast(strong), "code").select("doc_id", "code").toArrow()
+        found = (np.searchsorted(ids, pairs.column(0).to_numpy()), pairs.column(1).to_numpy())
+    return Bag.of(*found, len(ids)), labels, folds
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> OrdinalModel:
     """Fit on at most ``sample`` labelled documents; their number bounds what is broadcast and what is gathered."""
-    return learn(*labelled(docs, labels, sample))
+    return learn(*gathered(labelled(docs, labels, sample)))
 
 
 def severity(docs: DataFrame, model: OrdinalModel, reject: float | None = None) -> DataFrame:
