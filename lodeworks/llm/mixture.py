@@ -4,11 +4,14 @@ Sizes are words. Each source's target comes from its weight; a document's expect
 its own weight and bounded by ``most`` copies, with one factor per source so that expected words equal the target. Whole
 copies are certain. The remaining fraction is the inclusion probability ``p``; documents of a source are ranked by
 ``(u / (1 - u)) / (p / (1 - p))`` with ``u`` a hash of the document, and the lowest ranks are taken up to the words that
-are still wanted. The size of the sample is thus fixed in words, to within half a document; where the last documents are
-large, up to three later ones that fill the words still missing are taken besides.
+are still wanted. The document with which they would be exceeded is the cut; the words missing there go to the one
+document, of the cut and all behind it, whose size comes nearest to them (or to none). So a source's words are off its
+target by half the document at the cut at most, in general by far less.
 
-No source is ever ordered as a whole: ranks are counted in 4096 bins, the bin in which the target falls is cut into
-4096 again, and only the documents of that last bin are put in order.
+Nothing goes through the driver. Sources are numbered, and their targets found, by prefix sums over the sorted sources:
+within the partitions of a range partitioning, and over one row for each partition. No source is ever ordered as a
+whole: ranks are counted in 4096 bins, the bin in which the target falls is cut into 4096 again, and only the documents
+of that last bin are put in order.
 
 Defined cases: a null text has size 0 and takes 0; a null source is a source of its own, last in order; documents of
 equal rank follow ``doc_id`` (null first) and a hash of the text, and of rows equal in all of these just as many are taken
@@ -33,52 +36,54 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(common.WORD)), F.lit(0)).cast("long")
 
 
+def _prefix(rows: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+    """``rows`` with the sum of each of ``sums`` over the rows before it in ``order``; no task sees more than its range."""
+    ranged = common.settle(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"part_": F.spark_partition_id(), "at_": F.monotonically_increasing_id()}), name)
+    parts = ranged.groupBy("part_").agg(*(F.sum(c).alias(f"{n}_") for n, c in sums.items()))
+    by_part = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    begins = parts.select("part_", *(F.coalesce(F.sum(f"{n}_").over(by_part), F.lit(0)).alias(f"{n}_") for n in sums))
+    inside = Window.partitionBy("part_").orderBy("at_").rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.join(begins, "part_").withColumns({n: F.col(f"{n}_") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()}).drop("part_", "at_", *(f"{n}_" for n in sums))
+
+
 def targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0) -> DataFrame:
-    """``source, source_size, target``: shares of all words by weight, none above ``most`` times its source.
+    """``source, source_size, target``: shares of all words by weight, none above ``most`` times its source, settled.
 
-    Sources are few; their sums are gathered in one row per source and filled level by level: what a full source cannot
-    take is shared again by weight among the others.
+    What full sources can't take is shared again by weight among the others. In order of ``most * size / weight`` the
+    full ones come first, and the level at which the others are filled follows from the sums before the first of them.
     """
     sums = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    ranked = sums.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    rows = ranked.orderBy("rank").collect()
-    total = float(sum(r["source_size"] for r in rows))
-    weight = [float(weights[i % len(weights)]) for i in range(len(rows))]
-    size = [float(r["source_size"]) for r in rows]
-    target = [0.0] * len(rows)
-    unfilled, left = set(range(len(rows))), total
-    while unfilled:
-        share = left / sum(weight[i] for i in unfilled)
-        full = {i for i in unfilled if share * weight[i] > most * size[i]}
-        if not full:
-            for i in unfilled:
-                target[i] = share * weight[i]
-            break
-        for i in full:
-            target[i] = most * size[i]
-            left -= target[i]
-        unfilled -= full
-    spark = sizes.sparkSession
-    return spark.createDataFrame([(r["source"], r["source_size"], t) for r, t in zip(rows, target, strict=True)], "source string, source_size long, target double")
-
-
-def _factor(classes: list[tuple[float, int]], target: float, most: float) -> float:
-    """``f`` with ``sum(size * min(most, f * weight)) = target`` over classes ``(weight, size)``."""
-    todo, left = sorted(c for c in classes if c[1] and c[0] > 0), target
-    while todo:
-        f = left / sum(w * s for w, s in todo)
-        w, s = todo[-1]
-        if f * w <= most:
-            return f
-        left -= most * s
-        todo.pop()
-    return float("inf")
+    counted = _prefix(sums, [F.col("source").isNull(), F.col("source")], {"rank": F.lit(1).cast("long")}, "mix-sources")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(F.col("rank"), F.lit(len(weights))) + 1).cast("int"))
+    full = (F.col("source_size") * most).cast("double")
+    rows = counted.withColumn("share", weight).withColumns({"full": full, "ratio": full / F.col("share")})
+    # sums of words as decimals, exact in any order
+    before = _prefix(rows.select("source", "source_size", "share", "full", "ratio"), [F.col("ratio"), F.col("source").isNull(), F.col("source")], {"size_before": F.col("source_size"), "share_before": F.col("share")}, "mix-ratios")
+    total = before.agg(F.sum("source_size").alias("words"), F.sum("share").alias("shares"))
+    level = (F.col("words") - F.col("size_before") * most) / (F.col("shares") - F.col("share_before"))
+    levels = before.crossJoin(F.broadcast(total)).withColumn("level", level)  # total is one row
+    first = levels.where(F.col("level") <= F.col("ratio")).agg(F.min_by("level", F.struct("ratio", F.col("source").isNull(), "source")).alias("level"))
+    filled = before.crossJoin(F.broadcast(first))  # one row
+    return common.settle(filled.select("source", "source_size", F.least(F.col("full"), F.coalesce(F.col("level") * F.col("share"), F.col("full"))).alias("target")), "mix-targets")
+
+
+def _factors(classes: DataFrame, goals: DataFrame, most: float) -> DataFrame:
+    """``goals`` with ``factor``: ``f`` with ``sum(size * min(most, f * weight)) = target`` over ``classes(source, weight, n)``.
+
+    In order of falling weights the bounded classes come first; the factor follows from the first class that isn't.
+    """
+    order = Window.partitionBy("source").orderBy(F.desc("weight"))
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    useful = classes.where("weight > 0 and n > 0").withColumnRenamed("source", "s").join(goals, F.col("s").eqNullSafe(F.col("source"))).drop("s")
+    f = (F.col("target") - most * F.coalesce(F.sum("n").over(before), F.lit(0))) / F.sum(F.col("weight") * F.col("n")).over(after)
+    first = useful.withColumn("f", f).where(F.col("f") * F.col("weight") <= most).groupBy("source").agg(F.max_by("f", "weight").alias("factor"))
+    joined = goals.join(first.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    return joined.withColumn("factor", F.coalesce("factor", F.lit(float("inf"))))
 
 
 def _ranked(rows: DataFrame, plan: DataFrame, most: float, seed: int) -> DataFrame:
     """``rows`` (with ``size, weight, tie``) and their expected copies and ranks, by one row per source of ``plan``."""
-    # the number of sources bounds what is broadcast
-    joined = rows.join(F.broadcast(plan.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    joined = rows.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     expected = F.when(F.col("weight") > 0, F.least(F.lit(float(most)), F.col("factor") * F.col("weight"))).otherwise(0.0)
     u = (F.xxhash64(F.lit(seed), "doc_id", "source", "tie").bitwiseAND(F.lit((1 << 52) - 1)).cast("double") + 0.5) / float(1 << 52)
     return (
@@ -96,92 +101,68 @@ def _sized(docs: DataFrame, weight: Column | None, seed: int) -> DataFrame:
     return docs.withColumn("size", word_count(F.col("text"))).withColumns({"weight": chosen.cast("double"), "tie": F.xxhash64("text", F.lit(seed))})
 
 
+def _by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    return left.join(right.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), how).drop("s")
+
+
+def _cut(bins: DataFrame, name: str, cut: str) -> DataFrame:
+    """``source``, the bin in which the wanted words run out, and the words wanted there; of ``bins(source, name, n, wanted)``."""
+    so_far = F.sum("n").over(Window.partitionBy("source").orderBy(name).rowsBetween(Window.unboundedPreceding, 0))
+    crossing = bins.withColumn("so_far", so_far).where(F.col("so_far") > F.col("wanted"))
+    return crossing.groupBy("source").agg(F.min(F.struct(F.col(name).alias("bin"), (F.col("wanted") - F.col("so_far") + F.col("n")).alias("left"))).alias("m")).select("source", F.col("m.bin").alias(cut), F.col("m.left").alias("wanted"))
+
+
+_DOC = "coalesce(doc_id, -9223372036854775808)"  # nulls first, as in the windows
+
+
 def plan_mix(sized: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3, seed: int = 0) -> DataFrame:
-    """One row per source: ``source_size, target, factor`` and the last rank taken, ``cut_order, cut_doc, cut_tie``.
+    """One row per source: ``source_size, target, factor``, the cut and the pick, settled.
 
-    With it, whether and how often a document is taken follows from its own row. A null ``cut_order`` takes none beyond
-    the certain copies, one of 2 takes all.
+    With it, whether and how often a document is taken follows from its own row: documents before ``cut`` are taken,
+    ``cut_fit`` rows equal to it, and one row equal to ``pick``. A null cut takes all.
     """
-    spark = sized.sparkSession
-    goals = targets(sized, weights, most).collect()
-    classes: dict[str | None, list[tuple[float, int]]] = {}
-    for r in sized.groupBy("source", "weight").agg(F.sum("size").alias("n")).collect():
-        classes.setdefault(r["source"], []).append((r["weight"], r["n"]))
-    named = [(r["source"], r["source_size"], r["target"], _factor(classes[r["source"]], r["target"], most)) for r in goals]
-    plan = spark.createDataFrame(named, "source string, source_size long, target double, factor double")
+    goals = targets(sized, weights, most)
+    named = common.settle(_factors(sized.groupBy("source", "weight").agg(F.sum("size").alias("n")), goals, most), "mix-factors")
     coarse_bin = F.least(F.floor(F.col("order") * _BINS), F.lit(_BINS - 1)).cast("int")
     fine_bin = F.least(F.floor((F.col("order") * _BINS - F.col("coarse")) * _BINS), F.lit(_BINS - 1)).cast("int")
-    ranked = _ranked(sized, plan, most, seed).withColumn("coarse", coarse_bin).withColumn("fine", fine_bin)
-    wanted = {r["source"]: r["target"] - r["certain"] for r in ranked.groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("certain") * F.col("size")).alias("certain")).collect()}
-    fraction = ranked.where("p > 0")
-    coarse = _cut(fraction.groupBy("source", "coarse").agg(F.sum("size").alias("n")), "coarse", wanted)
-    cuts = spark.createDataFrame([(s, b) for s, (b, _) in coarse.items()], "s2 string, cut_coarse int")
-    inside = fraction.join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("s2")) & (F.col("coarse") == F.col("cut_coarse")))
-    fine = _cut(inside.groupBy("source", "fine").agg(F.sum("size").alias("n")), "fine", {s: left for s, (_, left) in coarse.items()})
-    last = spark.createDataFrame([(s, *fine[s]) for s in fine], "s3 string, cut_fine int, words double")
-    edge = inside.join(F.broadcast(last), F.col("source").eqNullSafe(F.col("s3")) & (F.col("fine") == F.col("cut_fine")))
+    ranked = _ranked(sized, named, most, seed).withColumn("coarse", coarse_bin).withColumn("fine", fine_bin)
+    sums = ranked.groupBy("source", "coarse").agg(F.first("target").alias("target"), F.sum(F.col("certain") * F.col("size")).alias("certain"), F.sum(F.when(F.col("p") > 0, F.col("size")).otherwise(0)).alias("n"))
+    wanted = F.col("target") - F.sum("certain").over(Window.partitionBy("source"))
+    coarse = common.settle(_cut(sums.withColumn("wanted", wanted).where("coarse is not null"), "coarse", "cut_coarse"), "mix-coarse")
+    inside = _by_source(ranked.where("p > 0"), coarse).where("coarse = cut_coarse")
+    fine = _cut(inside.groupBy("source", "fine", "wanted").agg(F.sum("size").alias("n")), "fine", "cut_fine")
+    last = common.settle(_by_source(fine, coarse.select("source", "cut_coarse")), "mix-fine")
+    edge = _by_source(ranked.where("p > 0"), last).where("coarse = cut_coarse and fine = cut_fine").withColumn("doc", F.expr(_DOC))
     # rows equal in all that ranks them are one step with a count
-    steps = edge.groupBy("source", "order", "doc_id", "tie", "size", "words").agg(F.count("*").alias("rows"))
-    w = Window.partitionBy("source").orderBy("order", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    left = F.col("words") - (F.sum(F.col("size") * F.col("rows")).over(w) - F.col("size") * F.col("rows"))
-    fit = F.least(F.col("rows"), F.floor(left / F.greatest("size", F.lit(1)) + 0.5)).cast("long")
-    taken = steps.withColumn("fit", fit).where("fit > 0")
-    last = F.max(F.struct("order", "doc_id", "tie", "fit", "rows"))
-    ends = {r["source"]: r["m"] for r in taken.groupBy("source").agg(last.alias("m")).collect()}
-
-    def end(source: str | None) -> tuple[float, int | None, int | None, int, int]:
-        if source in ends:
-            return tuple(ends[source])
-        if source in fine:  # nothing of the last bin: up to where it begins
-            return (coarse[source][0] + fine[source][0] / _BINS) / _BINS, None, None, 0, 0
-        if source in coarse:
-            return (coarse[source][0] + 1) / _BINS, None, None, 0, 0
-        return 2.0, None, None, 0, 0
-
-    shape = "source string, source_size long, target double, factor double, cut_order double, cut_doc long, cut_tie long, cut_fit long, cut_rows long"
-    plan = spark.createDataFrame([(*n, *end(n[0])) for n in named], shape).withColumn("more", F.expr("cast(array() as array<bigint>)"))
-    return _filled(sized, plan, most, seed)
-
-
-def _filled(sized: DataFrame, plan: DataFrame, most: int, seed: int, rounds: int = 3) -> DataFrame:
-    """``plan`` with ``more``: hashes of up to ``rounds`` documents a source beyond the cut, each the largest that still fits."""
-    key = F.xxhash64("doc_id", "tie", F.lit(1))
-    for _ in range(rounds):
-        mixed = apply_mix(sized, plan, most, seed)
-        short = mixed.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("short")).where("short >= 1")
-        # a document that is not among its rows' repeats, has a chance, and is not taken for it yet
-        free = mixed.where("size > 0 and expected > copies and copies < ceil(expected)").groupBy("source", "doc_id", "tie", "size").agg(F.count("*").alias("rows")).where("rows = 1")
-        fits = free.withColumnRenamed("source", "s_").join(F.broadcast(short), F.col("source").eqNullSafe(F.col("s_"))).where("size <= short")
-        best = fits.groupBy("source").agg(F.max_by(key, F.struct("size", key)).alias("one")).collect()
-        if not best:
-            break
-        more = sized.sparkSession.createDataFrame([(r["source"], r["one"]) for r in best], "s_ string, one long")
-        plan = plan.join(F.broadcast(more), F.col("source").eqNullSafe(F.col("s_")), "left").withColumn("more", F.array_compact(F.concat("more", F.array("one")))).drop("s_", "one")
-        plan = sized.sparkSession.createDataFrame(plan.collect(), plan.schema)  # one row a source
-    return plan
+    steps = edge.groupBy("source", "order", "doc", "tie", "size", "wanted").agg(F.count("*").alias("rows"))
+    w = Window.partitionBy("source").orderBy("order", "doc", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    left = F.col("wanted") - (F.sum(F.col("size") * F.col("rows")).over(w) - F.col("size") * F.col("rows"))
+    crossing = steps.withColumn("left", left).where(F.col("size") * F.col("rows") > F.col("left"))
+    fit = F.floor(F.col("left") / F.col("size")).cast("long")
+    first = crossing.groupBy("source").agg(F.min(F.struct("order", "doc", "tie", "size", "left")).alias("c")).select("source", "c.*")
+    cut = common.settle(first.select("source", F.struct("order", "doc", "tie").alias("cut"), fit.alias("cut_fit"), (F.col("left") - fit * F.col("size")).alias("missing")), "mix-cut")
+    here = F.struct("order", "doc", "tie")
+    behind = _by_source(ranked.where("p > 0 and size > 0").withColumn("doc", F.expr(_DOC)), cut).where(here >= F.col("cut"))
+    near = behind.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("missing")).alias("off"), here.alias("pick"), "missing")).alias("n"))
+    pick = near.select("source", F.when(F.col("n.off") < F.col("n.missing"), F.col("n.pick")).alias("pick"))
+    plan = _by_source(_by_source(named, cut.drop("missing"), "left"), pick, "left")
+    return common.settle(plan, "mix-plan")
 
 
 def apply_mix(rows: DataFrame, plan: DataFrame, most: int = 3, seed: int = 0) -> DataFrame:
     """``rows`` with ``source_size, target, expected, copies``.
 
-    Each row is decided by itself; only rows equal to the very last one of a source, where not all of them are taken, are
-    numbered, by one window over those rows alone.
+    Each row is decided by itself; only rows equal to a source's cut or pick are numbered, by a window over those alone.
     """
-    ranked = _ranked(rows, plan, most, seed)
-    order, doc, tie = F.col("order"), F.coalesce("doc_id", F.lit(-(1 << 63))), F.col("tie")
-    cut_doc = F.coalesce("cut_doc", F.lit(-(1 << 63)))  # as the window orders them, nulls first
-    same = F.coalesce((order == F.col("cut_order")) & (doc == cut_doc) & (tie == F.col("cut_tie")), F.lit(False))
-    before = (order < F.col("cut_order")) | ((order == F.col("cut_order")) & F.col("cut_tie").isNotNull() & ((doc < cut_doc) | ((doc == cut_doc) & (tie <= F.col("cut_tie")))))
-    besides = F.array_contains("more", F.xxhash64("doc_id", "tie", F.lit(1)))
-    beyond = F.coalesce(F.when(F.col("p") > 0, (before | besides).cast("long")), F.lit(0))
-    gone = ("certain", "p", "order", "factor", "cut_order", "cut_doc", "cut_tie", "cut_fit", "cut_rows", "more")
-    if plan.where("cut_fit < cut_rows").isEmpty():
-        return ranked.withColumn("copies", F.col("certain") + beyond).drop(*gone)
-    at_cut = same & (F.col("cut_fit") < F.col("cut_rows"))
-    plain = ranked.where(~at_cut).withColumn("copies", F.col("certain") + beyond)
-    number = F.row_number().over(Window.partitionBy("source", "doc_id", "tie").orderBy("order"))
-    last = ranked.where(at_cut).withColumn("copies", F.col("certain") + (number <= F.col("cut_fit")).cast("long"))
-    return plain.unionByName(last).drop(*gone)
+    ranked = _ranked(rows, plan, most, seed).withColumn("here", F.struct("order", F.expr(_DOC).alias("doc"), "tie"))
+    cut, pick, here = F.col("cut"), F.col("pick"), F.col("here")
+    chance = F.col("p") > 0
+    counted = F.coalesce(chance & ((here == cut) | (here == pick)), F.lit(False))
+    plain = ranked.where(~counted).withColumn("copies", F.col("certain") + F.coalesce(chance & (cut.isNull() | (here < cut)), F.lit(False)).cast("long"))
+    number = F.row_number().over(Window.partitionBy("source", "here").orderBy("order"))
+    fit = F.coalesce(F.when(here == cut, F.col("cut_fit")), F.lit(0)) + F.coalesce((here == pick).cast("long"), F.lit(0))
+    last = ranked.where(counted).withColumn("copies", F.col("certain") + (number <= fit).cast("long"))
+    return plain.unionByName(last).drop("certain", "p", "order", "factor", "cut", "cut_fit", "pick", "here")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3, weight: Column | None = None, seed: int = 0) -> DataFrame:
@@ -208,22 +189,6 @@ def take(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3, s
     return each.select(*(F.col("text") if c == "text" else F.col("kept").getField(c).alias(c) for c in columns))
 
 
-def _cut(bins: DataFrame, name: str, wanted: dict) -> dict:
-    """Per source the bin in which the wanted words run out and the words wanted there; none if all bins fit."""
-    sums: dict = {}
-    for r in bins.collect():  # sources times 4096 rows at most
-        sums.setdefault(r["source"], []).append((r[name], r["n"]))
-    cut = {}
-    for source, rows in sums.items():
-        left = wanted.get(source, 0.0)
-        for number, n in sorted(rows):
-            if n > left:
-                cut[source] = (number, left)
-                break
-            left -= n
-    return cut
-
-
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(common.table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "expected", "copies")
