@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeworks.session import settle
+
 
 def changes(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """``id, change``: added, removed, modified (the content differs) or touched (only size or time differ); unchanged rows drop.
@@ -46,19 +48,47 @@ def sessions(events: DataFrame, gap: str, at: str = "ts") -> DataFrame:
     return stamped.groupBy("user_id", F.session_window(at, gap).alias("s")).agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-def config_chain(versions: DataFrame, head: str) -> DataFrame:
-    """``depth, id`` from ``head`` to the root over ``versions(id, parent)``, one filtered look-up per link.
+def chains(versions: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """``head, depth, id``: the versions from each head (by default every version) to its root, by pointer doubling.
 
-    A version that is missing ends the chain; a version that comes again is an error.
+    ``versions(id, parent)``. Round ``k`` joins what is known with the ``2^k``-th ancestors and those with themselves, so
+    a chain of 10 000 takes 14 rounds. A parent that is missing ends a chain; a chain of more links than there are versions
+    is a loop and an error. Without heads the result has a row for every pair of a version and its ancestor; ``roots``
+    is for the ends alone. Tables of a round are written, so that its plan doesn't hold the rounds before it.
     """
-    chain, at = [], head
-    while at is not None:
-        if at in chain:
-            raise ValueError(f"version {at} is its own ancestor")
-        chain.append(at)
-        found = versions.where(F.col("id") == at).select("parent").first()
-        at = found["parent"] if found else None
-    return versions.sparkSession.createDataFrame(list(enumerate(chain)), "depth int, id string")
+    known = versions.select("id", "parent").where("id is not null").dropDuplicates(["id"])
+    up = settle(known.join(known.select(F.col("id").alias("parent")), "parent", "left_semi").select("id", F.col("parent").alias("to")), "chain-up")
+    found = settle((known if heads is None else heads.join(known.select("id"), "id", "left_semi")).select(F.col("id").alias("head"), F.lit(0).alias("depth"), "id").distinct(), "chain-found")
+    step, most = 1, known.count()
+    while not up.isEmpty():
+        if step > most:
+            raise ValueError("a version is its own ancestor")
+        further = found.join(up, "id").select("head", (F.col("depth") + step).alias("depth"), F.col("to").alias("id"))
+        found, step = settle(found.unionByName(further), "chain-found"), 2 * step
+        up = settle(up.join(up.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")), "chain-up")
+    return found
+
+
+def roots(versions: DataFrame) -> DataFrame:
+    """``id, root, depth`` of every version: its oldest known ancestor and the steps to it; one row a version in every round."""
+    known = versions.select("id", "parent").where("id is not null").dropDuplicates(["id"])
+    parent = known.select(F.col("id").alias("parent"), F.lit(True).alias("there"))
+    at = settle(known.join(parent, "parent", "left").select("id", F.coalesce(F.when(F.col("there"), F.col("parent")), F.col("id")).alias("root"), F.coalesce(F.col("there"), F.lit(False)).cast("long").alias("depth")), "root-step")
+    step, most = 1, at.count()
+    while True:
+        onward = at.select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
+        moved = settle(at.join(onward, "root").select("id", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")), "root-step")
+        if moved.where("moved").isEmpty():
+            return moved.drop("moved")
+        at, step = moved.drop("moved"), 2 * step
+        if step > 2 * most:  # a round more than the longest chain takes
+            raise ValueError("a version is its own ancestor")
+
+
+def config_chain(versions: DataFrame, head: str) -> DataFrame:
+    """``depth, id`` from ``head`` to the root over ``versions(id, parent)``."""
+    named = versions.sparkSession.createDataFrame([(head,)], "id string")
+    return chains(versions, named).select("depth", "id")
 
 
 def summary_window(turns: DataFrame, start: int = 12, keep: int = 6) -> DataFrame:
