@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.operators import manifests
+from lodeworks.operators import manifests, schedule
 from lodeworks.plans.registry import register
 from lodeworks.session import settle, table, work_folder
 from lodeworks.sources.commits import TableLog
@@ -89,3 +89,28 @@ def version_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains of up to 97 customers, all of them at once."""
     c = F.col("c_custkey").cast("long")
     return incremental.roots(table(spark, sf_dir, "customer").select(c.alias("id"), F.when(c % 97 != 1, c - 1).alias("parent")))
+
+
+_CRONS = {
+    "*/15 9-17 * * 1-5": "minute(m) % 15 = 0 AND hour(m) BETWEEN 9 AND 17 AND isodow(m) <= 5",
+    "0 3 * * 7": "minute(m) = 0 AND hour(m) = 3 AND isodow(m) = 7",
+    "30 2 1,15 * *": "minute(m) = 30 AND hour(m) = 2 AND day(m) IN (1, 15)",
+    "5,35 */6 10-20 2-11/3 *": "minute(m) IN (5, 35) AND hour(m) % 6 = 0 AND day(m) BETWEEN 10 AND 20 AND month(m) IN (2, 5, 8, 11)",
+    "0 12 13 * FRI": "minute(m) = 0 AND hour(m) = 12 AND (day(m) = 13 OR isodow(m) = 5)",
+    "* * * * *": "true",
+}
+_CRON_SQL = "\n  UNION ALL ".join(f"SELECT {i} AS c, m FROM minutes WHERE {where}" for i, where in enumerate(_CRONS.values()))
+
+
+@register(
+    "cron_next_runs",
+    f"""WITH last AS (SELECT user_id, max(ts) AS moment, user_id % {len(_CRONS)} AS c FROM events GROUP BY user_id),
+minutes AS (SELECT unnest(generate_series(date_trunc('day', min(moment)), max(moment) + INTERVAL 400 DAY, INTERVAL 1 MINUTE)) AS m FROM last),
+runs AS ({_CRON_SQL})
+SELECT l.user_id, r.m - INTERVAL 8 HOUR AS next_run FROM last l ASOF JOIN runs r ON l.c = r.c AND l.moment + INTERVAL 8 HOUR < r.m""",
+)
+def cron_next_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first run of each user's schedule after the user's last event, on Shanghai's clock."""
+    last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max(F.col("ts").cast("timestamp")).alias("at"))
+    cron = F.element_at(F.array(*(F.lit(c) for c in _CRONS)), (F.col("user_id") % len(_CRONS) + 1).cast("int"))
+    return last.select("user_id", schedule.next_run(cron, F.col("at"), F.lit("Asia/Shanghai")).alias("next_run"))

@@ -2,11 +2,13 @@
 
 import random
 import uuid
+from datetime import datetime, timedelta, timezone
+from zoneinfo import ZoneInfo
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodeworks.operators import loops, manifests
+from lodeworks.operators import loops, manifests, schedule
 from lodeworks.session import work_folder
 from lodeworks.sources.commits import TableLog, VersionTaken
 from lodeworks.streaming import incremental, sync
@@ -199,3 +201,51 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     assert found.count() == n + 6 and found.where("head - depth <> id").count() == 0
     with pytest.raises(ValueError):
         incremental.roots(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, None)], "id long, parent long"))
+
+
+def cron_set(text, low, high):
+    out = set()
+    for part in text.split(","):
+        base, _, step = part.partition("/")
+        a, b = (low, high) if base == "*" else (int(base.split("-")[0]), int(base.split("-")[-1]) if "-" in base else high if step else int(base))
+        out |= set(range(a, b + 1, int(step or 1)))
+    return out
+
+
+def next_minute(cron, now, zone):
+    """The first of the following minutes whose local time matches; none in 40 days."""
+    fields = cron.split()
+    m, h, d, mo, w = (cron_set(f, lo, hi) for f, lo, hi in zip(fields, (0, 0, 1, 1, 0), (59, 23, 31, 12, 7), strict=True))
+    w, either, t = {x % 7 for x in w}, fields[2] != "*" and fields[4] != "*", now.replace(second=0)
+    for _ in range(40 * 1440):
+        t += timedelta(minutes=1)
+        at = t.astimezone(zone)
+        if at.minute in m and at.hour in h and at.month in mo:
+            a, b = at.day in d, at.isoweekday() % 7 in w
+            if (a or b) if either else (a and b):
+                return t
+    return None
+
+
+def test_next_runs_equal_a_search_over_minutes(spark):
+    rnd = random.Random(3)
+    crons = ["* * * * *", "*/15 * * * *", "30 1 * * *", "30 2 * * *", "15 1-3 * * 0", "0 9-17/2 * * 1-5", "5,35 */6 10-20 * *", "0 12 13 * 5", "*/7 1,2 * * *", "0 3 * * 7", "10 2 */3 * *"]
+    zones = ["Asia/Shanghai", "America/New_York", "Europe/Berlin", "Australia/Lord_Howe", "UTC"]
+    changes = [datetime(2024, 3, 10, 7), datetime(2024, 11, 3, 6), datetime(2024, 3, 31, 1), datetime(2024, 10, 27, 1), datetime(2024, 4, 6, 15), datetime(2024, 10, 5, 15, 30)]
+    rows = []
+    for i in range(400):
+        near = rnd.choice(changes) + timedelta(minutes=rnd.randint(-300, 300))
+        at = near if i % 4 else datetime(2024, 1, 1) + timedelta(minutes=rnd.randint(0, 525_600))
+        rows.append((i, rnd.choice(crons), at.replace(second=rnd.randint(0, 59), tzinfo=timezone.utc), rnd.choice(zones)))
+    df = spark.createDataFrame([(i, c, int(t.timestamp()), z) for i, c, t, z in rows], "i long, c string, t long, z string")
+    got = {r.i: r.n for r in df.select("i", F.unix_seconds(schedule.next_run(F.col("c"), F.timestamp_seconds("t"), F.col("z"))).alias("n")).collect()}
+    expected = {i: next_minute(c, t, ZoneInfo(z)) for i, c, t, z in rows}
+    assert {i: got[i] for i, e in expected.items() if e} == {i: int(e.timestamp()) for i, e in expected.items() if e}
+
+
+def test_odd_schedules(spark):
+    odd = {"0 0 29 2 *": "2028-02-29", "0 0 30 2 *": None, "a * * * *": None, "* * * *": None, "60 * * * *": None, "0 0 * jan mon-fri": "2025-01-01", "*/0 * * * *": None, "5-1 * * * *": None, "": None, " 0  0 * * 1-7 ": "2024-03-02"}
+    df = spark.createDataFrame([*[(c,) for c in odd], (None,)], "c string")
+    now = F.lit("2024-03-01 00:00:30").cast("timestamp")
+    got = {r.c: r.d for r in df.select("c", F.date_format(schedule.next_run(F.col("c"), now, F.lit("UTC")), "yyyy-MM-dd").alias("d")).collect()}
+    assert got == odd | {None: None}
