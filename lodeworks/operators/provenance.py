@@ -121,3 +121,67 @@ def budget_admission(requests: DataFrame, calls: int, tokens: int) -> DataFrame:
         return pd.DataFrame(out, columns=["run", "seq", "admitted", "tokens_left"])
 
     return requests.select("run", "seq", "cost").groupBy("run").applyInPandas(replay, "run long, seq long, admitted boolean, tokens_left long")
+
+
+#: Keys of a configuration whose values are secrets.
+SECRET_KEYS = (
+    "access_token", "api_key", "aws_access_key_id", "aws_secret_access_key", "client_secret", "credential", "credentials", "password", "private_key", "secret", "token", "wallet_password",
+)
+
+
+def without_secrets(value, key: str | None = None):
+    """A JSON value with each secret as whether it is set; the name of an environment variable may stay."""
+    if key is not None and key.strip().lower() in SECRET_KEYS:
+        return value if isinstance(value, dict) and set(value) == {"$env"} else {"$configured": value not in (None, "")}
+    if isinstance(value, dict):
+        return {k: without_secrets(v, k) for k, v in value.items()}
+    return [without_secrets(v) for v in value] if isinstance(value, list) else value
+
+
+@arrow_function("string")
+def _plain_config(texts: pd.Series) -> pd.Series:
+    def one(t: str | None) -> str | None:
+        try:
+            return None if t is None else canonical(without_secrets(json.loads(t)))
+        except ValueError:
+            return None
+
+    return texts.map(one)
+
+
+def config_digest(config: Column) -> Column:
+    """Digest of a configuration in JSON, the same for any order of keys and any value of a secret; null for what is no JSON."""
+    return digest(_plain_config(config))
+
+
+#: What a provenance record holds, in order; ``digest`` is that of the others.
+RECORD = ("answer_id", "checker_version", "config_digest", "evidence_digest", "execution_scope", "index_digest", "model", "policy_version")
+SCOPES = ("online", "evaluation", "library")
+
+
+def provenance_record(**fields: Column) -> Column:
+    """The record of an answer as JSON with its digest; an unknown scope is ``library``, what isn't given is null."""
+    scope = fields.get("execution_scope", F.lit(None).cast("string"))
+    fields = fields | {"execution_scope": F.when(scope.isin(*SCOPES), scope).otherwise("library")}
+    parts = {k: fields.get(k, F.lit(None)).cast("string") for k in RECORD}
+    return F.to_json(F.struct(*(parts[k].alias(k) for k in RECORD), struct_digest(**parts).alias("digest")), {"ignoreNullFields": "false"})
+
+
+def sanitised(record: Column) -> Column:
+    """A record read through its schema: unknown keys go; null if it is no record, its scope is unknown, or its digest isn't its own."""
+    shape = ", ".join(f"{k} string" for k in (*RECORD, "digest"))
+    read = F.from_json(record, shape)
+    own = struct_digest(**{k: read[k] for k in RECORD})
+    good = (read["digest"] == own) & read["execution_scope"].isin(*SCOPES) & read["answer_id"].isNotNull()
+    return F.when(good, F.to_json(read, {"ignoreNullFields": "false"}))
+
+
+def bound(answers: DataFrame, records: DataFrame) -> DataFrame:
+    """``answer_id, provenance, bound`` of ``answers(answer_id, evidence_digest)`` and ``records(answer_id, record)``.
+
+    A record is bound to an answer only if it is sound and names the answer and its evidence.
+    """
+    one = records.groupBy("answer_id").agg(F.min(sanitised(F.col("record"))).alias("provenance"))
+    joined = answers.join(one, "answer_id", "left")
+    fits = F.coalesce((F.get_json_object("provenance", "$.answer_id") == F.col("answer_id").cast("string")) & F.get_json_object("provenance", "$.evidence_digest").eqNullSafe(F.col("evidence_digest")), F.lit(False))
+    return joined.select("answer_id", F.when(fits, F.col("provenance")).alias("provenance"), fits.alias("bound"))
