@@ -59,7 +59,9 @@ def guarded(asked: DataFrame, bases: DataFrame, members: DataFrame) -> DataFrame
 
     A base that is missing and one that is not the user's give the same answer.
     """
-    open_ = bases.join(members, "workspace").select("user", "base").distinct().withColumn("found", F.lit(True))
+    # what is asked leads, so that no base meets members who did not ask for it
+    placed = asked.select("user", "base").distinct().join(bases.select("base", "workspace").distinct(), "base")
+    open_ = placed.join(members, ["user", "workspace"], "left_semi").select("user", "base").distinct().withColumn("found", F.lit(True))
     return asked.join(open_, ["user", "base"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeworks.operators import grounding, provenance, trust
+from lodeworks.operators.text import bigrams, strip_marks
 from lodeworks.plans.registry import register
-from lodeworks.session import ship_package, table, work_folder
+from lodeworks.session import settle, ship_package, table, work_folder
 from lodeworks.streaming import incremental, state
 
 # answers are conversation turns of the assistant with markers put in by rule, evidence is what their number allows
@@ -68,23 +69,30 @@ def claim_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GRAM = "list_distinct(list_transform(range(1, length(x)), lambda i: substring(x, i, 2)))"
 
 
+def _citing(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Documents as evidence of one item each, all items in turn."""
+    count = items.agg(F.count("*").alias("items"))  # one row
+    return docs.crossJoin(F.broadcast(count)).select("doc_id", F.col("text").alias("evidence"), (F.col("doc_id") % F.col("items")).alias("item_id"))
+
+
 @register(
     "citation_overlap",
-    f"""WITH p AS (SELECT d.doc_id, b.item_id, regexp_replace(lower(b.text), '[^\\pL\\pN]', '', 'g') AS c, regexp_replace(lower(d.text), '[^\\pL\\pN]', '', 'g') AS e FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id WHERE d.text IS NOT NULL),
+    f"""WITH p AS (SELECT d.doc_id, b.item_id, regexp_replace(lower(b.text), '[^\\pL\\pN]', '', 'g') AS c, regexp_replace(lower(d.text), '[^\\pL\\pN]', '', 'g') AS e FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id WHERE d.text IS NOT NULL),
 g AS (SELECT doc_id, item_id, list_distinct(list_transform(range(1, length(c)), lambda i: substring(c, i, 2))) AS cg, list_distinct(list_transform(range(1, length(e)), lambda i: substring(e, i, 2))) AS eg FROM p)
 SELECT doc_id, item_id, round(len(list_intersect(cg, eg)) / len(cg), 6) AS score FROM g""",
 )
 def citation_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.col("text").alias("evidence"), (F.col("doc_id") % 40).alias("item_id"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("claim"))
-    return d.join(b, "item_id").select("doc_id", "item_id", F.round(grounding.overlap(F.col("claim"), F.col("evidence")), 6).alias("score"))
+    b = table(spark, sf_dir, "benchmark")
+    own = settle(b.select("item_id", bigrams(strip_marks(F.col("text"))).alias("own")), "claim-bigrams")  # once an item, not once a document
+    d = _citing(table(spark, sf_dir, "documents").where("text is not null"), b)
+    return d.join(own, "item_id").select("doc_id", "item_id", "own", strip_marks(F.col("evidence")).alias("e")).select("doc_id", "item_id", F.round(grounding.overlap_of(F.col("own"), F.col("e")), 6).alias("score"))
 
 
 @register("citation_spans")
 def citation_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("evidence"), (F.col("doc_id") % 40).alias("item_id"))
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("claim"))
+    d = _citing(table(spark, sf_dir, "documents"), b)
     return d.join(b, "item_id").select("doc_id", "item_id", grounding.citation_span(F.col("claim"), F.col("evidence")).alias("s")).select("doc_id", "item_id", "s.*")
 
 
