@@ -64,6 +64,13 @@ def confusion(rows: DataFrame, labels: list[str]) -> DataFrame:
     return per.select("label", "tp", "fp", "fn", F.round(ratio(tp, tp + fp), 6).alias("precision"), F.round(ratio(tp, tp + fn), 6).alias("recall"), F.round(ratio(2 * tp, 2 * tp + fp + fn), 6).alias("f1"))
 
 
+def confusion_summary(rows: DataFrame, labels: list[str]) -> DataFrame:
+    """One row of ``rows(expected, predicted)``: how many, accuracy, and the means over labels of precision, recall and f1."""
+    per = confusion(rows, labels).agg(*(F.round(F.avg(c), 6).alias(f"macro_{c}") for c in ("precision", "recall", "f1")))
+    total = rows.agg(F.count("*").alias("n"), F.round(F.coalesce(F.avg(F.col("expected").eqNullSafe(F.col("predicted")).cast("double")), F.lit(0.0)), 6).alias("accuracy"))
+    return total.crossJoin(F.broadcast(per))  # two single rows
+
+
 def threshold_sweep(rows: DataFrame, thresholds: list[float], positive: str = "entailed", fallback: str = "unknown") -> DataFrame:
     """Accuracy and dangerous acceptances of ``rows(expected, predicted, confidence)`` when weak predictions become unknown."""
     each = rows.select("*", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))

@@ -154,3 +154,21 @@ def evidence_budget(hits: DataFrame, tokens: Column, most: int = 8, each: int =
     capped = hits.withColumn("tokens", F.least(tokens, F.lit(each)))
     before = F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return capped.withColumn("before", before).where((F.col("pos") <= most) & (F.col("before") < total)).withColumn("granted", F.least("tokens", F.lit(total) - F.col("before"))).drop("before")
+
+
+def batch_rerank(candidates: DataFrame, answers: DataFrame, size: int = 10) -> DataFrame:
+    """``candidates(qid, pos, id)`` that a model's answers keep, with ``place``; each batch of ``size`` is judged apart.
+
+    ``answers(qid, batch, chosen array<int>, broken boolean)``: indices within the batch, in the order preferred. Indices
+    outside the batch and repeated ones are left out. A batch without an answer, with a broken one, or of whose indices
+    none is valid although some were given keeps all its candidates in order; an empty answer keeps none.
+    """
+    at = F.row_number().over(Window.partitionBy("qid").orderBy("pos", "id")) - 1
+    placed = candidates.withColumn("at_", at).withColumns({"batch": F.floor(F.col("at_") / size).cast("int"), "index_": (F.col("at_") % size).cast("int")})
+    sizes = placed.groupBy("qid", "batch").agg(F.count("*").cast("int").alias("n_"))
+    told = sizes.join(answers.select("qid", "batch", "chosen", "broken"), ["qid", "batch"], "left")
+    valid = F.array_distinct(F.filter("chosen", lambda i: (i >= 0) & (i < F.col("n_"))))
+    keep_all = F.col("chosen").isNull() | F.coalesce("broken", F.lit(False)) | ((F.size("chosen") > 0) & (F.size(valid) == 0))
+    kept = told.select("qid", "batch", F.posexplode(F.when(keep_all, F.sequence(F.lit(0), F.col("n_") - 1)).otherwise(valid)).alias("order_", "index_"))
+    joined = placed.join(kept, ["qid", "batch", "index_"])
+    return joined.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("batch", "order_"))).drop("at_", "batch", "index_", "order_")

@@ -37,6 +37,20 @@ def acquire(rows: DataFrame, wanted: DataFrame, key: str, now: Column, seconds:
     return joined.withColumns({"holder": F.when(F.col("taken"), F.col("ask_")).otherwise(F.col("holder")), "lease": F.when(F.col("taken"), now + F.make_dt_interval(secs=F.lit(seconds))).otherwise(F.col("lease"))}).drop("ask_")
 
 
+def renew(rows: DataFrame, held: DataFrame, key: str, now: Column, seconds: int) -> DataFrame:
+    """``rows`` after the holders in ``held(key, holder)`` renewed: a lease moves on only for whoever holds it. Adds ``renewed``."""
+    own = held.select(key, F.col("holder").alias("own_")).distinct()
+    hit = F.coalesce(F.col("own_") == F.col("holder"), F.lit(False))
+    return rows.join(own.withColumnRenamed(key, "key_"), (F.col(key) == F.col("key_")) & (F.col("holder") == F.col("own_")), "left").withColumn("renewed", hit).withColumn("lease", F.when(F.col("renewed"), now + F.make_dt_interval(secs=F.lit(seconds))).otherwise(F.col("lease"))).drop("key_", "own_")
+
+
+def release(rows: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """``rows`` after the holders in ``held(key, holder)`` let go: holder and lease become null only for whoever holds it. Adds ``released``."""
+    own = held.select(F.col(key).alias("key_"), F.col("holder").alias("own_")).distinct()
+    joined = rows.join(own, (F.col(key) == F.col("key_")) & (F.col("holder") == F.col("own_")), "left").withColumn("released", F.col("own_").isNotNull())
+    return joined.withColumns({c: F.when(~F.col("released"), F.col(c)) for c in ("holder", "lease")}).drop("key_", "own_")
+
+
 def without(rows: DataFrame, condition: Column) -> DataFrame:
     """``rows`` less those for which the condition holds; a null condition deletes nothing."""
     return rows.where(~F.coalesce(condition, F.lit(False)))

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from lodeworks.plans import analytics, planning, retrieval, text, trust, loops, state, answers  # noqa: F401
+from lodeworks.plans import analytics, planning, retrieval, text, trust, loops, state, answers, records  # noqa: F401
