@@ -9,7 +9,8 @@ agree well enough become candidates; the components of the candidate graph are t
 A group's sets are compared exactly, in tiles of bounded size. A group of more than one block is first compared with
 its first block, which joins most of it, and then only tiles that can still join different components are compared.
 A table's bucket of more rows than one task should compare goes the same way with its sketches, so that every bucket is
-compared whole and by the same rule, and no bucket or group lies in one task.
+compared whole and by the same rule. No group lies in one task; a bucket's keys do: they pass through one task in pieces
+of bounded memory, whose time grows with the largest bucket.
 
 Defined cases: a null text or one without words has an empty set and links with nothing (its component is itself);
 fewer than five words are one shingle; only A to Z are lower-cased; rows without a ``doc_id`` take part but never name a
