@@ -12,7 +12,7 @@ toxic label above 1 is taken as it is). Folds without both kinds of label keep t
 is rejected is chosen on held-out folds too: the lowest at which the clean texts kept are at least ``keep`` of all.
 
 The model is fitted on at most ``sample`` labelled documents (those of the lowest hashes of ``doc_id``, one text an id).
-Features (64-bit hashes) are counted by fold and label on the executors; only those that go with a label in some set of
+Features are counted by fold and label on the executors; only those that go with a label in some set of
 folds on which a model is fitted, and the texts that have them, come to the driver. Scoring reads every whole text.
 
 Defined cases: a null or empty text has no features and scores by the thresholds alone (clean); without any labels, or
@@ -30,7 +30,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,46 +47,47 @@ def words_of(text: str) -> set[str]:
     return set(_letters(text.lower()))
 
 
-def parts(word: str) -> set[str]:
-    """A word as a feature, and its runs of four letters, the begin marked."""
-    marked = "^" + word
-    return {word, *("~" + marked[i : i + _GRAM] for i in range(len(marked) - _GRAM + 1))}
-
-
-def _code(feature: str) -> int:
-    h = xxhash.xxh64_intdigest(feature.encode())
-    return h - (1 << 64) if h >> 63 else h
-
-
 class _Known(dict):
-    """The features of words, of all or of those with a weight; forgotten when too many."""
+    """The features of words, of all or of those with a weight: the word, and its runs of four letters behind a mark.
 
-    def __init__(self, weights: dict[int, float] | None = None):
-        self.weights = weights
+    The begin of a word counts as a letter. Forgotten when too many.
+    """
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 200_000:
-            self.clear()
-        own = tuple(c for f in parts(word) if (c := _code(f)) is not None and (self.weights is None or c in self.weights))
+    def __init__(self, weights: dict[str, float] | None = None):
+        self.all = weights is None
+        self.words = frozenset(f for f in weights or () if not f.startswith("~"))
+        self.runs = frozenset(f[1:] for f in weights or () if f.startswith("~"))
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        marked = "^" + word
+        if self.all:
+            own = (word, *{"~" + marked[i : i + _GRAM] for i in range(len(marked) - _GRAM + 1)})
+        else:
+            runs = self.runs
+            own = tuple(["~" + g for i in range(len(marked) - _GRAM + 1) if (g := marked[i : i + _GRAM]) in runs])
+            if word in self.words:
+                own = (word, *own)
         if len(word) <= 64:
+            if len(self) > 200_000:
+                self.clear()
             self[word] = own
         return own
 
-    def of(self, words: set[str]) -> list[int]:
-        return sorted({c for w in words for c in self[w]})
+    def of(self, words: set[str]) -> list[str]:
+        return sorted({f for w in words for f in self[w]})
 
 
 @dataclass
 class OrdinalModel:
     """Shared weights of features and ordered thresholds."""
 
-    weights: dict[int, float] = field(default_factory=dict)
+    weights: dict[str, float] = field(default_factory=dict)
     thresholds: list[float] = field(default_factory=list)
     reject: float = 0.5  # the expected severity from which a text is rejected
 
     def odds(self, words: set[str], known: _Known | None = None) -> float:
         """What the words say, before any threshold; ``known`` keeps what is known of a word from text to text."""
-        return sum(self.weights[c] for c in (known or _Known(self.weights)).of(words))
+        return sum(self.weights[f] for f in (_Known(self.weights) if known is None else known).of(words))
 
     def above(self, odds: float) -> list[float]:
         """The chance of each threshold to be passed."""
@@ -134,7 +134,7 @@ def fit(sets: list[set[str]], labels: list[int]) -> OrdinalModel:
     known = _Known()
     codes = [known.of(x) for x in sets]
     rows = np.repeat(np.arange(len(sets)), [len(c) for c in codes])
-    return fit_bag(Bag.of(rows, np.fromiter((c for own in codes for c in own), np.int64), len(sets)), np.array(labels, np.int64))
+    return fit_bag(Bag.of(rows, np.array([c for own in codes for c in own], object), len(sets)), np.array(labels, np.int64))
 
 
 def fit_bag(bag: Bag, y: np.ndarray, vocabulary: int = 4096, least: int = _OFTEN, ridge: float = 0.5, steps: int = 400) -> OrdinalModel:
@@ -182,7 +182,7 @@ def fit_bag(bag: Bag, y: np.ndarray, vocabulary: int = 4096, least: int = _OFTEN
         move = 0.1 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)
         w, first, gap = w + move[: len(w)], first + move[len(w)], gap + move[len(w) + 1 :]
     t = first + np.concatenate([[0.0], np.cumsum(np.exp(gap))])
-    return OrdinalModel({int(bag.codes[i]): float(v) for i, v in zip(chosen, w, strict=True)}, [float(x) for x in t])
+    return OrdinalModel({str(bag.codes[i]): float(v) for i, v in zip(chosen, w, strict=True)}, [float(x) for x in t])
 
 
 def graded(bag: Bag, labels: np.ndarray, fold: np.ndarray, grades: int = _GRADES) -> np.ndarray:
@@ -236,7 +236,7 @@ def learn(bag: Bag, y: np.ndarray, fold: np.ndarray, keep: float = 0.995) -> Ord
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _Known()
     for rows, texts in common.documents_in_pieces(batches, 3):
-        yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array([known.of(words_of(t)) for t in texts], pa.list_(pa.int64()))], ["doc_id", "label", "fold", "codes"])
+        yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array([known.of(words_of(t)) for t in texts], pa.list_(pa.string()))], ["doc_id", "label", "fold", "codes"])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> DataFrame:
@@ -246,7 +246,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> DataFram
     chosen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # sample rows at most
     once = chosen.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(_FOLDS)).cast("int")
-    return common.settle(once.select("doc_id", "label", fold.alias("fold"), "text").mapInArrow(_features, "doc_id long, label int, fold int, codes array<long>"), "toxicity-features")
+    return common.settle(once.select("doc_id", "label", fold.alias("fold"), "text").mapInArrow(_features, "doc_id long, label int, fold int, codes array<string>"), "toxicity-features")
 
 
 def gathered(texts: DataFrame, most: int = 4096) -> tuple[Bag, np.ndarray, np.ndarray]:
@@ -272,12 +272,12 @@ def gathered(texts: DataFrame, most: int = 4096) -> tuple[Bag, np.ndarray, np.nd
         cells = ((a, k * t / n), (c, k * (n - t) / n), (t - a, t * (1 - k / n)), ((n - t) - c, (n - t) * (1 - k / n)))
         ratio = sum((F.when((o > 0) & (e > 0), o * F.log(o / e)).otherwise(0.0) for o, e in cells), F.lit(0.0))
         strengths.append(F.when(k >= _OFTEN, F.sqrt(F.greatest(2 * ratio, F.lit(0.0)))).otherwise(0.0))
-    found = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    found = (np.zeros(0, np.int64), np.zeros(0, object))
     if strengths:
         strength = F.array_max(F.array(*strengths))
         strong = count.select("code", strength.alias("strength")).where(F.col("strength") > _STRONG).orderBy(F.desc("strength"), "code").limit(most).select("code")
         pairs = exploded.select("doc_id", "code").join(F.broadcast(strong), "code").select("doc_id", "code").toArrow()
-        found = (np.searchsorted(ids, pairs.column(0).to_numpy()), pairs.column(1).to_numpy())
+        found = (np.searchsorted(ids, pairs.column(0).to_numpy()), pairs.column(1).to_numpy(zero_copy_only=False))
     return Bag.of(*found, len(ids)), labels, folds
 
 
