@@ -30,7 +30,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.llm import common
@@ -262,19 +262,22 @@ def gathered(texts: DataFrame, most: int = 4096) -> tuple[Bag, np.ndarray, np.nd
     exploded = texts.select("doc_id", "label", "fold", F.explode("codes").alias("code"))
     count = exploded.groupBy("code").agg(*(F.count_if((F.col("fold") == f) & ((F.col("label") > 0) == F.lit(bad))).alias(f"n{f}{int(bad)}") for f in range(_FOLDS) for bad in (False, True)))
     subsets = [s for left_out in range(3) for s in itertools.combinations(range(_FOLDS), _FOLDS - left_out)]
-    strengths = []
+    chosen = []
     for own in subsets:
-        n, t = float(sum(sum(toxic[f]) for f in own)), float(sum(toxic[f][1] for f in own))
-        if not 0 < t < n:
-            continue
-        a, c = (sum((F.col(f"n{f}{bad}") for f in own), F.lit(0)).cast("double") for bad in (1, 0))
-        k = a + c
-        cells = ((a, k * t / n), (c, k * (n - t) / n), (t - a, t * (1 - k / n)), ((n - t) - c, (n - t) * (1 - k / n)))
-        ratio = sum((F.when((o > 0) & (e > 0), o * F.log(o / e)).otherwise(0.0) for o, e in cells), F.lit(0.0))
-        strengths.append(F.when(k >= _OFTEN, F.sqrt(F.greatest(2 * ratio, F.lit(0.0)))).otherwise(0.0))
+        n, t = sum(sum(toxic[f]) for f in own), sum(toxic[f][1] for f in own)
+        if 0 < t < n:
+            chosen.append(F.struct(F.lit(float(n)).alias("n"), F.lit(float(t)).alias("t"), *(F.lit(float(f in own)).alias(f"f{f}") for f in range(_FOLDS))))
+
+    def strength_in(s: Column) -> Column:
+        a, c = (sum((F.col(f"n{f}{bad}") * s[f"f{f}"] for f in range(_FOLDS)), F.lit(0.0)) for bad in (1, 0))
+        n, t = s["n"], s["t"]
+        cells = F.array(*(F.struct(o.alias("o"), e.alias("e")) for o, e in ((a, (a + c) * t / n), (c, (a + c) * (n - t) / n), (t - a, t * (1 - (a + c) / n)), ((n - t) - c, (n - t) * (1 - (a + c) / n)))))
+        ratio = F.aggregate(cells, F.lit(0.0), lambda x, y: x + F.when((y["o"] > 0) & (y["e"] > 0), y["o"] * F.log(y["o"] / y["e"])).otherwise(0.0))
+        return F.when(a + c >= _OFTEN, F.sqrt(F.greatest(2 * ratio, F.lit(0.0)))).otherwise(0.0)
+
     found = (np.zeros(0, np.int64), np.zeros(0, object))
-    if strengths:
-        strength = F.array_max(F.array(*strengths))
+    if chosen:
+        strength = F.array_max(F.transform(F.array(*chosen), strength_in))
         strong = count.select("code", strength.alias("strength")).where(F.col("strength") > _STRONG).orderBy(F.desc("strength"), "code").limit(most).select("code")
         pairs = exploded.select("doc_id", "code").join(F.broadcast(strong), "code").select("doc_id", "code").toArrow()
         found = (np.searchsorted(ids, pairs.column(0).to_numpy()), pairs.column(1).to_numpy(zero_copy_only=False))
