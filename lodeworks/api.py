@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.operators import chunking, entailment, fusion, grounding, retrieval, trust
+from lodeworks.operators import chunking, entailment, fusion, grounding, retrieval, trust, understanding
 from lodeworks.plugins import Embedder, HashingEmbedder, embed_chunks
 from lodeworks.session import ship_package, work_folder
 from lodeworks.sources.collections import CollectionStore
@@ -87,9 +87,52 @@ def assess(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     return joined.withColumns({"exact": F.coalesce("exact", F.lit(False)), "effective_status": trust.effective_status(F.col("status"), consistency)}).drop("own", *kinds)
 
 
-def finalize(answers: DataFrame, evidence: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+def checked(claims: DataFrame, evidence: DataFrame, questions: DataFrame) -> DataFrame:
+    """Assessed claims held against their question: adds ``freshness, relative_time, risk_status, risk_reasons``.
+
+    ``questions(answer_id, question, reference)``, one an answer, with the day on which it is asked. ``evidence`` may have
+    ``text, family, effective, superseded, published, web`` and what names a source; what it lacks is null. A claim whose
+    freshness or relative times fail or stay open is unsupported, and one of a risky question that misses a requirement.
+    """
+    key = ["answer_id", "claim_index"]
+    kinds = {"text": "string", "family": "string", "effective": "date", "superseded": "date", "published": "date", "web": "boolean"}
+    known = [F.col(c).cast(t).alias(c) if c in evidence.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()]
+    source = entailment.source_name({c: F.col(c) for c in evidence.columns})
+    told = evidence.select("answer_id", "evidence_id", *known, source.alias("source")).distinct().withColumn("web", F.coalesce("web", F.lit(False))).withColumnRenamed("text", "said")
+    asked = questions.groupBy("answer_id").agg(F.min(F.struct("question", F.col("reference").cast("date").alias("reference"))).alias("q"))
+    asked = asked.select("answer_id", F.col("q.reference").alias("reference"), understanding.freshness_intent(F.col("q.question")).alias("mode"), understanding.risk_profile(F.col("q.question")).alias("risk"))
+    base = claims.join(asked, "answer_id", "left").withColumns({"mode": F.coalesce("mode", F.lit("none")), "claim_id": F.concat_ws(":", "answer_id", "claim_index"), "terms": trust.relative_terms("text")})
+    pairs = base.select("claim_id", "evidence_ids", "mode", "reference", "answer_id").join(told, "answer_id").withColumn("cited", F.array_contains("evidence_ids", F.col("evidence_id")))
+    fresh = trust.freshness(pairs.where("mode <> 'none'"), F.col("mode"), F.col("reference")).select("claim_id", F.col("status").alias("freshness"))
+    # what cited texts state, and what their own relative times mean on the day they were published
+    own = pairs.where("cited").select("claim_id", "published", trust.relative_terms("said").alias("theirs"), trust.values("said").getField("dates").alias("dates"))
+    stated = F.flatten(F.transform("dates", lambda d: F.when(trust.strict_date(d).isNotNull(), trust.containing_values(trust.strict_date(d))).otherwise(F.array(d))))
+    resolved = F.when(F.col("published").isNotNull(), F.transform("theirs", lambda t: trust.resolve_relative(t, F.col("published")))).otherwise(F.expr("cast(array() as array<string>)"))
+    open_ = F.when(F.col("published").isNull(), F.col("theirs")).otherwise(F.expr("cast(array() as array<string>)"))
+    times = own.select("claim_id", F.concat(stated, resolved).alias("v"), open_.alias("o")).groupBy("claim_id").agg(F.flatten(F.collect_list("v")).alias("v"), F.flatten(F.collect_list("o")).alias("o"))
+    none = F.expr("cast(array() as array<string>)")
+    joined = base.join(fresh, "claim_id", "left").join(times, "claim_id", "left")
+    mine = F.transform("terms", lambda t: trust.resolve_relative(t, F.col("reference")))
+    told_time = entailment.relative_time_check(F.coalesce(mine, none), F.col("terms"), F.col("reference"), F.coalesce("v", none), F.coalesce("o", none))
+    state = joined.withColumn("relative_time", told_time.getField("status"))
+    for check in ("freshness", "relative_time"):
+        state = state.withColumn("effective_status", trust.effective_status(F.col("effective_status"), F.col(check)))
+    risk = F.col("risk")
+    ready = state.withColumns({
+        "high": F.coalesce(risk["risk_level"] == "high", F.lit(False)), "decisive": F.lit(True), "allow_unknown": F.lit(False),
+        "need_evidence": F.coalesce(risk["min_evidence"], F.lit(1)), "need_sources": F.coalesce(risk["min_sources"], F.lit(1)),
+    })
+    judged = entailment.risk_checks(ready, told.select("answer_id", "evidence_id", "source").distinct())
+    return judged.select(*claims.columns, "freshness", "relative_time", "risk_status", "risk_reasons")
+
+
+def finalize(answers: DataFrame, evidence: DataFrame, findings: DataFrame | None = None, questions: DataFrame | None = None, least_confidence: float = 0.0) -> DataFrame:
     """Answers as they may be delivered: ``answer_id, original_state, action, answer, state``.
 
+    With ``questions(answer_id, question, reference)`` claims are held against freshness, relative times and the
+    requirements of risky questions in both passes (``checked``), and each answer has its report: ``trust_status,
+    verification_level, limitations``.
+
     First pass: claims are assessed against ``evidence(answer_id, evidence_id[, text])`` and a checker's ``findings``
     (``answer_id, claim_index, verdict, confidence``), and the policy decides on the state. Second pass: the text that the
     policy leaves is cut into claims and assessed anew, with the findings of the first pass carried over to equal claims;
@@ -100,11 +143,18 @@ def finalize(answers: DataFrame, evidence: DataFrame, findings: DataFrame | None
     def states(claims: DataFrame) -> DataFrame:
         return grounding.grounding_state(claims.select("answer_id", F.col("effective_status").alias("status"))).select("answer_id", "state")
 
-    first = _kept(entailment.entail(assess(answers, evidence), findings), "assessed")
+    told = entailment.entail(assess(answers, evidence), findings, least_confidence)
+    first = _kept(told if questions is None else checked(told, evidence, questions), "assessed")
     joined = answers.select("answer_id", F.col("answer").alias("original")).join(states(first), "answer_id", "left").join(trust.rewrite_answer(first.drop("status").withColumnRenamed("effective_status", "status"), REFUSAL), "answer_id", "left")
     state = F.coalesce("state", F.lit("insufficient_evidence"))
     action = trust.policy(state, F.lit(True))
     text = F.when(action.isin("allow", "disclose_conflict"), F.col("original")).when(action == "downgrade", F.col("answer")).otherwise(REFUSAL)
     given = _kept(joined.select("answer_id", state.alias("original_state"), action.alias("action"), text.alias("answer")), "delivered")
     second = entailment.propagate(assess(given, evidence), first)
-    return given.join(states(second), "answer_id", "left").withColumn("state", F.coalesce("state", F.lit("insufficient_evidence")))
+    if questions is not None:
+        second = checked(second, evidence, questions)
+    final = given.join(states(second), "answer_id", "left").withColumn("state", F.coalesce("state", F.lit("insufficient_evidence")))
+    if questions is None:
+        return final
+    report = entailment.trust_report(first.select("answer_id", "method", "entailment", "relative_time", "freshness"), final.select("answer_id", "state", F.lit(True).alias("snapshot")))
+    return final.join(report, "answer_id", "left")

@@ -33,11 +33,12 @@ def to_check(claims: DataFrame, most: int = MOST_CHECKED) -> DataFrame:
     return open_.withColumn("nth_", F.row_number().over(Window.partitionBy("answer_id").orderBy("claim_index"))).where(F.col("nth_") <= most).drop("nth_")
 
 
-def entail(claims: DataFrame, findings: DataFrame | None) -> DataFrame:
+def entail(claims: DataFrame, findings: DataFrame | None, least: float = 0.0) -> DataFrame:
     """Adds ``entailment, method, confidence, reason`` and settles ``effective_status``; a contradicted claim is unsupported.
 
     ``claims(answer_id, claim_index, status, effective_status, evidence_ids, exact)``; ``findings(answer_id, claim_index,
-    verdict, confidence)`` come from a checker, None where there is none. A claim with two findings has none that counts.
+    verdict, confidence)`` come from a checker, None where there is none. A claim with two findings has none that counts;
+    a verdict of less confidence than ``least`` is unknown.
     """
     if findings is None:
         found = claims.withColumns({"verdict_": F.lit(None).cast("string"), "confidence_": F.lit(None).cast("double")})
@@ -45,7 +46,9 @@ def entail(claims: DataFrame, findings: DataFrame | None) -> DataFrame:
         once = findings.groupBy("answer_id", "claim_index").agg(F.count("*").alias("n_"), F.first("verdict").alias("verdict_"), F.first("confidence").cast("double").alias("confidence_")).where("n_ = 1").drop("n_")
         found = claims.join(once, ["answer_id", "claim_index"], "left")
     sure = F.col("confidence_").between(0.0, 1.0) & ~F.isnan("confidence_")
-    verdict = F.when(F.col("verdict_").isin("entailed", "contradicted") & F.coalesce(sure, F.lit(False)), F.col("verdict_")).otherwise("unknown")
+    decided = F.col("verdict_").isin("entailed", "contradicted") & F.coalesce(sure, F.lit(False))
+    low = decided & (F.col("confidence_") < least)
+    verdict = F.when(decided & ~low, F.col("verdict_")).otherwise("unknown")
     reason = (
         F.when(~F.col("status").isin("supported", "conflicting") | (F.col("effective_status") == "unsupported"), "ENTAILMENT_VALID_SUPPORTED_CITATION_REQUIRED")
         .when(F.col("status") == "conflicting", "ENTAILMENT_CONFLICT_REQUIRES_DISCLOSURE")
@@ -53,6 +56,7 @@ def entail(claims: DataFrame, findings: DataFrame | None) -> DataFrame:
         .when(F.size("evidence_ids") == 0, "ENTAILMENT_EVIDENCE_TEXT_MISSING")
         .when(F.lit(findings is None), "ENTAILMENT_CHECKER_DISABLED")
         .when(F.col("verdict_").isNull(), "ENTAILMENT_RESULT_MISSING")
+        .when(low, "ENTAILMENT_LOW_CONFIDENCE")
         .otherwise(F.concat(F.lit("ENTAILMENT_"), F.upper(verdict)))
     )
     told = found.withColumn("reason", reason)

@@ -191,3 +191,31 @@ def test_provenance(spark):
     changed = sound.select("answer_id", F.when(F.col("answer_id") == 1, F.replace("record", F.lit("library"), F.lit("online"))).when(F.col("answer_id") == 2, "{}").when(F.col("answer_id") == 3, None).otherwise(F.col("record")).alias("record"))
     bound = {r.answer_id: r.bound for r in provenance.bound(answers, changed).collect()}
     assert bound == {0: True, 1: False, 2: False, 3: False, 4: True}
+
+
+def test_finalize_with_questions(spark):
+    from lodeworks import api
+
+    answers = spark.createDataFrame(
+        [(1, "The limit is five [E1]."), (2, "The limit is five [E2]."), (3, "It was done yesterday [E1]."), (4, "It was done yesterday [E2]."), (5, "Take two pills [E1]."), (6, "Take two pills [E1]."), (7, "Plain fact [E1].")],
+        "answer_id long, answer string",
+    )
+    evidence = spark.createDataFrame(
+        [
+            (1, "E1", "limit", "f", "2024-01-01", None, None), (1, "E2", "limit", "f", "2023-01-01", None, None), (2, "E1", "limit", "f", "2024-01-01", None, None), (2, "E2", "limit", "f", "2023-01-01", None, None),
+            (3, "E1", "On 2024-05-01 it was done", "f", None, None, None), (4, "E2", "done today", "f", None, None, "2024-04-02"), (5, "E1", "Take two pills of it", "f", None, None, None), (6, "E1", "Take two pills of it", "f", None, None, None),
+            (7, "E1", "Plain fact.", "f", None, None, None),
+        ],
+        "answer_id long, evidence_id string, text string, family string, effective string, superseded string, published string",
+    )
+    day = "2024-05-02"
+    questions = spark.createDataFrame(
+        [(1, "最新的限制是什么", day), (2, "最新的限制是什么", day), (3, "when", day), (4, "when", day), (5, "我现在应该吃几片药，剂量多少", day), (6, "我现在应该吃几片药，剂量多少", day), (7, "what", day)], "answer_id long, question string, reference string"
+    )
+    findings = spark.createDataFrame([(5, 1, "entailed", 0.95), (6, 1, "entailed", 0.4)], "answer_id long, claim_index int, verdict string, confidence double")
+    got = {r.answer_id: r for r in api.finalize(answers, evidence, findings, questions, least_confidence=0.9).collect()}
+    assert {i: r.action for i, r in got.items()} == {1: "allow", 2: "refuse", 3: "allow", 4: "refuse", 5: got[5].action, 6: "refuse", 7: "allow"}
+    assert got[3].state == "fully_grounded" and got[2].answer == api.REFUSAL and got[7].trust_status == "fully_grounded"
+    assert got[7].verification_level == "exact_match_and_deterministic_consistency" and "SAFETY_NOT_EVALUATED" in got[1].limitations
+    assert "SEMANTIC_ENTAILMENT_INCOMPLETE" in got[6].limitations
+    assert api.finalize(answers.limit(0), evidence, None, questions).count() == 0
