@@ -2,6 +2,10 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` writes it as Parquet in the shared folder and
 reads it back as the next stage's ``docs``. All stages but the last return the columns of ``documents``.
+
+Defined cases: a null text is clean, in no group of near-duplicates, without secrets, and of size 0, so that the mix
+may take it without adding words; repeated rows count as one from the second stage on; null sources are a source of their own; further columns, of any
+name, go through to the last stage; a table without rows, or without labels, gives no rows or rejects nothing.
 """
 
 from __future__ import annotations
@@ -18,7 +22,8 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model does not reject; the model learns from the labels of this stage's documents."""
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.severity(docs, model).where(~F.col("toxic")).select(*docs.columns)
+    judged = toxicity.severity(docs, model)
+    return judged.where(~F.col(judged.columns[-1])).select(*docs.columns)  # its own column, however it had to be named
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,3 +79,32 @@ def test_pipeline(spark):
             assert docs.where("n_chars <> length(text)").count() == 0
     assert counts[1] <= counts[0] and counts[2] < counts[1] and counts[3] == counts[2] and counts[5] == counts[4]
     assert corpus_pipeline.run(spark, SMALL).count() == counts[5]
+
+
+def test_stages_on_odd_documents(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(400)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    same = text(60)
+    rows = [(i, text(int(rng.integers(5, 80))), "en", "ab"[i % 2], 1, "x", 2) for i in range(60)]
+    rows += [(100, same, "en", "a", 1, "x", 2)] * 3 + [(101, same + " more", "en", "b", 1, None, 2), (102, None, None, None, None, "y", 3), (None, "no id here at all", "en", None, 1, "x", 2), (103, "", "en", "a", 0, "x", 2), (104, text(30_000), "en", "b", 1, "x", 2)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, toxic string, copies int"
+    folder = tmp_path.as_uri()
+    marks = [(i, 1, int(i < 6)) for i in range(40)] + [(None, 0, 1), (5000, 1, 1), (7, None, None)]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+    docs, kept = common.table(spark, folder, "documents"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.settle(stage(spark, docs, folder), f"test-{name}")
+        kept[name] = docs.collect()
+        if name != "bpe":
+            assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+    ids = {n: [r.doc_id for r in rs] for n, rs in kept.items()}
+    assert ids["near_duplicates"].count(100) == 1 and 101 not in ids["near_duplicates"] and {102, 103, 104, None} <= set(ids["near_duplicates"])
+    assert sorted(map(str, ids["secrets"])) == sorted(map(str, ids["near_duplicates"]))
+    assert len(ids["bpe"]) == len(ids["mixture"]) == sum(1 for _ in corpus_pipeline.run(spark, folder).collect())
+    docs_of = spark.createDataFrame([], schema)
+    for _, stage in corpus_pipeline.STAGES:
+        docs_of = stage(spark, docs_of, folder)
+        assert docs_of.count() == 0
+
