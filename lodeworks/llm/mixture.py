@@ -4,9 +4,10 @@ Sizes are words. Each source's target comes from its weight; a document's expect
 its own weight and bounded by ``most`` copies, with one factor per source so that expected words equal the target. Whole
 copies are certain. The remaining fraction is the inclusion probability ``p``; documents of a source are ranked by
 ``(u / (1 - u)) / (p / (1 - p))`` with ``u`` a hash of the document, and the lowest ranks are taken up to the words that
-are still wanted. The document with which they would be exceeded is the cut; the words missing there go to the one
-document, of the cut and all behind it, whose size comes nearest to them (or to none). So a source's words are off its
-target by half the document at the cut at most, in general by far less.
+are still wanted. The document with which they would be exceeded is the cut; the words missing there go to the documents
+behind it that are no larger, again in the order of their ranks, up to a second cut; what is missing then goes to the one
+document not taken whose size comes nearest (or to none). So a source's words are off its target by half the document at
+the second cut at most, in general by far less.
 
 Nothing goes through the driver. Sources are numbered, and their targets found, by prefix sums over the sorted sources:
 within the partitions of a range partitioning, and over one row for each partition. No source is ever ordered as a
@@ -115,37 +116,61 @@ def _cut(bins: DataFrame, name: str, cut: str) -> DataFrame:
 _DOC = "coalesce(doc_id, -9223372036854775808)"  # nulls first, as in the windows
 
 
+def _crossing(rows: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """``source, cut, cut_fit, missing``: where the words of ``wanted(source, wanted)`` run out among ``rows``, in rank order, settled.
+
+    ``cut`` is the document that would exceed them, ``cut_fit`` how many rows equal to it still fit, ``missing`` the words
+    left then. A source whose rows all fit has no row.
+    """
+    bins = _by_source(rows.groupBy("source", "coarse").agg(F.sum("size").alias("n")), wanted)
+    coarse = common.settle(_cut(bins, "coarse", "cut_coarse"), f"{name}-coarse")
+    inside = _by_source(rows, coarse).where("coarse = cut_coarse")
+    fine = _cut(inside.groupBy("source", "fine", "wanted").agg(F.sum("size").alias("n")), "fine", "cut_fine")
+    last = common.settle(_by_source(fine, coarse.select("source", "cut_coarse")), f"{name}-fine")
+    edge = _by_source(rows, last).where("coarse = cut_coarse and fine = cut_fine")
+    # rows equal in all that ranks them are one step with a count
+    steps = edge.groupBy("source", "here", "size", "wanted").agg(F.count("*").alias("rows"))
+    w = Window.partitionBy("source").orderBy("here").rowsBetween(Window.unboundedPreceding, 0)
+    left = F.col("wanted") - (F.sum(F.col("size") * F.col("rows")).over(w) - F.col("size") * F.col("rows"))
+    over = steps.withColumn("left", left).where(F.col("size") * F.col("rows") > F.col("left"))
+    first = over.groupBy("source").agg(F.min(F.struct("here", "size", "left")).alias("c")).select("source", "c.*")
+    fit = F.floor(F.col("left") / F.col("size")).cast("long")
+    return common.settle(first.select("source", F.col("here").alias("cut"), fit.alias("cut_fit"), (F.col("left") - fit * F.col("size")).alias("missing")), f"{name}-cut")
+
+
+_DOC = "coalesce(doc_id, -9223372036854775808)"  # nulls first, as in the windows
+
+
 def plan_mix(sized: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3, seed: int = 0) -> DataFrame:
-    """One row per source: ``source_size, target, factor``, the cut and the pick, settled.
+    """One row per source: ``source_size, target, factor``, the cuts and the pick, settled.
 
-    With it, whether and how often a document is taken follows from its own row: documents before ``cut`` are taken,
-    ``cut_fit`` rows equal to it, and one row equal to ``pick``. A null cut takes all.
+    With it, whether and how often a document is taken follows from its own row: documents before ``cut`` are taken and
+    ``cut_fit`` rows equal to it; then those behind it of at most ``room`` words and before ``cut2``, and ``cut2_fit``
+    equal to that; and one row equal to ``pick``. A null ``cut`` takes all, a null ``cut2`` all that have room.
     """
     goals = targets(sized, weights, most)
     named = common.settle(_factors(sized.groupBy("source", "weight").agg(F.sum("size").alias("n")), goals, most), "mix-factors")
     coarse_bin = F.least(F.floor(F.col("order") * _BINS), F.lit(_BINS - 1)).cast("int")
     fine_bin = F.least(F.floor((F.col("order") * _BINS - F.col("coarse")) * _BINS), F.lit(_BINS - 1)).cast("int")
+    here = F.struct("order", F.expr(_DOC).alias("doc"), "tie").alias("here")
     ranked = _ranked(sized, named, most, seed).withColumn("coarse", coarse_bin).withColumn("fine", fine_bin)
-    sums = ranked.groupBy("source", "coarse").agg(F.first("target").alias("target"), F.sum(F.col("certain") * F.col("size")).alias("certain"), F.sum(F.when(F.col("p") > 0, F.col("size")).otherwise(0)).alias("n"))
-    wanted = F.col("target") - F.sum("certain").over(Window.partitionBy("source"))
-    coarse = common.settle(_cut(sums.withColumn("wanted", wanted).where("coarse is not null"), "coarse", "cut_coarse"), "mix-coarse")
-    inside = _by_source(ranked.where("p > 0"), coarse).where("coarse = cut_coarse")
-    fine = _cut(inside.groupBy("source", "fine", "wanted").agg(F.sum("size").alias("n")), "fine", "cut_fine")
-    last = common.settle(_by_source(fine, coarse.select("source", "cut_coarse")), "mix-fine")
-    edge = _by_source(ranked.where("p > 0"), last).where("coarse = cut_coarse and fine = cut_fine").withColumn("doc", F.expr(_DOC))
-    # rows equal in all that ranks them are one step with a count
-    steps = edge.groupBy("source", "order", "doc", "tie", "size", "wanted").agg(F.count("*").alias("rows"))
-    w = Window.partitionBy("source").orderBy("order", "doc", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    left = F.col("wanted") - (F.sum(F.col("size") * F.col("rows")).over(w) - F.col("size") * F.col("rows"))
-    crossing = steps.withColumn("left", left).where(F.col("size") * F.col("rows") > F.col("left"))
-    fit = F.floor(F.col("left") / F.col("size")).cast("long")
-    first = crossing.groupBy("source").agg(F.min(F.struct("order", "doc", "tie", "size", "left")).alias("c")).select("source", "c.*")
-    cut = common.settle(first.select("source", F.struct("order", "doc", "tie").alias("cut"), fit.alias("cut_fit"), (F.col("left") - fit * F.col("size")).alias("missing")), "mix-cut")
-    here = F.struct("order", "doc", "tie")
-    behind = _by_source(ranked.where("p > 0 and size > 0").withColumn("doc", F.expr(_DOC)), cut).where(here >= F.col("cut"))
-    near = behind.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("missing")).alias("off"), here.alias("pick"), "missing")).alias("n"))
-    pick = near.select("source", F.when(F.col("n.off") < F.col("n.missing"), F.col("n.pick")).alias("pick"))
-    plan = _by_source(_by_source(named, cut.drop("missing"), "left"), pick, "left")
+    ranked = common.settle(ranked.select("source", "size", "certain", "p", "coarse", "fine", here), "mix-ranked")
+    certain = ranked.groupBy("source").agg(F.sum(F.col("certain") * F.col("size")).alias("certain"))
+    wanted = _by_source(named.select("source", "target"), certain).select("source", (F.col("target") - F.col("certain")).alias("wanted"))
+    chance = ranked.where("p > 0").select("source", "size", "coarse", "fine", "here")
+    cut = _crossing(chance, wanted, "mix")
+    behind = _by_source(chance.where("size > 0"), cut.select("source", "cut", F.col("missing").alias("room")))
+    fitting = behind.where((F.col("here") > F.col("cut")) & (F.col("size") <= F.col("room"))).select("source", "size", "coarse", "fine", "here")
+    cut2 = _crossing(fitting, cut.select("source", F.col("missing").alias("wanted")), "mix-second")
+    second = cut2.select("source", F.col("cut").alias("cut2"), F.col("cut_fit").alias("cut2_fit"), F.col("missing").alias("missing2"))
+    filled = fitting.groupBy("source").agg(F.sum("size").alias("filled"))
+    both = _by_source(_by_source(cut.withColumnRenamed("missing", "room"), second, "left"), filled, "left")
+    both = common.settle(both.withColumn("rest", F.coalesce("missing2", F.col("room") - F.coalesce("filled", F.lit(0)))), "mix-cuts")
+    free = _by_source(chance.where("size > 0"), both.select("source", "cut", "room", "cut2", "rest"))
+    untaken = (F.col("here") == F.col("cut")) | ((F.col("here") > F.col("cut")) & ((F.col("size") > F.col("room")) | F.coalesce(F.col("here") >= F.col("cut2"), F.lit(False))))
+    near = free.where(untaken).groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("rest")).alias("off"), F.col("here").alias("pick"), "rest")).alias("n"))
+    pick = near.select("source", F.when(F.col("n.off") < F.col("n.rest"), F.col("n.pick")).alias("pick"))
+    plan = _by_source(_by_source(named, both.select("source", "cut", "cut_fit", "room", "cut2", "cut2_fit"), "left"), pick, "left")
     return common.settle(plan, "mix-plan")
 
 
@@ -155,14 +180,17 @@ def apply_mix(rows: DataFrame, plan: DataFrame, most: int = 3, seed: int = 0) ->
     Each row is decided by itself; only rows equal to a source's cut or pick are numbered, by a window over those alone.
     """
     ranked = _ranked(rows, plan, most, seed).withColumn("here", F.struct("order", F.expr(_DOC).alias("doc"), "tie"))
-    cut, pick, here = F.col("cut"), F.col("pick"), F.col("here")
+    cut, cut2, pick, here = (F.col(c) for c in ("cut", "cut2", "pick", "here"))
     chance = F.col("p") > 0
-    counted = F.coalesce(chance & ((here == cut) | (here == pick)), F.lit(False))
-    plain = ranked.where(~counted).withColumn("copies", F.col("certain") + F.coalesce(chance & (cut.isNull() | (here < cut)), F.lit(False)).cast("long"))
+    counted = F.coalesce(chance & ((here == cut) | (here == cut2) | (here == pick)), F.lit(False))
+    small = (here > cut) & (F.col("size") > 0) & (F.col("size") <= F.col("room"))
+    before = cut.isNull() | (here < cut) | (small & (cut2.isNull() | (here < cut2)))
+    plain = ranked.where(~counted).withColumn("copies", F.col("certain") + F.coalesce(chance & before, F.lit(False)).cast("long"))
     number = F.row_number().over(Window.partitionBy("source", "here").orderBy("order"))
-    fit = F.coalesce(F.when(here == cut, F.col("cut_fit")), F.lit(0)) + F.coalesce((here == pick).cast("long"), F.lit(0))
+    # a pick among the rows that are taken anyway can't be: it is one of the others
+    fit = F.coalesce(F.when(here == cut, F.col("cut_fit")), F.when(here == cut2, F.col("cut2_fit")), F.lit(0)) + F.coalesce((here == pick).cast("long"), F.lit(0))
     last = ranked.where(counted).withColumn("copies", F.col("certain") + (number <= fit).cast("long"))
-    return plain.unionByName(last).drop("certain", "p", "order", "factor", "cut", "cut_fit", "pick", "here")
+    return plain.unionByName(last).drop("certain", "p", "order", "factor", "cut", "cut_fit", "room", "cut2", "cut2_fit", "pick", "here")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3, weight: Column | None = None, seed: int = 0) -> DataFrame:
