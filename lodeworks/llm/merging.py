@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 _NONE = np.int32(2**31 - 1)
 
@@ -37,74 +38,98 @@ class MergeTable:
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair; the highest number for pairs that do not join or that hold a negative id."""
-        keys = a.astype(np.int64) << 32 | b.astype(np.int64)
-        out = np.full(len(keys), _NONE, np.int32)
-        todo = np.flatnonzero((a >= 0) & (b >= 0))
-        at = self._place(keys[todo])
+        keys = a.astype(np.int64) << 32 | b
+        at = self._place(keys)
+        found = self.keys[at]
+        hit = found == keys
+        out = np.where(hit, self.ranks[at], _NONE)
+        todo = np.flatnonzero(~hit & (found >= 0))
+        keys, at = keys[todo], (at[todo] + 1) & (len(self.keys) - 1)
         while len(todo):
             found = self.keys[at]
-            hit = found == keys[todo]
+            hit = found == keys
             out[todo[hit]] = self.ranks[at[hit]]
             go = ~hit & (found >= 0)
-            todo, at = todo[go], (at[go] + 1) & (len(self.keys) - 1)
+            todo, keys, at = todo[go], keys[go], (at[go] + 1) & (len(self.keys) - 1)
         return out
 
     def merge(self, start: np.ndarray) -> np.ndarray:
-        """Merged ids of rows of equally long words, padded with -1 on the right."""
+        """Merged ids of rows of equally long words; a place joined to what is left of it holds -1.
+
+        Places are linked to their neighbours, and a place without an id stands at each end, so a join changes four
+        places of a row however long the row is.
+        """
         n, width = start.shape
-        out = np.full((n, width), -1, np.int32)
-        ids, rows = start.astype(np.int32), np.arange(n)
-        if width < 2:
-            return ids
-        ranks = self.rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, width - 1)
-        cols, pairs = np.arange(width), np.arange(width - 1)
-        while len(rows):
+        out = start.astype(np.int32)
+        if width < 2 or not n:
+            return out
+        span = width + 2
+        ids = np.full((n, span), -1, np.int32)
+        ids[:, 1:-1] = out
+        ranks = np.full((n, span), _NONE, np.int32)
+        ranks[:, 1:width] = self.rank(out[:, :-1].ravel(), out[:, 1:].ravel()).reshape(n, width - 1)
+        after, before = (np.tile(np.arange(span, dtype=np.int32) + by, (n, 1)) for by in (1, -1))
+        rows = np.arange(n)
+        while True:
             p = ranks.argmin(axis=1)
-            best = ranks[np.arange(len(rows)), p]
-            done = best == _NONE
-            if done.any():
-                out[rows[done]] = ids[done]
-                ids, ranks, rows, p, best = ids[~done], ranks[~done], rows[~done], p[~done], best[~done]
-                if not len(rows):
-                    break
-            each, new = np.arange(len(rows)), self.made[best]
-            ids = np.take_along_axis(ids, np.minimum(cols + (cols > p[:, None]), width - 1), axis=1)
-            ids[:, -1] = -1
-            ids[each, p] = new
-            ranks = np.take_along_axis(ranks, np.minimum(pairs + (pairs >= p[:, None]), width - 2), axis=1)
-            ranks[:, -1] = _NONE
-            left = p > 0
-            ranks[each[left], p[left] - 1] = self.rank(ids[each[left], p[left] - 1], new[left])
-            right = p < width - 1
-            ranks[each[right], np.minimum(p[right], width - 2)] = self.rank(new[right], ids[each[right], p[right] + 1])
-        return out
+            own = np.arange(len(rows)) * span
+            best = ranks.ravel()[own + p]
+            live = best != _NONE
+            going = int(np.count_nonzero(live))
+            if 4 * going < 3 * len(rows):
+                done = ~live
+                out[rows[done]] = ids[done, 1:-1]
+                if not going:
+                    return out
+                ids, ranks, after, before, rows, p, best = (x[live] for x in (ids, ranks, after, before, rows, p, best))
+                own = own[:going]
+            elif going < len(rows):
+                own, p, best = own[live], p[live], best[live]
+            flat, rank, right, left = ids.ravel(), ranks.ravel(), after.ravel(), before.ravel()
+            here, new = own + p, self.made[best]
+            gone = own + right[here]
+            far, near = right[gone], own + left[here]
+            beyond = own + far
+            flat[here], flat[gone], rank[gone] = new, -1, _NONE
+            right[here], left[beyond] = far, p
+            both = self.rank(np.concatenate([new, flat[near]]), np.concatenate([flat[beyond], new]))
+            rank[here], rank[near] = both[:going], both[going:]
 
 
-def merge_words(table: MergeTable, words: list[bytes], first: np.ndarray, last: np.ndarray, kind: str, longest: int = 48) -> list[bytes | None]:
-    """Packed ids of each word; ``first`` and ``last`` give the ids of a byte inside a word and at its end.
+def merge_column(table: MergeTable, words: pa.Array, first: np.ndarray, last: np.ndarray, kind: str, longest: int = 48) -> pa.Array:
+    """Packed ids of each word of a column of strings or binaries without nulls.
 
-    Words over ``longest`` bytes are left to the caller (None).
+    ``first`` and ``last`` give the ids of a byte inside a word and at its end. Words over ``longest`` bytes are left to
+    the caller (null).
     """
-    out: list[bytes | None] = [None] * len(words)
-    by_length: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        by_length.setdefault(len(w), []).append(i)
-    size = np.dtype(kind).itemsize
-    for length, own in by_length.items():
-        if not 0 < length <= longest:
-            if not length:
-                for i in own:
-                    out[i] = b""
+    words = words.cast(pa.large_binary())
+    _, offsets, data = words.buffers()
+    if not len(words):
+        return pa.array([], pa.large_binary())
+    begins = np.frombuffer(offsets, np.int64, len(words) + 1, words.offset * 8)
+    lengths = np.diff(begins)
+    raw = np.frombuffer(data or b"", np.uint8)
+    order = np.argsort(lengths, kind="stable")
+    widths, at = np.unique(lengths[order], return_index=True)
+    counts, pieces = np.zeros(len(words), np.int64), []
+    for width, lo, hi in zip(widths.tolist(), at.tolist(), [*at[1:].tolist(), len(words)], strict=True):
+        if not 0 < width <= longest:
             continue
-        raw = np.frombuffer(b"".join([words[i] for i in own]), np.uint8).reshape(-1, length)
-        start = first[raw]
-        start[:, -1] = last[raw[:, -1]]
+        letters = raw[begins[order[lo:hi], None] + np.arange(width)]
+        start = first[letters]
+        start[:, -1] = last[letters[:, -1]]
         merged = table.merge(start)
         kept = merged >= 0
-        data = merged[kept].astype(kind).tobytes()
-        ends = (np.cumsum(kept.sum(axis=1)) * size).tolist()
-        at = 0
-        for i, end in zip(own, ends, strict=True):
-            out[i] = data[at:end]
-            at = end
-    return out
+        pieces.append(merged[kept].astype(kind))
+        counts[lo:hi] = np.count_nonzero(kept, axis=1)
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts * np.dtype(kind).itemsize)])
+    packed = np.concatenate(pieces) if pieces else np.zeros(0, kind)
+    sorted_ids = pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
+    places = np.empty(len(words), np.int64)
+    places[order] = np.arange(len(words))
+    return sorted_ids.take(pa.array(places, mask=lengths > longest))
+
+
+def merge_words(table: MergeTable, words: list[bytes], first: np.ndarray, last: np.ndarray, kind: str, longest: int = 48) -> list[bytes | None]:
+    """``merge_column`` of a list of words."""
+    return merge_column(table, pa.array(words, pa.large_binary()), first, last, kind, longest).to_numpy(zero_copy_only=False).tolist()

@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,10 +30,24 @@ from pyspark.sql import functions as F
 
 from lodeworks.llm import common
 from lodeworks.llm.bpe import byte_letters
-from lodeworks.llm.merging import MergeTable, merge_words
+from lodeworks.llm.merging import MergeTable, merge_column
 
 _MAGIC = b"LWWAV1\n\0"
 _STEP = 512
+_PIECE = 1 << 15
+
+
+def _partition(ones: np.ndarray, low: int) -> Iterator[tuple[tuple[np.ndarray, np.ndarray], slice, int, int]]:
+    """A plane in pieces that stay in the processor's cache.
+
+    For each piece: where its zeros and its ones are, the piece, and where they begin in the stably partitioned sequence.
+    """
+    z, o = 0, low
+    for at in range(0, len(ones), _PIECE):
+        piece = slice(at, at + _PIECE)
+        zero, one = np.flatnonzero(~ones[piece]), np.flatnonzero(ones[piece])
+        yield (zero, one), piece, z, o
+        z, o = z + len(zero), o + len(one)
 
 
 class WaveletMatrix:
@@ -53,8 +68,9 @@ class WaveletMatrix:
             low = len(x) - int(np.count_nonzero(ones))
             zeros.append(low)
             parted = np.empty_like(x)
-            np.compress(~ones, x, out=parted[:low])
-            np.compress(ones, x, out=parted[low:])
+            for (zero, one), piece, z, o in _partition(ones, low):
+                parted[z : z + len(zero)] = x[piece][zero]
+                parted[o : o + len(one)] = x[piece][one]
             x = parted
         return cls(len(ids), bits, planes, zeros, directory)
 
@@ -133,8 +149,10 @@ class WaveletMatrix:
         for level in range(self.bits - 1, -1, -1):
             ones = np.unpackbits(self.planes[level], count=self.n).view(bool)
             up = np.empty_like(x)
-            up[~ones] = x[: self.zeros[level]]
-            up[ones] = x[self.zeros[level] :] | x.dtype.type(1 << (self.bits - 1 - level))
+            x[self.zeros[level] :] |= x.dtype.type(1 << (self.bits - 1 - level))
+            for (zero, one), piece, z, o in _partition(ones, self.zeros[level]):
+                up[piece][zero] = x[z : z + len(zero)]
+                up[piece][one] = x[o : o + len(one)]
             x = up
         return x
 
@@ -183,6 +201,8 @@ def image_to_file(image: bytes, path: str) -> None:
 _BLANKS = "\t-\r \u0085\u00a0"
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-į"
 _NUMBERS = "0-9²³¹¼-¾"
+_MARKS = string.punctuation
+_ALL_LETTERS = "".join(c for c in map(chr, range(0x130)) if re.match(f"[{_LETTERS}]", c))
 _words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+").findall
 #: What the fast way leaves to the library: later letters, and controls that only Python takes for white space.
 _beyond = re.compile("[^\x00-\x1b\x20-į]").search
@@ -193,14 +213,21 @@ def _is_plain(text: str) -> bool:
     return "<|" not in text and ((text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f")) or not _beyond(text))
 
 
+def _joined(parts: pa.Array, sizes: np.ndarray) -> pa.Array:
+    """Runs of so many neighbouring binaries as one binary each."""
+    _, offsets, data = parts.buffers()
+    ends = np.frombuffer(offsets, np.int64, len(parts) + 1, parts.offset * 8)[np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])]
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), data])
+
+
 class WordTokenizer:
-    """The tokenizers library behind a bounded table of white-space-delimited chunks already encoded.
+    """What the tokenizers library gives, with the merges of a call's distinct words made side by side.
 
-    White space never joins two words of this vocabulary, so a chunk's ids do not depend on its neighbours. New chunks
-    are cut into words, whose merges are made side by side; what is not plain text goes through the library itself.
+    White space never joins two words of this vocabulary, so a chunk's ids do not depend on its neighbours. Nothing is
+    kept between calls; what is not plain text and words over 48 bytes go through the library itself.
     """
 
-    def __init__(self, path: str, remember: int = 1_000_000) -> None:
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -214,40 +241,50 @@ class WordTokenizer:
         self.merges = MergeTable({(ids[a], ids[b]): (rank, ids[a.removesuffix(end) + b]) for rank, (a, b) in enumerate(model["merges"])})
         self.inside = np.array([ids[c] for c in byte_letters()], np.int32)
         self.ending = np.array([ids[c + end] for c in byte_letters()], np.int32)
-        self.remember, self.known = remember, {}
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Ids of new chunks, put together from those of their words; only words that are new too go through the model."""
-        known = self.known
-        cut = {c: [c[:-1], c[-1]] if c[-1] in ",." and c[:-1].isalpha() else _words(c) for c in chunks if not c.isalpha()}
-        words = {c for c in chunks if c not in cut}
-        words.update(w for ws in cut.values() for w in ws if w not in known)
-        flat = list(words)
-        long = []
-        for word, ids in zip(flat, merge_words(self.merges, [w.encode() for w in flat], self.inside, self.ending, "<u2"), strict=True):
-            if ids is None:
-                long.append(word)
-            else:
-                known[word] = ids
-        for word, ids in zip(long, self._encode(long), strict=True):
-            known[word] = struct.pack(f"<{len(ids)}H", *ids)
-        for chunk, ws in cut.items():
-            known[chunk] = b"".join(map(known.__getitem__, ws))
+    def _of_words(self, words: pa.Array) -> pa.Array:
+        """Packed ids of distinct words."""
+        made = merge_column(self.merges, words, self.inside, self.ending, "<u2")
+        if not made.null_count:
+            return made
+        long = made.is_null()
+        ids = [struct.pack(f"<{len(i)}H", *i) for i in self._encode(words.filter(long).to_pylist())]
+        return pc.replace_with_mask(made, long, pa.array(ids, pa.large_binary()))
+
+    def _of_chunks(self, chunks: pa.Array) -> pa.Array:
+        """Packed ids of distinct chunks, put together from those of their words.
+
+        Most chunks are letters with or without marks behind them, a word each; the others are cut one by one.
+        """
+        letters, marks = pc.utf8_rtrim(chunks, characters=_MARKS), pc.utf8_ltrim(chunks, characters=_ALL_LETTERS)
+        simple = pc.utf8_is_alpha(letters)
+        others = list(map(_words, chunks.filter(pc.invert(simple)).to_numpy(zero_copy_only=False)))
+        sizes = np.array([len(ws) for ws in others], np.int64)
+        few = pc.unique(marks.filter(simple))
+        cut = pa.concat_arrays([letters.filter(simple), few, pa.array([w for ws in others for w in ws], pa.string())]).dictionary_encode()
+        ids = self._of_words(cut.dictionary).take(cut.indices)
+        n = len(chunks) - len(others)
+        tails = ids.slice(n, len(few)).take(pc.index_in(marks.filter(simple), few))
+        whole = pc.binary_join_element_wise(ids.slice(0, n), tails, pa.scalar(b"", pa.large_binary()))
+        rest = _joined(ids.slice(n + len(few)), sizes)
+        at = simple.to_numpy(zero_copy_only=False)
+        places = np.where(at, np.cumsum(at) - 1, n + np.cumsum(~at) - 1)
+        return pa.concat_arrays([whole, rest]).take(pa.array(places))
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Packed unsigned 16-bit ids of each text and the end id.
 
-        Plain texts are cut, numbered and put together in whole columns; Python sees each distinct chunk once a call.
+        Plain texts are cut, numbered and put together in whole columns.
         """
         stop = struct.pack("<H", end)
         plain = [i for i, t in enumerate(texts) if _is_plain(t)]
         out: list[bytes] = [stop] * len(texts)
         cut = pc.utf8_split_whitespace(pc.utf8_lower(pa.array([texts[i] for i in plain], pa.string())))
         coded = cut.flatten().dictionary_encode()
-        joined = pa.array(self._of_chunks(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        joined = self._of_chunks(coded.dictionary).take(coded.indices)
         _, offsets, data = joined.buffers()
         if data is not None:
             ends = np.frombuffer(offsets, np.int64, len(joined) + 1)[cut.offsets.to_numpy()].tolist()
@@ -260,15 +297,6 @@ class WordTokenizer:
             out[i] = struct.pack(f"<{len(ids)}H", *ids) + stop
         return out
 
-    def _of_chunks(self, chunks: list[str]) -> list[bytes]:
-        if len(self.known) > self.remember:
-            self.known = {}
-        known = self.known
-        known[""] = b""  # beside white space at an end of a text
-        if unseen := [c for c in chunks if c not in known]:
-            self._learn(unseen)
-        return [known[c] for c in chunks]
-
 
 @lru_cache(maxsize=1)
 def _tokenizer(path: str) -> WordTokenizer:

@@ -1,4 +1,6 @@
+import cProfile
 import hashlib
+import pstats
 import random
 import struct
 import zlib
@@ -74,6 +76,37 @@ def test_word_tokenizer_equals_library():
         assert np.frombuffer(packed, "<u2").tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
 
 
+def made_up_words(n, seed):
+    rnd = random.Random(seed)
+    parts = ["tion", "ing", "the", "schein", "keit", "ción", "ñ", "ó", "que", "é", "euil", "ß", "x", "q"]
+    return ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 9))) + rnd.choice(["", "", ",", ".", "!!", ".'", "'s", "'", "7", "-a"]) for _ in range(n)]
+
+
+def test_word_tokenizer_on_columns_of_words():
+    library, mine = Tokenizer.from_file(wavelet.default_vocabulary()), wavelet.WordTokenizer(wavelet.default_vocabulary())
+    words = made_up_words(20_000, 3)
+    texts = ["'", "!", ",,", "7", "a", "", "!!a!!", *(" ".join(words[i : i + 40]) for i in range(0, len(words), 40))]
+    for text, packed in zip(texts, mine.encode(texts, 1), strict=True):
+        assert np.frombuffer(packed, "<u2").tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_word_tokenizer_handles_words_as_columns():
+    library, mine = Tokenizer.from_file(wavelet.default_vocabulary()), wavelet.WordTokenizer(wavelet.default_vocabulary())
+    words = {w.rstrip("-a7s'") for w in made_up_words(150_000, 4)}
+    profile = cProfile.Profile()
+    packed = profile.runcall(mine.encode, [" ".join(words)], 1)[0]
+    assert np.frombuffer(packed, "<u2").tolist() == [*library.encode(" ".join(words), add_special_tokens=False).ids, 1]
+    assert pstats.Stats(profile).total_calls < len(words)  # no call for each word
+
+
+def test_wavelet_matrix_of_several_pieces():
+    n = 2 * wavelet._PIECE + 77
+    x = np.random.default_rng(5).integers(0, 49_000, n)
+    m = wavelet.from_image(wavelet.to_image([1], [n], wavelet.WaveletMatrix.of(x, 16)))[2]
+    assert (m.all() == x).all()
+    assert all(m.access(i) == x[i] for i in range(0, n, 997)) and m.occurrences(int(x[n // 2])) == np.flatnonzero(x == x[n // 2]).tolist()
+
+
 def test_token_files(spark):
     library = Tokenizer.from_file(wavelet.default_vocabulary())
     rows = [(5, "five words are in here"), (2, None), (9, "two"), (2, "again"), (None, "no id")]
