@@ -2,7 +2,10 @@
 
 import time
 
+from pyspark.sql import functions as F
+
 from lodeworks.operators import grounding
+from lodeworks.plans import trust
 
 
 def test_spans_in_long_lines_without_stops():
@@ -19,3 +22,23 @@ def test_spans_between_breaks_and_stops():
     assert grounding.span_of("alpha beta", "gamma\nalpha bet\n")[:3] == ("sentence_overlap", 6, 15)  # the end of the text is one, also before its last break
     assert grounding.span_of("straße 5", "Die STRASSE, 5.")[:3] == ("normalized_exact", 4, 14)
     assert grounding.span_of("", "x") == grounding.span_of("x", "") == grounding.span_of(None, None) == ("not_found", None, None, 0.0)
+
+
+def test_texts_are_stripped_once_not_for_each_bigram(spark, tmp_path):
+    text = "Ab, cd-ef gh_ij! kl. " * 8000
+    letters = "".join(chr(97 + i) + chr(97 + (i * 7 + j) % 26) for i in range(26) for j in range(12))
+    spark.createDataFrame([(i, text) for i in range(12)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, letters), (1, "gh ij kl xy")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    trust.citation_overlap(spark, str(tmp_path)).where("false").count()
+    began = time.perf_counter()
+    got = {r.doc_id: r.score for r in trust.citation_overlap(spark, str(tmp_path)).collect()}
+    assert time.perf_counter() - began < 8
+    assert len(got) == 12 and got[1] == got[11] == round(5 / 7, 6) and 0 < got[0] < 0.2
+
+
+def test_overlap_compares_letters_and_numbers_only(spark, tmp_path):
+    rows = [(0, "cafe\u0301 \u00b2\u00bd"), (1, "cafe")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "CAFE \u00b2\u00bd"), (1, "c\u0301afe")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = trust.citation_overlap(spark, str(tmp_path)).select("doc_id", F.col("score")).collect()
+    assert {tuple(r) for r in got} == {(0, 1.0), (1, 1.0)}  # as the SQL: [^\pL\pN] goes
