@@ -116,7 +116,7 @@ def chain_retrieval(questions: DataFrame, proposals: DataFrame, search: Search,
         )
         asked = settle(guarded.select("qid", "had", "query", "enough", refusal.alias("refusal")), f"chain-asked-{number}")
         hits = search(asked.where("refusal is null").select("qid", "query"))
-        supported = hits.groupBy("qid", "id").agg(F.min("source").alias("source"))
+        supported = settle(hits.groupBy("qid", "id").agg(F.min("source").alias("source")), f"chain-hits-{number}")  # read twice, searched once
         new = supported.join(_evidence_so_far(found).select("qid", "id"), ["qid", "id"], "left_anti")
         found.append(settle(new.select("qid", F.lit(number).alias("step"), "id", "source"), f"chain-evidence-{number}"))
         hit = supported.groupBy("qid").agg(F.lit(True).alias("hit"))

@@ -163,9 +163,17 @@ def query_terms(queries: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def bm25_search(impacts: DataFrame, asked: DataFrame, keys: Sequence[str], k: int, digits: int = 6) -> DataFrame:
-    """``keys, rank, id, score``: the ``k`` best texts for each query of ``asked(keys, term)``; sums are partial, ties go to the lower id."""
-    totals = impacts.join(asked, "term").groupBy(*keys, "id").agg(F.round(F.sum("s"), digits).alias("score"))
-    return totals.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k).select(*keys, "rank", "id", "score")
+    """``keys, rank, id, score``: the ``k`` best texts for each query of ``asked(keys, term)``; ties go to the lower id.
+
+    Queries are numbered first, so that sums are kept by two numbers. Impacts of asked terms are dealt out by text before
+    queries multiply them, so all of a text's sums are made in one task and only the best of each task move on.
+    """
+    wanted = settle(asked.groupBy(*keys).agg(F.collect_set("term").alias("terms")).withColumn("query_", F.monotonically_increasing_id()), "bm25-queries")
+    terms_ = wanted.select("query_", F.explode("terms").alias("term"))
+    dealt = impacts.join(terms_.select("term").distinct(), "term", "left_semi").repartition("id")
+    totals = dealt.join(terms_, "term").groupBy("query_", "id").agg(F.round(F.sum("s"), digits).alias("score"))
+    best = totals.withColumn("rank", F.row_number().over(Window.partitionBy("query_").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    return best.join(wanted.select("query_", *keys), "query_").select(*keys, "rank", "id", "score")
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, digits: int = 6) -> DataFrame:
